@@ -21,3 +21,12 @@ def local_session(cores: int | None = None, app: str = "tessera") -> SparkSessio
         .config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
+
+
+def show_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver found it (on a cluster: that path, or ``--py-files``)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    return spark
