@@ -211,9 +211,10 @@ def vector_best_fit(lengths: np.ndarray, capacities: Capacities, weights: tuple[
 def _packed(capacities: Capacities, weights: tuple[float, float, float], rule: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition holds whole groups."""
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
             return
+        table = pa.Table.from_batches(held)
         table = table.sort_by([("group", "ascending"), ("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         groups = table.column("group").to_numpy()
         cuts = np.flatnonzero(np.diff(groups)) + 1
