@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, language_id, licences, mixing, packing, quality_rules
+from tessera.llm import exact_dedup, language_id, licences, mixing, packing, quality_rules, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_documents(spark, sf_dir)).drop("rejected_by")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_documents(spark, sf_dir)).drop("removed_spans")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -53,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE_SQL, "op9_exact_dedup": OP9_SQL, "op10_mix_sources": mixing.ORACLE_SQL}
+    return {"op2_quality_rules": quality_rules.ORACLE_SQL, "op6_substring_dedup": substring_dedup.ORACLE_SQL, "op9_exact_dedup": OP9_SQL, "op10_mix_sources": mixing.ORACLE_SQL}
