@@ -22,13 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.batches import text_steps
+from tessera.llm.labelled import held_out
 
-#: Bounds of the training sample: documents in all, and for each language.
+#: Size of the training sample: documents in all (never more than twice that), and for each language.
 SAMPLE_DOCUMENTS, SAMPLE_PER_LANGUAGE = 4000, 400
 #: A context stays in the trees from so many sightings; at most so many contexts stay.
 LEAST_SEEN, MOST_CONTEXTS = 6, 20_000
@@ -36,10 +37,6 @@ SLICE = 1 << 19
 UNKNOWN = "und"
 
 
-def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == rest
-
-
 @dataclass
 class ContextTrees:
     """Frozen statistics: ``bits[context * symbols + symbol, language]``."""
@@ -127,15 +124,17 @@ def _quadruples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(documents: DataFrame, modulus: int = 3, rest: int = 1, documents_in_all: int = SAMPLE_DOCUMENTS, per_language: int = SAMPLE_PER_LANGUAGE) -> ContextTrees | None:
-    """Trees of all languages in ``lang``, from the labelled documents with the smallest hashes of doc_id outside the held-out part."""
+    """Trees of all languages in ``lang``, from about ``per_language`` labelled documents of each outside the held-out part, chosen by hash of doc_id."""
     labelled = documents.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), modulus, rest))
-    known = labelled.select("lang").distinct().count()
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    known = sizes.count()
     if not known:
         return None
     share = max(1, min(per_language, documents_in_all // known))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= share)
-    ids = chosen.select(F.col("doc_id").alias("chosen_id")).limit(documents_in_all).distinct()  # the limit bounds what is broadcast
+    # Each language gives the documents whose hash lies in its lowest share: no ranking, so a frequent language stays spread.
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(float(share << 40)) / F.col("n")
+    chosen = labelled.select("doc_id", "lang").join(sizes, "lang").filter(low)
+    ids = chosen.select(F.col("doc_id").alias("chosen_id")).limit(2 * documents_in_all).distinct()  # the limit bounds what is broadcast
     sample = labelled.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi").select("lang", F.col("text").cast("string"))
     counts = sample.mapInArrow(_quadruples, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique().tolist())

@@ -16,7 +16,6 @@ empty table gives an empty result; a text of any length is tokenised whole.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
@@ -43,7 +42,7 @@ class WordTokens:
     ASCII letter or digit is its two parts. At ``limit`` words all is forgotten.
     """
 
-    _tail = re.compile(rb"(.*[a-z0-9])([.,!%&#$*|?;:]+)", re.DOTALL)
+    _tail, _before_tail = b".,!%&#$*|?;:", frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
     def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
@@ -58,61 +57,76 @@ class WordTokens:
     def _forget(self) -> None:
         self.places: dict[bytes, int] = {}
         self.starts, self.lengths, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
-        self._keep(b"", np.array([EOS], np.uint32))
+        self._keep([b""], np.array([EOS], np.uint32), np.ones(1, np.int64))
 
-    def _keep(self, word: bytes, ids: np.ndarray) -> None:
-        k = len(self.places)
-        if k == len(self.starts):
+    def _keep(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Add new words, their ids one after another."""
+        k, n = len(self.places), len(words)
+        while k + n > len(self.starts):
             self.starts, self.lengths = np.concatenate([self.starts, self.starts]), np.concatenate([self.lengths, self.lengths])
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat])
-        self.places[word], self.starts[k], self.lengths[k] = k, self.used, len(ids)
+        self.places.update(zip(words, range(k, k + n)))
+        self.starts[k : k + n], self.lengths[k : k + n] = self.used + np.cumsum(lengths) - lengths, lengths
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def _ids(self, word: bytes) -> np.ndarray:
-        k = self.places[word]
-        return self.flat[self.starts[k] : self.starts[k] + self.lengths[k]]
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
 
-    def _tokenise(self, words: list[bytes]) -> None:
+    def _joined(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words one after another, and where each word's end."""
+        lengths = self.lengths[places]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.starts[places] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    @staticmethod
+    def _is_plain(word: bytes) -> bool:
+        """Lower-case letters only, so that the word is one token of the pattern."""
+        if word.isascii():
+            return word.isalpha() and word.islower()
+        text = word.decode()
+        return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
+    def _tokenise(self, words: Iterable[bytes]) -> None:
         plain, other = [], []
         for word in words:
-            text = word.decode()
-            simple = text.isalpha() and text == text.lower() and (word.isascii() or unicodedata.is_normalized("NFC", text))
-            (plain if simple else other).append((word, text))
+            (plain if self._is_plain(word) else other).append(word)
         for at in range(0, len(plain), 1000):
             part = plain[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.word_end[ids]) + 1
-            if len(ends) != len(part) or (len(ends) and ends[-1] != len(ids)):
+            if len(ends) != len(part) or ends[-1] != len(ids):
                 other += part
-                continue
-            start = 0
-            for (word, _), end in zip(part, ends.tolist()):
-                self._keep(word, ids[start:end])
-                start = end
+            else:
+                self._keep(part, ids, np.diff(ends, prepend=0))
         for at in range(0, len(other), 1000):
             part = other[at : at + 1000]
-            for (word, _), found in zip(part, self.tokenizer.encode_batch([t for _, t in part], add_special_tokens=False)):
-                self._keep(word, np.array(found.ids, np.uint32))
+            found = [x.ids for x in self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)]
+            self._keep(part, np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
 
     def learn(self, words: Iterable[bytes]) -> None:
         """Tokenise those of the words that aren't known."""
-        missing = sorted(set(words).difference(self.places))
+        different = set(words)
+        missing = different.difference(self.places)
         if len(self.places) + len(missing) > self.limit and len(self.places) > 1:
             self._forget()
-            missing = sorted(set(words).difference(self.places))
-        split, parts = [], set()
+            missing = different.difference(self.places)
+        parts, both, heads, tails = set(), [], [], []
         for word in missing:
-            if (m := self._tail.fullmatch(word)) and b"<|" not in word:
-                split.append((word, m[1], m[2]))
-                parts.update((m[1], m[2]))
+            head = word.rstrip(self._tail)
+            if len(head) < len(word) and head and head[-1] in self._before_tail and b"<|" not in word:
+                both.append(word)
+                heads.append(head)
+                tails.append(word[len(head) :])
             else:
                 parts.add(word)
-        self._tokenise(sorted(parts.difference(self.places)))
-        for word, head, tail in split:
-            if word not in self.places:
-                self._keep(word, np.concatenate([self._ids(head), self._ids(tail)]))
+        parts.update(heads, tails)
+        self._tokenise(parts.difference(self.places))
+        if both:
+            pairs = np.stack([self._places(heads), self._places(tails)], axis=1)
+            ids, _ = self._joined(pairs.ravel())
+            self._keep(both, ids, self.lengths[pairs].sum(1))
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by EOS, and how many each text has."""
@@ -126,12 +140,9 @@ class WordTokens:
             words.append(b"")
             counts[i] = len(words) - before
         self.learn(words)
-        places = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        lengths = self.lengths[places]
-        ends = np.cumsum(lengths)
-        at = np.repeat(self.starts[places] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        ids, ends = self._joined(self._places(words))
         last = np.cumsum(counts) - 1
-        return self.flat[at], np.diff(ends[last], prepend=0)
+        return ids, np.diff(ends[last], prepend=0)
 
 
 _TOKENS: dict[str, WordTokens] = {}
