@@ -194,3 +194,18 @@ def exact_dedup(documents: DataFrame) -> DataFrame:
     return digests.join(digest_groups(digests), "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+def without_copies(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that stay, one of each text, columns unchanged."""
+    digests = text_digests(documents)
+    groups = materialise(digest_groups(digests), "groups")
+    joined = digests.join(groups, "digest")
+    dropped = joined.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_dropped")).distinct()
+    kept = documents.join(dropped, documents["doc_id"].cast("long").eqNullSafe(F.col("_dropped")), "left_anti")
+    repeated = joined.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_repeated"))
+    if repeated.isEmpty():
+        return kept
+    same = documents["doc_id"].cast("long").eqNullSafe(F.col("_repeated"))
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, same, "left_anti").unionByName(once)

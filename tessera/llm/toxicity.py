@@ -1,10 +1,11 @@
 """Toxicity by a convolutional text classifier, trained in numpy.
 
-Words are hashed; those that the training sample holds often enough have an
-embedding each, all others share a few by hash. Filters of several widths run over
-the embeddings, each filter's largest value in the text goes to a logistic unit,
-and a threshold for each language (told from its function words in the text) is
-calibrated on a part of the sample that training doesn't see.
+A word and its first few bytes are hashed, and a word's embedding is the sum of
+theirs; hashes that the training sample doesn't hold often enough add nothing.
+Filters of several widths run over the embeddings, each filter's largest value in
+the text goes to a logistic unit, and a threshold for each language (told from its
+function words in the text) is calibrated on a part of the sample that training
+doesn't see.
 
 Scoring needs no product of matrices: the part of each filter that a word meets at
 each place is looked up.
@@ -32,8 +33,10 @@ from tessera.llm.labelled import held_out, sample
 #: Bounds of training: labelled documents, and characters of each.
 SAMPLE_ROWS, SAMPLE_CHARACTERS = 6000, 20_000
 WIDTHS, FILTERS, DIMENSIONS = (1, 2, 3), 8, 12
-LEAST_SEEN, SHARED_ROWS = 3, 64
-EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.01, 1e-3
+LEAST_SEEN = 3
+#: Beginnings of a word, in bytes, that are hashed besides the word.
+BEGINNINGS = (4, 5, 6)
+EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.01, 1e-3
 # Function words that tell languages apart.
 FUNCTION_WORDS = {
     "en": "the and of to is was that with for are this on it be not by from or an at",
@@ -54,29 +57,36 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word, 4)
 
 
-class _Rows(dict):
-    """Word -> row of the tables."""
+def word_hashes(word: bytes) -> list[int]:
+    return [word_hash(word), *(xxhash.xxh3_64_intdigest(word[:n], 100 + n) if len(word) >= n else 0 for n in BEGINNINGS)]
 
-    def __init__(self, known: dict[int, int], limit: int = 400_000):
-        super().__init__()
+
+class WordRows:
+    """Words seen so far, each with the embedding rows of its hashes (0: none). Word 0 is the padding."""
+
+    def __init__(self, known: dict[int, int], limit: int = 300_000):
         self.known, self.limit = known, limit
+        self.forget()
 
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(word)
-        row = 0 if not word else self.known.get(h, 1 + h % SHARED_ROWS)
-        if len(word) < 64:
-            self[word] = row
-        return row
+    def forget(self) -> None:
+        self.places: dict[bytes, int] = {b"": 0}
+        self.rows = np.zeros((1, 1 + len(BEGINNINGS)), np.int32)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        new = list(set(words).difference(self.places))
+        if len(self.places) + len(new) > self.limit and len(self.places) > 1:
+            self.forget()
+            new = list(set(words).difference(self.places))
+        if new:
+            get = self.known.get
+            self.places.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+            self.rows = np.concatenate([self.rows, np.array([[get(h, 0) for h in word_hashes(w)] for w in new], np.int32)])
+        return np.fromiter(map(self.places.__getitem__, words), np.int32, len(words))
 
 
 @dataclass
 class Network:
-    known: dict[int, int]  # hash of a word -> row; row 0: padding, then the shared rows
+    known: dict[int, int]  # hash -> row; row 0 adds nothing
     embedding: np.ndarray
     filters: list[np.ndarray]  # of each width: (width * dimensions, filters)
     bias: np.ndarray
@@ -84,52 +94,55 @@ class Network:
     offset: float
     thresholds: np.ndarray = field(default_factory=lambda: np.zeros(len(LANGUAGES)))  # logits by language
 
-    def tables(self) -> tuple[list[list[np.ndarray]], np.ndarray]:
-        """What a word adds to each filter at each place of a window, and its votes for languages."""
-        d = self.embedding.shape[1]
-        parts = [[np.ascontiguousarray(self.embedding @ f[o * d : (o + 1) * d]).astype(np.float32) for o in range(w)] for w, f in zip(WIDTHS, self.filters)]
-        votes = np.zeros((len(self.embedding), len(LANGUAGES) - 1), np.int32)
-        for k, language in enumerate(LANGUAGES[:-1]):
-            for word in FUNCTION_WORDS[language].split():
-                if (row := self.known.get(word_hash(word.encode()))) is not None:
-                    votes[row, k] = 1
-        return parts, votes
-
-
-def _joined(rows: _Rows, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of all words with padding behind each text, and where the texts begin and end."""
-    words: list[bytes] = []
-    starts, ends = [], []
-    gap = [b""] * (max(WIDTHS) - 1)
-    for text in texts:
-        starts.append(len(words))
-        words += words_of(text)
-        ends.append(len(words))
-        words += gap
-    return rows.of(words), np.array(starts), np.array(ends)
-
-
-def _largest(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    cuts = np.stack([starts, ends], axis=1).ravel()
-    return np.maximum.reduceat(values, cuts, axis=0)[::2]
-
-
-def score_texts(net: Network, tables: tuple[list[list[np.ndarray]], np.ndarray], rows: _Rows, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Logits before calibration, and the languages' numbers."""
-    parts, votes = tables
-    ids, starts, ends = _joined(rows, texts)
-    pooled = []
-    n = len(ids) - max(WIDTHS) + 1
-    for by_place in parts:
-        conv = by_place[0][ids[:n]]
-        for o, part in enumerate(by_place[1:], 1):
-            conv += part[ids[o : n + o]]
-        pooled.append(_largest(np.concatenate([conv, conv[:1]]), starts, ends))
-    hidden = np.maximum(np.concatenate(pooled, axis=1) + net.bias, 0)
-    cuts = np.stack([starts, ends], axis=1).ravel()
-    told = np.add.reduceat(np.concatenate([votes[ids], votes[:1]]), cuts, axis=0)[::2]
-    language = np.where(told.max(1) > 0, told.argmax(1), len(LANGUAGES) - 1)
-    return hidden @ net.out + net.offset, language
+
+
+class Scorer:
+    """A network with what each word seen so far adds to the filters, and its votes for languages."""
+
+    def __init__(self, net: Network):
+        self.net, self.words = net, WordRows(net.known)
+        self.filters = np.concatenate([f.reshape(w, DIMENSIONS, FILTERS)[o] for w, f in zip(WIDTHS, net.filters) for o in range(w)], axis=1).astype(np.float32)
+        self.function = {word.encode(): k for k, language in enumerate(LANGUAGES[:-1]) for word in FUNCTION_WORDS[language].split()}
+        self._empty()
+
+    def _empty(self) -> None:
+        self.parts, self.votes = np.zeros((0, self.filters.shape[1]), np.float32), np.zeros((0, len(LANGUAGES) - 1), np.int32)
+
+    def _learn(self) -> None:
+        if new := len(self.words.rows) - len(self.parts):
+            self.parts = np.concatenate([self.parts, self.net.embedding[self.words.rows[-new:]].sum(1) @ self.filters])
+            self.votes = np.concatenate([self.votes, np.zeros((new, len(LANGUAGES) - 1), np.int32)])
+            for word, k in self.function.items():
+                if (place := self.words.places.get(word)) is not None:
+                    self.votes[place, k] = 1
+
+    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Logits before calibration, and the languages' numbers."""
+        words: list[bytes] = []
+        starts, ends = [], []
+        gap = [b""] * (max(WIDTHS) - 1)
+        for text in texts:
+            starts.append(len(words))
+            words += words_of(text)
+            ends.append(len(words))
+            words += gap
+        places = self.words.places
+        ids = self.words.of(words)
+        if self.words.places is not places:
+            self._empty()
+        self._learn()
+        cuts = np.stack([starts, ends], axis=1).ravel()
+        n, pooled, column = len(ids) - max(WIDTHS) + 1, [], 0
+        for w in WIDTHS:
+            conv = np.zeros((n + 1, FILTERS), np.float32)
+            for o in range(w):
+                conv[:n] += self.parts[:, column : column + FILTERS][ids[o : n + o]]
+                column += FILTERS
+            pooled.append(np.maximum.reduceat(conv, cuts, axis=0)[::2])
+        hidden = np.maximum(np.concatenate(pooled, axis=1) + self.net.bias, 0)
+        told = np.add.reduceat(np.concatenate([self.votes[ids], self.votes[:1]]), cuts, axis=0)[::2]
+        language = np.where(told.max(1) > 0, told.argmax(1), len(LANGUAGES) - 1)
+        return hidden @ self.net.out + self.net.offset, language
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -139,19 +152,21 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
     """Adam on log loss; the gradient of a pooled filter goes to the window that gave its largest value."""
     rng = np.random.default_rng(seed)
-    seen: dict[bytes, int] = {}
+    seen: dict[int, int] = {}
     for text in texts:
-        for word in set(words_of(text)):
-            seen[word] = seen.get(word, 0) + 1
-    always = {w.encode() for ws in FUNCTION_WORDS.values() for w in ws.split()}
-    kept = sorted({word_hash(w) for w, n in seen.items() if w and n >= LEAST_SEEN} | {word_hash(w) for w in always})
-    known = {h: 1 + SHARED_ROWS + i for i, h in enumerate(kept)}
-    rows, d, n_filters = _Rows(known), DIMENSIONS, FILTERS * len(WIDTHS)
-    params = {"e": rng.normal(0, 0.1, (1 + SHARED_ROWS + len(kept), d)), "b": np.zeros(n_filters), "o": rng.normal(0, 0.3, n_filters), "c": np.zeros(1)}
+        for h in {h for word in set(words_of(text)) if word for h in word_hashes(word)}:
+            seen[h] = seen.get(h, 0) + 1
+    kept = sorted(h for h, n in seen.items() if h and n >= LEAST_SEEN)
+    known = {h: 1 + i for i, h in enumerate(kept)}
+    words, d, n_filters = WordRows(known), DIMENSIONS, FILTERS * len(WIDTHS)
+    params = {"e": rng.normal(0, 0.05, (1 + len(kept), d)), "b": np.zeros(n_filters), "o": rng.normal(0, 0.3, n_filters), "c": np.zeros(1)}
     params["e"][0] = 0
     params |= {f"f{k}": rng.normal(0, 1 / np.sqrt(w * d), (w * d, FILTERS)) for k, w in enumerate(WIDTHS)}
     m, v = {k: np.zeros_like(x) for k, x in params.items()}, {k: np.zeros_like(x) for k, x in params.items()}
-    ids = [np.concatenate([rows.of(words_of(x)), np.zeros(max(WIDTHS) - 1, np.int32)]) for x in texts]
+    rows = []
+    for text in texts:
+        own = words.of([*words_of(text), *[b""] * (max(WIDTHS) - 1)])
+        rows.append(words.rows[own])
     calibrating = rng.random(len(texts)) < 0.2
     training = np.flatnonzero(~calibrating)
     weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-3), 0.5 / max(1 - labels.mean(), 1e-3)).clip(0.2, 5)
@@ -160,7 +175,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
         for batch in np.array_split(rng.permutation(training), max(1, len(training) // BATCH)):
             pooled, windows = np.zeros((len(batch), n_filters)), np.zeros((len(batch), n_filters), np.int64)
             for r, i in enumerate(batch):
-                e = params["e"][ids[i]]
+                e = params["e"][rows[i]].sum(1)
                 n = len(e) - max(WIDTHS) + 1
                 for k, w in enumerate(WIDTHS):
                     f = params[f"f{k}"]
@@ -179,9 +194,9 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
                     h = back[:, k * FILTERS + j]
                     at = windows[:, k * FILTERS + j]
                     for o in range(w):
-                        found = np.array([ids[i][a + o] for i, a in zip(batch, at)])
-                        gf[o * d : (o + 1) * d, j] = params["e"][found].T @ h
-                        np.add.at(grad["e"], found, h[:, None] * f[o * d : (o + 1) * d, j][None, :])
+                        found = np.array([rows[i][a + o] for i, a in zip(batch, at)])
+                        gf[o * d : (o + 1) * d, j] = params["e"][found].sum(1).T @ h
+                        np.add.at(grad["e"], found, (h[:, None] * f[o * d : (o + 1) * d, j][None, :])[:, None, :])
                 grad[f"f{k}"] = gf
             grad["e"][0] = 0
             step += 1
@@ -190,25 +205,25 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
                 v[k] = 0.999 * v[k] + 0.001 * grad[k] ** 2
                 x -= RATE * ((m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8) + DECAY * x * (k != "c"))
     net = Network(known, params["e"].astype(np.float32), [params[f"f{k}"] for k in range(len(WIDTHS))], params["b"], params["o"], float(params["c"][0]))
-    _calibrate(net, rows, [texts[i] for i in np.flatnonzero(calibrating)], labels[calibrating])
+    _calibrate(net, [texts[i] for i in np.flatnonzero(calibrating)], labels[calibrating])
     return net
 
 
 def _best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the gap at which F1 is largest."""
+    """Where F1 is largest, a third of the way up the gap there."""
     order = np.argsort(-logits, kind="stable")
     hits = np.cumsum(labels[order])
     f1 = 2 * hits / (np.arange(1, len(order) + 1) + labels.sum())
     k = int(np.argmax(f1))
     below = logits[order[k + 1]] if k + 1 < len(order) else logits[order[k]] - 2
-    return float((logits[order[k]] + below) / 2)
+    return float((logits[order[k]] + 2 * below) / 3)
 
 
-def _calibrate(net: Network, rows: _Rows, texts: list[bytes], labels: np.ndarray, least: int = 8) -> None:
+def _calibrate(net: Network, texts: list[bytes], labels: np.ndarray, least: int = 8) -> None:
     """A language with fewer than ``least`` toxic or clean documents in the part keeps the threshold of all."""
     if not len(texts) or not labels.any():
         return
-    logits, language = score_texts(net, net.tables(), rows, texts)
+    logits, language = Scorer(net)(texts)
     net.thresholds[:] = _best_threshold(logits, labels)
     for k in range(len(LANGUAGES)):
         own = language == k
@@ -219,12 +234,11 @@ def _calibrate(net: Network, rows: _Rows, texts: list[bytes], labels: np.ndarray
 def _scored(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network | None = shared.value
-        if net is not None:
-            tables, rows = net.tables(), _Rows(net.known)
+        scorer = Scorer(net) if net is not None else None
         for batch, texts in text_steps(batches, "_text", 2 << 20):
             score = np.zeros(len(texts))
-            if net is not None:
-                logits, language = score_texts(net, tables, rows, texts)
+            if scorer is not None:
+                logits, language = scorer(texts)
                 score = _sigmoid(logits - net.thresholds[language])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*batch.schema.names[:-1], "score"])
 
