@@ -20,7 +20,7 @@ columns are ignored; an empty table gives an empty result. Texts are read whole.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,19 +74,6 @@ def _runs(words: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _gathering(ranges: int, entries: Callable[[pa.RecordBatch, list[bytes | None], blocks.Gathered], None], text: str = "text"):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = blocks.Gathered()
-        for batch, texts in text_steps(batches, text):
-            entries(batch, texts, held)
-            if held.full():
-                yield from held.blocks(ranges)
-                held = blocks.Gathered()
-        yield from held.blocks(ranges)
-
-    return run
-
-
 def _anchors(window: int, period: int, cover: tuple[int, ...]):
     length = window - period + 1
     chosen = np.isin(np.arange(period), cover)
@@ -103,8 +90,8 @@ def _anchors(window: int, period: int, cover: tuple[int, ...]):
     return entries
 
 
-def _positions(parts: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(parts or []), "<u4").astype(np.int64)
+def _positions(packed: bytes | None) -> np.ndarray:
+    return np.frombuffer(packed or b"", "<u4").astype(np.int64)
 
 
 def _spans(n: int, starts: np.ndarray, before: int, after: int) -> np.ndarray:
@@ -170,11 +157,6 @@ def _kept(window: int):
     return run
 
 
-def _repeated(entries: DataFrame, ranges: int, dtype: np.dtype) -> DataFrame:
-    found = entries.repartition(ranges, "hash_range").mapInArrow(blocks.repeats(dtype), "id long, positions binary")
-    return found.groupBy("id").agg(F.collect_list("positions").alias("positions"))
-
-
 def substring_dedup(documents: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """For every row: doc_id, n_words, n_removed, kept_sha256, and the spans of removed words (first, end)."""
     if window < period or not covers(period, cover):
@@ -182,17 +164,15 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, period: int = PE
     ranges = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.col("text").cast("string")
     rows = documents.select(F.xxhash64("doc_id", text).alias("id"), F.col("doc_id").cast("long"), text.alias("text"))
-    anchored = rows.select("id", "text").mapInArrow(_gathering(ranges, _anchors(window, period, cover)), blocks.SCHEMA)
-    anchors = _repeated(anchored, ranges, blocks.NARROW).withColumnRenamed("positions", "anchors")
+    anchors = blocks.repeated(rows.select("id", "text"), ranges, blocks.NARROW, _anchors(window, period, cover)).withColumnRenamed("positions", "anchors")
     settled = materialise(
         rows.join(anchors, "id", "left").select("id", "doc_id", "text", "anchors").mapInArrow(
-            _settled, "id long, doc_id long, pending boolean, n_words long, kept_sha256 string, text string, anchors array<binary>"
+            _settled, "id long, doc_id long, pending boolean, n_words long, kept_sha256 string, text string, anchors binary"
         ),
         "settled",
     )
     pending = settled.filter("pending")
-    windowed = pending.select("id", "text", "anchors").mapInArrow(_gathering(ranges, _windows(window, period)), blocks.SCHEMA)
-    starts = _repeated(windowed, ranges, blocks.WIDE)
+    starts = blocks.repeated(pending.select("id", "text", "anchors"), ranges, blocks.WIDE, _windows(window, period))
     cut = pending.select("id", "doc_id", "text", "n_words").join(starts, "id", "left").select("doc_id", "text", "positions", "n_words")
     done = settled.filter(~F.col("pending")).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.array().cast("array<array<bigint>>").alias("removed_spans"))
     result = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed_spans array<array<bigint>>"
