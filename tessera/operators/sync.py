@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Documents in these states can be searched.
@@ -94,3 +94,11 @@ def folded_jobs(events: DataFrame, now: str, most_attempts: int = 3) -> DataFram
         .otherwise("queued")
     )
     return folded.select("job_id", status.alias("status"), attempts.alias("attempts"), F.col("last.at").alias("updated_at"))
+
+
+def document_view(status: Column, chunk_count: Column, semantic_enabled: bool = True) -> dict[str, Column]:
+    """What a document can be used for (content) and how far its vectors are (semantic)."""
+    early = status.isin("awaiting_chunks", "stored", "processing")
+    content = F.when(status == "processing_error", "unavailable").when(early, "processing").when(F.coalesce(chunk_count, F.lit(0)) == 0, "unavailable").otherwise("usable")
+    semantic = F.when(F.lit(not semantic_enabled), "off").when(content != "usable", "pending").when(status == "error", "failed").when(status == "indexed", "ready").otherwise("pending")
+    return {"content": content, "semantic": semantic}

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
-from tessera.operators import context, evaluation, fusion, lexical, sync, vectors, versions
+from tessera.operators import context, evaluation, fusion, lexical, rewrites, sync, vectors, versions
+from tessera.sources import chunks as chunking
 from tessera.sources import pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -664,3 +665,83 @@ def eval_by_category(spark, sf_dir):
 @query("percentile_nearest_rank", "SELECT event_type, quantile_disc(value, 0.95) AS value FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def percentile_nearest_rank(spark, sf_dir):
     return evaluation.percentile(table(spark, sf_dir, "events"), "value", 95, "event_type")
+
+
+# ---- sources, rewrites, views ----------------------------------------------------------------
+
+
+@query("fixed_window_chunks", """WITH c AS (SELECT doc_id, unnest(range(0, greatest(CAST(ceil((length(text) - 200) / 1600.0) AS BIGINT), 1))) AS i, text FROM documents)
+    SELECT doc_id, i AS position, md5(substr(text, CAST(i * 1600 + 1 AS BIGINT), 1800)) AS content FROM c WHERE length(substr(text, CAST(i * 1600 + 1 AS BIGINT), 1800)) >= 200""")
+def fixed_window_chunks(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.fixed_windows(F.col("text"))).alias("position", "c")).select("doc_id", F.col("position").cast("long").alias("position"), F.md5("c").alias("content"))
+
+
+@query("document_chunks")
+def document_chunks(spark, sf_dir):
+    return chunking.chunks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"))
+
+
+@query("exact_terms", f"""WITH {TEXTS_SQL}, found AS (SELECT id AS query_id, unnest(list_distinct(regexp_extract_all(trim(regexp_replace(text, '\\s+', ' ', 'g')), '\\b[A-Za-z_]\\w*(?:\\.[A-Za-z_]\\w*)+'))) AS term FROM texts WHERE id IN (1, 3, 5, 8))
+    SELECT query_id, term, 'symbol' AS kind, 1.8::DOUBLE AS weight FROM found WHERE lower(term) <> 'node.js'""")
+def exact_terms(spark, sf_dir):
+    """Symbols within general queries (of those literals that hold any)."""
+    queries = texts(spark, sf_dir).filter("id in (1, 3, 5, 8)").withColumnRenamed("id", "query_id")
+    return rewrites.exact_terms(queries).filter("kind = 'symbol'")
+
+
+@query("query_variants")
+def query_variants(spark, sf_dir):
+    return rewrites.variants(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
+TERMINOLOGY = [
+    (1, ["访问令牌", "訪問令牌", "access token", "access-token"], []),
+    (2, ["反向代理", "reverse proxy", "reverse-proxy"], ["forward proxy", "正向代理", "普通代理"]),
+    (3, ["钠离子电池", "sodium-ion battery", "sodium ion battery"], []),
+]
+
+
+@query("terminology_rewrite", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), '访问令牌|訪問令牌', ''), (2, 'reverse proxy|reverse-proxy', 'forward proxy|正向代理|普通代理')) AS t(query_id, synonyms, excludes)")
+def terminology_rewrite(spark, sf_dir):
+    entries = literals(spark, TERMINOLOGY, "entry int, terms array<string>, exclude array<string>")
+    queries = literals(spark, [(1, "how to get an access token"), (2, "反向代理"), (3, "nothing here"), (4, "代理")], "query_id long, text string")
+    found = rewrites.terminology(queries, entries)
+    return found.select("query_id", F.array_join("synonyms", "|").alias("synonyms"), F.array_join("excludes", "|").alias("excludes"))
+
+
+@query("document_view", f"""WITH {LIBRARY_SQL} SELECT document_id, CASE WHEN status = 'processing_error' THEN 'unavailable' WHEN status IN ('awaiting_chunks', 'stored', 'processing') THEN 'processing' WHEN chunk_count = 0 THEN 'unavailable' ELSE 'usable' END AS content,
+    CASE WHEN status IN ('processing_error', 'awaiting_chunks', 'stored', 'processing') OR chunk_count = 0 THEN 'pending' WHEN status = 'error' THEN 'failed' WHEN status = 'indexed' THEN 'ready' ELSE 'pending' END AS semantic FROM library""")
+def document_view(spark, sf_dir):
+    return library(spark, sf_dir).select("document_id", *[c.alias(n) for n, c in sync.document_view(F.col("status"), F.col("chunk_count")).items()])
+
+
+@query("citation_sources", f"""WITH {ITEMS_SQL}, latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY item_id DESC) AS n FROM items) WHERE n = 1)
+    SELECT l.doc_id AS document_id, i.item_id, i.title FROM labels l LEFT JOIN latest i ON i.document_id = l.doc_id""")
+def citation_sources(spark, sf_dir):
+    latest = versions.latest(items(spark, sf_dir), ["document_id"], ["item_id"]).select("document_id", "item_id", "title")
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id")).join(latest, "document_id", "left")
+
+
+@query("job_summary", """WITH j AS (SELECT event_type AS status FROM events ORDER BY ts DESC, event_id DESC LIMIT 500) SELECT status, count(*) AS n FROM j GROUP BY status""")
+def job_summary(spark, sf_dir):
+    """Counts over the 500 newest jobs."""
+    newest = table(spark, sf_dir, "events").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(500)
+    return newest.groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("save_conversations", """WITH saves AS (SELECT DISTINCT conv_id, conv_id % 4 AS mode FROM conversations WHERE conv_id % 2 = 0)
+    SELECT conv_id, turn, role, text FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM saves WHERE mode = 0) UNION ALL SELECT conv_id, 0, 'user', 'saved' FROM saves WHERE mode = 0 AND conv_id % 8 = 0""")
+def save_conversations(spark, sf_dir):
+    """Of the even conversations, a quarter of all is replaced (by one message or none), the others save a title only."""
+    stored = table(spark, sf_dir, "conversations")
+    message = F.array(F.struct(F.lit("user").alias("role"), F.lit("saved").alias("text")))
+    content = F.when(F.col("conv_id") % 8 == 0, message).when(F.col("conv_id") % 4 == 0, F.slice(message, 1, 0))
+    return versions.saved_conversations(stored, stored.filter("conv_id % 2 = 0").select("conv_id").distinct().select("conv_id", F.lit(1).alias("saved_at"), content.alias("messages")))
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    """An extension: counts by window of event time, as a batch."""
+    from tessera.streaming import events
+
+    return events.windowed_counts(table(spark, sf_dir, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
