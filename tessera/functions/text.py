@@ -6,7 +6,7 @@ knows all Unicode letters and would cut other tokens than the ones intended.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,6 +49,11 @@ ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaa
 Text = Column
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once for the row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def collapse(x: Text) -> Column:
     """White space runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(x, r"\s+", " "))
@@ -189,19 +194,21 @@ def looks_like_markdown(x: Text) -> Column:
 
 def keyword_score(content: Text, terms: Column) -> Column:
     """Characters that non-overlapping occurrences of the terms cover, summed over the terms."""
-    lowered = F.lower(content)
-    return F.aggregate(terms, F.lit(0), lambda total, t: total + F.length(lowered) - F.length(F.replace(lowered, t, F.lit("")))).cast("long")
+    return let(F.lower(content), lambda c: F.aggregate(terms, F.lit(0), lambda total, t: total + F.length(c) - F.length(F.replace(c, t, F.lit(""))))).cast("long")
 
 
 def term_coverage(content: Text, terms: Column) -> Column:
     """How many different terms the text holds, whatever the case. Chinese runs whose bigrams are all terms don't count."""
     wanted = F.array_distinct(F.filter(F.transform(terms, lambda t: F.trim(F.lower(t))), lambda t: t != ""))
 
-    def covered(t: Column) -> Column:
-        bigrams = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
-        return F.when(t.rlike(r"^\p{IsHan}{3,}$"), F.forall(bigrams, lambda b: F.array_contains(wanted, b))).otherwise(F.lit(False))
+    def counted(each: Column, lowered: Column) -> Column:
+        def covered(t: Column) -> Column:
+            bigrams = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
+            return F.when(t.rlike(r"^\p{IsHan}{3,}$"), F.forall(bigrams, lambda b: F.array_contains(each, b))).otherwise(F.lit(False))
+
+        return F.size(F.filter(each, lambda t: F.contains(lowered, t) & ~covered(t)))
 
-    return F.size(F.filter(wanted, lambda t: F.contains(F.lower(content), t) & ~covered(t))).cast("long")
+    return let(wanted, lambda each: let(F.lower(content), lambda lowered: counted(each, lowered))).cast("long")
 
 
 def contains_term(content: Text, term: str) -> Column:

@@ -6,7 +6,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 #: Bytes of text that one step in a Python worker holds at once (a single longer text is a step of its own).
 STEP_BYTES = 4 << 20
@@ -26,25 +25,6 @@ def text_steps(batches: Iterable[pa.RecordBatch], column: str = "text", step_byt
             yield batch.slice(start), texts[start:]
 
 
-class WordHashes(dict):
-    """Word (bytes) -> 64-bit hash, kept for words seen before; forgets everything at ``limit`` words."""
-
-    def __init__(self, seed: int = 0, limit: int = 400_000):
-        super().__init__()
-        self.seed, self.limit = seed, limit
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word, self.seed)
-        if len(word) < 64:
-            self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3: spreads every bit over all others."""
     x = x ^ (x >> np.uint64(33))
@@ -78,5 +58,49 @@ def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return mixed(out)
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+CHUNK_BYTES = 1 << 20
+
+
+class WordHasher:
+    """64-bit hashes of the words of texts, for whole arrays of bytes at once.
+
+    A word's hash is a polynomial of its bytes, modulo 2**64, from the difference of two
+    running sums over the text, then mixed with its length.
+    """
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            steps = np.full(n, self.base, np.uint64), np.full(n, self.inverse, np.uint64)
+            for x in steps:
+                x[0] = 1
+            self.powers, self.inverses = np.cumprod(steps[0]), np.cumprod(steps[1])
+
+    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words one after another, and how many each text has."""
+        raw = b" ".join([x or b"" for x in texts]) + b" "
+        lengths = np.array([len(x or b"") + 1 for x in texts], np.int64)
+        hashes, starts, at = [], [], 0
+        while at < len(raw):
+            end = len(raw)
+            if end - at > CHUNK_BYTES:
+                end = raw.rfind(b" ", at, at + CHUNK_BYTES) + 1 or raw.find(b" ", at + CHUNK_BYTES) + 1
+            found, where = self._chunk(np.frombuffer(raw, np.uint8, end - at, at))
+            hashes.append(found)
+            starts.append(where + at)
+            at = end
+        return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), np.append(0, np.cumsum(lengths))))
+
+    def _chunk(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self._grow(len(raw) + 1)
+        edges = np.flatnonzero(np.diff(_SPACE[raw], prepend=True))
+        starts = edges[::2]
+        ends = edges[1::2] if len(edges) % 2 == 0 else np.append(edges[1::2], len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers[: len(raw)], out=sums[1:])
+        value = (sums[ends] - sums[starts]) * self.inverses[starts]
+        return mixed(value + (ends - starts).astype(np.uint64)), starts

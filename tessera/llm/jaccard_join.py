@@ -7,8 +7,10 @@ a threshold; the result is the connected components of all links.
 2. Candidates. Sets of nearly equal size that link differ in at most h shingles.
    The hash space is cut into more than h segments, so one segment, at least,
    holds the same shingles in both sets. Documents that share the content of a
-   segment are candidates, and so are those connected through others. A passage
-   that many texts share fills no segment on its own, so it makes no candidates.
+   segment are candidates, and so are those connected through others. Frequent
+   shingles are left out of the segments, which can't make two sets differ in more
+   segments; so a passage that many texts share makes no candidates. Sets that
+   have too little besides frequent shingles are cut with them a second time.
 3. Signature trees. The documents of a candidate class, in blocks of bounded
    size, form a tree whose nodes hold OR-combined token bitmaps and size ranges.
    A dual traversal drops every pair of nodes whose largest possible overlap is
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.batches import WordHashes, mixed, run_hashes, text_steps
+from tessera.llm.batches import WordHasher, mixed, run_hashes, text_steps
 from tessera.llm.components import components
 from tessera.plans.storage import materialise
 
@@ -44,42 +46,49 @@ SHINGLE, PERCENT = 5, 80
 #: Bounds of a block of a class: shingles and documents.
 BLOCK_SHINGLES, BLOCK_DOCUMENTS = 400_000, 2000
 FAN_OUT = 8
+#: A shingle is frequent from so many different sets in a step of a task, and so many in all; at most so many count as frequent.
+OFTEN_IN_STEP, OFTEN, MOST_FREQUENT = 3, 12, 1 << 19
 FLUSH_ENTRIES = 3_000_000
 BAND_RATIO = 1.5
 
-_HASHES = WordHashes(seed=3)
+_HASHES = WordHasher(0xE7037ED1A0B428DB)
 
 
 def shingle_sets(texts: list[bytes | None], shingle: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    words: list[bytes] = []
-    ends = []
-    for text in texts:
-        words += text.lower().split() if text else []
-        ends.append(len(words))
-    hashes = _HASHES.of(words)
+    hashes, counts = _HASHES.of([x.lower() if x else x for x in texts])
     runs = run_hashes(hashes, shingle)
     start = 0
-    for end in ends:
-        n = end - start
-        yield np.unique(runs[start : end - shingle + 1]) if n >= shingle else mixed(run_hashes(hashes[start:end], n) + np.uint64(n)) if n else runs[:0]
-        start = end
+    for n in counts.tolist():
+        if n >= shingle:
+            found = np.sort(runs[start : start + n - shingle + 1])
+            yield found[np.append(True, found[1:] != found[:-1])]
+        else:
+            yield mixed(run_hashes(hashes[start : start + n], n) + np.uint64(n)) if n else runs[:0]
+        start += n
 
 
 class Segments:
     """How a set is cut. Sizes fall into bands; a pair of linked sets lies in one band or in two neighbours.
 
-    A set takes part on the level of its own band and on the next. On each level all
+    A set takes part on the level of its own band, and on the next if a set there is
+    small enough to link with it. On each level all
     sets are cut into the same number of segments of equal hash range: more than the
     shingles in which two linked sets of that level can differ, and as many again as
-    segments are likely to be empty. A set with more empty segments than that also
-    gives the places of its empty segments, so that no link is lost.
+    segments are likely to be empty.
+
+    ``frequent`` shingles are left out at first. If all segments that two linked sets
+    have in common are empty, each set has more empty ones than the pigeonhole spares;
+    such sets are cut again with all their shingles, and if that leaves them too many
+    empty segments as well, their places count as contents. So no link is lost,
+    whatever is called frequent.
     """
 
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, frequent: np.ndarray | None = None):
         if not 50 <= percent <= 100:
             raise ValueError("percent must lie between 50 and 100")
         self.percent = percent
+        self.frequent = np.zeros(0, np.uint64) if frequent is None else frequent
         self.bounds = [1]
         self.levels: dict[int, tuple[int, int, np.ndarray, np.ndarray]] = {}
         if BAND_RATIO * percent < 100:
@@ -98,12 +107,10 @@ class Segments:
             while len(self.bounds) < j + 2:
                 self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * self.ratio)))
             most = 2 * (self.bounds[j + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-            least, k = self.bounds[max(j - 1, 0)], most + 1
-            for _ in range(50 if most else 0):
+            least, k = max(1, -(-self.bounds[j] * self.percent // 100)), most + 1
+            for _ in range(30 if most else 0):
                 empty = k * math.exp(-least / k)
-                k = most + 1 + math.ceil(empty + 5 * math.sqrt(empty))
-                if k > 4 * (most + 1):
-                    break
+                k = min(3 * (most + 1), most + 1 + math.ceil(empty + 3 * math.sqrt(empty)))
             firsts = np.array([(i << 64) // k for i in range(k)], np.uint64)
             salts = mixed(np.arange(k, dtype=np.uint64) + np.uint64((j + 1) << 32))
             self.levels[j] = k, most, firsts, salts
@@ -113,18 +120,32 @@ class Segments:
         """Keys of the contents of the set's segments."""
         if not len(shingles):
             return shingles
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(shingles))])
-        band, out = self.band(len(shingles)), []
-        for j in (band, band + 1):
-            k, most, firsts, salts = self.level(j)
-            cuts = np.append(np.searchsorted(shingles, firsts), len(shingles))
-            content = sums[cuts[1:]] - sums[cuts[:-1]]
-            full = cuts[1:] > cuts[:-1]
-            if k - int(full.sum()) < k - most:
-                content, salts = content[full], salts[full]
-            out.append(mixed(content ^ salts))
+        rare = shingles
+        if len(self.frequent):
+            at = np.searchsorted(self.frequent, shingles)
+            rare = shingles[self.frequent[np.minimum(at, len(self.frequent) - 1)] != shingles]
+        band = self.band(len(shingles))
+        out = [self._cut(j, rare, shingles) for j in ((band, band + 1) if len(shingles) * 100 >= self.bounds[band + 1] * self.percent else (band,))]
         return np.concatenate(out)
 
+    def _cut(self, j: int, rare: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+        k, most, firsts, salts = self.level(j)
+
+        def contents(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s)])
+            cuts = np.append(np.searchsorted(s, firsts), len(s))
+            return sums[cuts[1:]] - sums[cuts[:-1]], cuts[1:] > cuts[:-1]
+
+        content, full = contents(rare)
+        first = mixed(content[full] ^ salts[full])
+        if k - int(full.sum()) < k - most:
+            return first
+        content, full = contents(shingles)
+        again = ~salts
+        if k - int(full.sum()) < k - most:
+            content, again = content[full], again[full]
+        return np.concatenate([first, mixed(content ^ again)])
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     """Edges that connect what (a, b) connect, without cycles."""
@@ -161,7 +182,7 @@ def _bucket_edges(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nda
 CANDIDATES = "hash_range int, keys binary, places binary, ids binary, u long, v long"
 
 
-def _candidate_blocks(ranges: int, shingle: int, percent: int):
+def _candidate_blocks(ranges: int, shingle: int, percent: int, frequent):
     types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
 
     def rows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -183,12 +204,12 @@ def _candidate_blocks(ranges: int, shingle: int, percent: int):
         for r in range(ranges):
             if cuts[r] < cuts[r + 1]:
                 some, index = np.unique(place[cuts[r] : cuts[r + 1]], return_inverse=True)
-                out.append((r, every[cuts[r] : cuts[r + 1]].tobytes(), index.astype("<u4").tobytes(), known[some].tobytes(), None, None))
+                out.append((r, every[cuts[r] : cuts[r + 1]].tobytes(), index.astype("<u2" if len(some) <= 1 << 16 else "<u4").tobytes(), known[some].tobytes(), None, None))
         for start in range(0, len(out), 64):
             yield from rows(out[start : start + 64])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments, keys, ids, entries = Segments(percent), [], [], 0
+        segments, keys, ids, entries = Segments(percent, frequent.value), [], [], 0
         for batch, texts in text_steps(batches):
             for doc, shingles in zip(batch.column(0).to_pylist(), shingle_sets(texts, shingle)):
                 if doc is not None and len(shingles):
@@ -214,7 +235,8 @@ def _range_edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 left.append(u)
                 right.append(v)
             else:
-                held.setdefault(r, []).append((np.frombuffer(keys, "<u8"), np.frombuffer(ids, "<i8")[np.frombuffer(places, "<u4")]))
+                keys, ids = np.frombuffer(keys, "<u8"), np.frombuffer(ids, "<i8")
+                held.setdefault(r, []).append((keys, ids[np.frombuffer(places, "<u2" if len(ids) <= 1 << 16 else "<u4")]))
     for r in list(held):
         parts = held.pop(r)
         keys, ids = np.concatenate([k for k, _ in parts]), np.concatenate([i for _, i in parts])
@@ -317,7 +339,18 @@ def _tree_links(shingle: int, percent: int):
 
 
 def _set_rows(shingle: int):
+    """A row (kind 0) for each document, and one (kind 1) for each shingle that several different sets of a step of the task hold."""
+    names = ["kind", "doc_id", "n_shingles", "set_a", "set_b"]
+
+    def often(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+        found, counts = found[counts >= OFTEN_IN_STEP], counts[counts >= OFTEN_IN_STEP]
+        none = pa.nulls(len(found), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), none, pa.array(counts.astype(np.int64)), pa.array(found.view(np.int64)), none], names)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        size = 0
         for batch, texts in text_steps(batches):
             sizes, a, b = [], [], []
             for s in shingle_sets(texts, shingle):
@@ -325,7 +358,15 @@ def _set_rows(shingle: int):
                 sizes.append(len(s))
                 a.append(int.from_bytes(digest[:8], "little", signed=True))
                 b.append(int.from_bytes(digest[8:], "little", signed=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "n_shingles", "set_a", "set_b"])
+                if a[-1] not in held and len(s):
+                    held[a[-1]] = s
+                    size += len(s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names)
+            if size >= FLUSH_ENTRIES:
+                yield often(held)
+                held, size = {}, 0
+        if held:
+            yield often(held)
 
     return run
 
@@ -347,18 +388,22 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     spark = documents.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = materialise(rows.mapInArrow(_set_rows(shingle), "doc_id long, n_shingles long, set_a long, set_b long"), "sets")
+    found = materialise(rows.mapInArrow(_set_rows(shingle), "kind int, doc_id long, n_shingles long, set_a long, set_b long"), "sets")
+    sets = found.filter("kind = 0").drop("kind")
+    often = found.filter("kind = 1").groupBy("set_a").agg(F.sum("n_shingles").alias("n")).filter(F.col("n") >= OFTEN)
+    often = often.orderBy(F.col("n").desc(), "set_a").limit(MOST_FREQUENT).select("set_a").toArrow().column(0).to_numpy()
+    frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
     filled = sets.filter("n_shingles > 0 and doc_id is not null")
     leaders = filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("leader"))
     led = materialise(filled.join(leaders, ["set_a", "set_b"]).select("doc_id", "n_shingles", "leader"), "leaders")
 
-    found = rows.mapInArrow(_candidate_blocks(ranges, shingle, percent), CANDIDATES).repartition(ranges, "hash_range").mapInArrow(_range_edges, "u long, v long")
-    classes = materialise(components(found.distinct()), "classes")
+    linked = rows.mapInArrow(_candidate_blocks(ranges, shingle, percent, frequent), CANDIDATES).repartition(ranges, "hash_range").mapInArrow(_range_edges, "u long, v long")
+    classes = materialise(components(linked.distinct()), "classes")
     members = classes.join(led.filter("doc_id = leader"), F.col("node") == F.col("leader")).select(F.col("component").alias("class"), "leader", F.col("n_shingles").alias("n"))
     members = members.groupBy("leader").agg(F.min("class").alias("class"), F.max("n").alias("n")).select("class", F.col("leader").alias("cluster"), F.col("leader").alias("doc"), "n")
     alone = members.groupBy("class").count().filter("count > 1").select("class")
     blocked = _blocked(members.join(alone, "class"))
-    texts = materialise(blocked.join(rows.select(F.col("doc_id").alias("doc"), "text"), "doc").dropDuplicates(["doc", "text"]), "members")
+    texts = materialise(blocked.join(rows.select(F.col("doc_id").alias("doc"), "text"), "doc"), "members")
     links = materialise(_links_within(texts, ["class", "block"], shingle, percent), "links")
 
     large = texts.filter("blocks > 1")
@@ -376,27 +421,28 @@ def _clustered(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _across(large: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links between the blocks of classes that fill several."""
-    clustered = materialise(_clustered(large.drop("block", "blocks"), links), "clusters")
-    heads = _blocked(clustered.filter("doc = cluster").drop("text")).join(clustered.select("doc", "text"), "doc")
+    """Links between the blocks of classes that fill several. Texts join only what is to be compared."""
+    texts = large.select("doc", "text")
+    clustered = materialise(_clustered(large.drop("block", "blocks", "text"), links), "clusters")
+    heads = _blocked(clustered.filter("doc = cluster")).join(texts, "doc")
     more = materialise(_links_within(heads, ["class", "block"], shingle, percent), "links")
-    again = _clustered(clustered, links.unionByName(more))
-    open_classes = again.groupBy("class").agg(F.min("cluster").alias("_a"), F.max("cluster").alias("_b")).filter("_a < _b").select("class")
-    rest = again.join(open_classes, "class")
-    # A cluster's members go to blocks of its own if it is large, and to blocks shared by hash of the cluster if it is small.
+    again = materialise(_clustered(clustered, links.unionByName(more)), "clusters")
+    unsettled = again.groupBy("class").agg(F.min("cluster").alias("_a"), F.max("cluster").alias("_b")).filter("_a < _b").select("class")
+    rest = again.join(unsettled, "class")
+    # A large cluster's members go to blocks of its own; small clusters share blocks by hash.
     sizes = rest.groupBy("class", "cluster").agg(F.sum("n").alias("_n"), F.count("*").alias("_docs"))
-    own = F.greatest(F.ceil(F.col("_n") / BLOCK_SHINGLES), F.ceil(F.col("_docs") / BLOCK_DOCUMENTS)).cast("long")
+    fills = F.greatest(F.ceil(F.col("_n") / BLOCK_SHINGLES), F.ceil(F.col("_docs") / BLOCK_DOCUMENTS)).cast("long")
     big = (F.col("_n") * 2 > BLOCK_SHINGLES) | (F.col("_docs") * 2 > BLOCK_DOCUMENTS)
-    sizes = sizes.withColumn("own", F.when(big, own))
+    sizes = sizes.withColumn("own", F.when(big, fills))
     shared = sizes.filter("own is null").groupBy("class").agg(F.greatest(F.ceil(F.sum("_n") * 2 / BLOCK_SHINGLES), F.ceil(F.sum("_docs") * 2 / BLOCK_DOCUMENTS)).cast("long").alias("shared"))
     placed = sizes.join(shared, "class", "left").select(
         "class", "cluster", "own", F.when(F.col("own").isNotNull(), F.col("cluster")).alias("lone"), F.pmod(F.xxhash64("cluster"), F.coalesce("shared", F.lit(1))).alias("_shared")
     )
     block = F.when(F.col("own").isNotNull(), F.concat_ws(":", F.lit("own"), "cluster", F.pmod(F.xxhash64("doc"), F.col("own")))).otherwise(F.concat_ws(":", F.lit("shared"), "_shared"))
-    dealt = materialise(rest.join(placed, ["class", "cluster"]).withColumn("block", block).select("class", "cluster", "doc", "n", "text", "block", "lone"), "blocks")
+    dealt = materialise(rest.join(placed, ["class", "cluster"]).withColumn("block", block).select("class", "cluster", "doc", "n", "block", "lone"), "blocks")
     blocks = dealt.select("class", "block", "lone").distinct()
     other = blocks.select("class", F.col("block").alias("block2"), F.col("lone").alias("lone2"))
     pairs = blocks.join(other, "class").filter("block <= block2 and not (lone is not null and lone2 is not null and lone = lone2)")
     sides = pairs.select("class", "block", "block2", F.explode(F.array_distinct(F.array("block", "block2"))).alias("side"))
-    copies = sides.join(dealt.withColumnRenamed("block", "side"), ["class", "side"])
+    copies = sides.join(dealt.withColumnRenamed("block", "side"), ["class", "side"]).join(texts, "doc")
     return more.unionByName(_links_within(copies, ["class", "block", "block2"], shingle, percent))

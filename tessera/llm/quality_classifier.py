@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.batches import WordHashes, text_steps
+from tessera.llm.batches import WordHasher, text_steps
 from tessera.llm.labelled import held_out, sample
 
 #: Bounds of training: labelled documents, and characters of each.
@@ -33,7 +33,7 @@ STATISTICS = ("log_words", "word_bytes", "upper", "digits", "symbols", "stops",
 _UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 _SYMBOLS, _STOPS = b"#*$%&|<>{}[]=+~^_\\/@", b".,;:!?"
 _WIDE = bytes(range(128, 256))
-_HASHES = WordHashes(seed=5)
+_HASHES = WordHasher(0xA0761D6478BD642F)
 
 
 def _statistics(text: bytes, words: list[bytes], different: int) -> list[float]:
@@ -49,13 +49,10 @@ def _statistics(text: bytes, words: list[bytes], different: int) -> list[float]:
 
 def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows, buckets and values of words (unit length for each text), and the statistics."""
-    words: list[bytes] = []
     each = [(x or b"").split() for x in texts]
-    for own in each:
-        words += own
-    counts = np.array([len(x) for x in each], np.int64)
+    hashes, counts = _HASHES.of(texts)
     row = np.repeat(np.arange(len(texts)), counts)
-    key, n = np.unique(row * BUCKETS + (_HASHES.of(words) >> np.uint64(20)).astype(np.int64) % BUCKETS, return_counts=True)
+    key, n = np.unique(row * BUCKETS + (hashes >> np.uint64(20)).astype(np.int64) % BUCKETS, return_counts=True)
     row, bucket, value = key // BUCKETS, key % BUCKETS, np.log1p(n)
     norm = np.sqrt(np.bincount(row, weights=value * value, minlength=len(texts)))
     different = np.bincount(row, minlength=len(texts))

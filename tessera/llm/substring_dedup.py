@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import blocks
-from tessera.llm.batches import WordHashes, run_hashes, text_steps
+from tessera.llm.batches import WordHasher, run_hashes, text_steps
 from tessera.plans.storage import materialise
 
 WINDOW = 35
 #: A period and its difference cover (fixed values: a perfect difference set modulo 21).
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 
-_FIRST, _SECOND = WordHashes(seed=1), WordHashes(seed=2)
+_FIRST, _SECOND = WordHasher(0x9E3779B97F4A7C15), WordHasher(0xD6E8FEB86659FD93)
 
 
 def covers(period: int, cover: tuple[int, ...]) -> bool:
@@ -43,27 +43,21 @@ def covers(period: int, cover: tuple[int, ...]) -> bool:
 
 
 class _Words:
-    """The words of several texts one after another, and of each text the number and the place of its first."""
+    """The hashed words of several texts one after another, and of each text the number and the place of its first."""
 
     def __init__(self, texts: list[bytes | None]):
-        self.words: list[bytes] = []
-        counts = []
-        for text in texts:
-            own = text.split() if text else []
-            self.words += own
-            counts.append(len(own))
-        self.counts = np.array(counts, np.int64)
+        self.hashes, self.counts = _FIRST.of(texts)
         self.firsts = np.cumsum(self.counts) - self.counts
 
     def starts(self, length: int) -> np.ndarray:
         """Whether a run of ``length`` words starts at a place and ends in the same text."""
-        place = np.arange(len(self.words))
+        place = np.arange(len(self.hashes))
         ends = np.repeat(self.firsts + self.counts, self.counts)
         return place + length <= ends
 
     def within(self) -> np.ndarray:
         """Each word's place in its text."""
-        return np.arange(len(self.words)) - np.repeat(self.firsts, self.counts)
+        return np.arange(len(self.hashes)) - np.repeat(self.firsts, self.counts)
 
 
 def _runs(words: np.ndarray, length: int) -> np.ndarray:
@@ -80,12 +74,12 @@ def _anchors(window: int, period: int, cover: tuple[int, ...]):
 
     def entries(batch: pa.RecordBatch, texts: list[bytes | None], held: blocks.Gathered) -> None:
         w = _Words(texts)
-        if not w.words:
+        if not len(w.hashes):
             return
         long = np.repeat(w.counts >= window, w.counts)
         at = np.flatnonzero(w.starts(length) & long & chosen[w.within() % period])
-        hashes = _runs(_FIRST.of(w.words), length)[at].view(blocks.NARROW)
-        held.add(hashes, at, w.firsts, batch.column(0).to_numpy(zero_copy_only=False), len(w.words))
+        hashes = _runs(w.hashes, length)[at].view(blocks.NARROW)
+        held.add(hashes, at, w.firsts, batch.column(0).to_numpy(zero_copy_only=False), len(w.hashes))
 
     return entries
 
@@ -107,11 +101,11 @@ def _windows(window: int, period: int):
         w = _Words(texts)
         anchors = [_positions(x) + first for x, first in zip(batch.column(2).to_pylist(), w.firsts.tolist())]
         # An anchor starts within the first ``period`` words of a window.
-        at = np.flatnonzero(w.starts(window) & _spans(len(w.words), np.concatenate(anchors), period - 1, 0))
+        at = np.flatnonzero(w.starts(window) & _spans(len(w.hashes), np.concatenate(anchors), period - 1, 0))
         hashes = np.empty(len(at), blocks.WIDE)
-        hashes["a"] = _runs(_FIRST.of(w.words), window)[at]
-        hashes["b"] = _runs(_SECOND.of(w.words), window)[at].astype(np.uint32)
-        held.add(hashes, at, w.firsts, batch.column(0).to_numpy(zero_copy_only=False), len(w.words))
+        hashes["a"] = _runs(w.hashes, window)[at]
+        hashes["b"] = _runs(_SECOND.of(texts)[0], window)[at].astype(np.uint32)
+        held.add(hashes, at, w.firsts, batch.column(0).to_numpy(zero_copy_only=False), len(w.hashes))
 
     return entries
 
