@@ -27,17 +27,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour and none larger, or only larger ones; ``edges``: u > v, distinct."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (smallest node) of every node that has an edge to another; ``edges`` holds u and v (long)."""
-    held = materialise(edges.select("u", "v").filter("u <> v").distinct(), "edges")
-    before = None
-    while True:
-        now = held.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            break
-        before = now
+    held = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    while not _are_stars(held):
         after = materialise(_small_star(_large_star(held)), "edges")
         release(held)
         held = after
-    stars = held.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    nodes = held.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())

@@ -147,8 +147,8 @@ class Segments:
         return np.concatenate([first, mixed(content ^ again)])
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """Edges that connect what (a, b) connect, without cycles."""
+def stars(a: Iterable[int], b: Iterable[int]) -> tuple[list[int], list[int]]:
+    """An edge from each node that (a, b) connect with smaller ones to the smallest of them."""
     above: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -159,14 +159,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
             above[x], x = root, up
         return root
 
-    left, right = [], []
-    for x, y in zip(a.tolist(), b.tolist()):
+    for x, y in zip(a, b):
         p, q = top(x), top(y)
         if p != q:
             above[max(p, q)] = min(p, q)
-            left.append(x)
-            right.append(y)
-    return left, right
+    return list(above), [top(x) for x in above]
 
 
 def _bucket_edges(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,7 +193,7 @@ def _candidate_blocks(ranges: int, shingle: int, percent: int, frequent):
         order = np.argsort(every, kind="stable")
         every, place, known = every[order], place[order], np.array(ids, np.int64)
         a, b, firsts = _bucket_edges(every, known[place])
-        yield from rows([(-1 - x % ranges, None, None, None, x, y) for x, y in zip(*forest(a, b))])
+        yield from rows([(-1 - x % ranges, None, None, None, x, y) for x, y in zip(*stars(a.tolist(), b.tolist()))])
         every, place = every[firsts], place[firsts]
         where = ((every >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
         cuts = np.searchsorted(where, np.arange(ranges + 1))
@@ -244,9 +241,9 @@ def _range_edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, _ = _bucket_edges(keys[order], ids[order])
         left += a.tolist()
         right += b.tolist()
-    a, b = forest(np.array(left, np.int64), np.array(right, np.int64))
+    a, b = stars(left, right)
     for start in range(0, len(a), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(a[start : start + 10_000]), pa.array(b[start : start + 10_000])], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(a[start : start + 10_000], pa.int64()), pa.array(b[start : start + 10_000], pa.int64())], ["u", "v"])
 
 
 class SignatureTree:
@@ -327,13 +324,17 @@ class SignatureTree:
 
 
 def _tree_links(shingle: int, percent: int):
+    """For applyInArrow over a block: stars of the clusters that its links join."""
+
     def run(table: pa.Table) -> pa.Table:
         docs, texts = table.column("doc").to_pylist(), table.column("text").cast(pa.large_binary()).to_pylist()
         cluster = np.array(table.column("cluster").to_pylist(), np.int64)
         sets = list(shingle_sets(texts, shingle))
         order = sorted(range(len(docs)), key=lambda i: (int(sets[i][0]) if len(sets[i]) else 0, len(sets[i]), docs[i]))  # near copies tend to share their smallest shingle
         found = list(SignatureTree([sets[i] for i in order]).links(percent, cluster[order])) if len(docs) > 1 else []
-        return pa.table({"u": pa.array([docs[order[i]] for i, _ in found], pa.int64()), "v": pa.array([docs[order[j]] for _, j in found], pa.int64())})
+        owner = cluster[order].tolist()
+        u, v = stars([owner[i] for i, _ in found], [owner[j] for _, j in found])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
@@ -414,21 +415,27 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     return sets.join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _clustered(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows with the cluster that links put each document into."""
-    found = components(links).withColumnRenamed("component", "_cluster")
-    return rows.join(found, F.col("doc") == F.col("node"), "left").withColumn("cluster", F.coalesce("_cluster", "doc")).drop("node", "_cluster")
+def _moved(rows: DataFrame, column: str, links: DataFrame) -> DataFrame:
+    """rows (class, doc, n) with the cluster that the stars ``links`` put the value of ``column`` into."""
+    old = rows.select("class", "doc", "n", F.col(column).alias("_old"))
+    return old.join(links, F.col("_old") == F.col("u"), "left").select("class", F.coalesce("v", "_old").alias("cluster"), "doc", "n")
 
 
 def _across(large: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links between the blocks of classes that fill several. Texts join only what is to be compared."""
+    """Links between the blocks of classes that fill several. Texts join only what is to be compared.
+
+    Blocks don't overlap, so the links within them are stars already, and so are those
+    between the clusters' representatives.
+    """
     texts = large.select("doc", "text")
-    clustered = materialise(_clustered(large.drop("block", "blocks", "text"), links), "clusters")
+    clustered = materialise(_moved(large, "doc", links), "clusters")
     heads = _blocked(clustered.filter("doc = cluster")).join(texts, "doc")
     more = materialise(_links_within(heads, ["class", "block"], shingle, percent), "links")
-    again = materialise(_clustered(clustered, links.unionByName(more)), "clusters")
+    again = materialise(_moved(clustered, "cluster", more), "clusters")
     unsettled = again.groupBy("class").agg(F.min("cluster").alias("_a"), F.max("cluster").alias("_b")).filter("_a < _b").select("class")
-    rest = again.join(unsettled, "class")
+    rest = materialise(again.join(unsettled, "class"), "unsettled")
+    if rest.isEmpty():
+        return more
     # A large cluster's members go to blocks of its own; small clusters share blocks by hash.
     sizes = rest.groupBy("class", "cluster").agg(F.sum("n").alias("_n"), F.count("*").alias("_docs"))
     fills = F.greatest(F.ceil(F.col("_n") / BLOCK_SHINGLES), F.ceil(F.col("_docs") / BLOCK_DOCUMENTS)).cast("long")
