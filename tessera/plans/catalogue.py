@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 SPACES = "[\\x09-\\x0D ]"
+#: Words of a benchmark item that the SQL below searches for; the queries ``*_whole`` search for all of them.
+SQL_WORDS = 6
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -50,14 +53,14 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.coalesce("text", F.lit("")).alias("content"))
 
 
-def batch(spark: SparkSession, sf_dir: str, words: int = 6) -> DataFrame:
-    """The first words of each benchmark item as a query."""
-    text = F.array_join(F.slice(F.split(F.trim("text"), " +"), 1, words), " ")
+def batch(spark: SparkSession, sf_dir: str, words: int | None = None) -> DataFrame:
+    """Each benchmark item as a query: its whole text, or its first words."""
+    text = F.trim("text") if words is None else F.array_join(F.slice(F.split(F.trim("text"), " +"), 1, words), " ")
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("text"))
 
 
-def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch(spark, sf_dir).select("query_id", F.explode(fn.tokens(F.col("text"))).alias("token")).distinct()
+def query_tokens(spark: SparkSession, sf_dir: str, words: int | None = None) -> DataFrame:
+    return batch(spark, sf_dir, words).select("query_id", F.explode(fn.tokens(F.col("text"))).alias("token")).distinct()
 
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,22 +112,22 @@ scored AS (
 RANKED_SQL = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)"
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, words: int | None = None) -> DataFrame:
     found = chunks(spark, sf_dir)
-    return lexical.bm25(query_tokens(spark, sf_dir), lexical.plain_postings(found), lexical.lengths(found))
+    return lexical.bm25(query_tokens(spark, sf_dir, words), lexical.plain_postings(found), lexical.lengths(found))
 
 
 # ---- search -------------------------------------------------------------------------------
 
 
 @query("bm25_topk", f"WITH {TOKENS_SQL} SELECT query_id, chunk_id, score, rank FROM (SELECT *, {RANKED_SQL} AS rank FROM scored) WHERE rank <= 8")
-def bm25_topk(spark, sf_dir):
-    return lexical.top(scored(spark, sf_dir), 8).select("query_id", "chunk_id", "score", "rank")
+def bm25_topk(spark, sf_dir, words=SQL_WORDS):
+    return lexical.top(scored(spark, sf_dir, words), 8).select("query_id", "chunk_id", "score", "rank")
 
 
-def _at_least(spark, sf_dir, minimum):
-    terms = query_tokens(spark, sf_dir)
-    counted = scored(spark, sf_dir).join(terms.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
+def _at_least(spark, sf_dir, words, minimum):
+    terms = query_tokens(spark, sf_dir, words)
+    counted = scored(spark, sf_dir, words).join(terms.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
     return counted.filter(F.col("hits") >= minimum(F.col("n"))).select("query_id", "chunk_id", "hits")
 
 
@@ -133,18 +136,18 @@ MINIMUM_SQL = "CASE WHEN n <= 2 THEN n WHEN n <= 4 THEN (n * 3 + 3) // 4 WHEN n
 
 
 @query("and_match", _COUNTED + "n")
-def and_match(spark, sf_dir):
-    return _at_least(spark, sf_dir, lambda n: n)
+def and_match(spark, sf_dir, words=SQL_WORDS):
+    return _at_least(spark, sf_dir, words, lambda n: n)
 
 
 @query("min_should_match", _COUNTED + MINIMUM_SQL)
-def min_should_match(spark, sf_dir):
-    return _at_least(spark, sf_dir, fn.minimum_should_match)
+def min_should_match(spark, sf_dir, words=SQL_WORDS):
+    return _at_least(spark, sf_dir, words, fn.minimum_should_match)
 
 
 @query("explicit_or", _COUNTED + "1")
-def explicit_or(spark, sf_dir):
-    return _at_least(spark, sf_dir, lambda n: F.lit(1))
+def explicit_or(spark, sf_dir, words=SQL_WORDS):
+    return _at_least(spark, sf_dir, words, lambda n: F.lit(1))
 
 
 @query(
@@ -157,12 +160,12 @@ def explicit_or(spark, sf_dir):
     best AS (SELECT * FROM (SELECT *, min(step) OVER (PARTITION BY query_id) AS b FROM stepped WHERE step IS NOT NULL) WHERE step = b)
     SELECT query_id, chunk_id, score, rank, ['phrase', 'all', 'minimum_match'][step] AS step FROM (SELECT *, {RANKED_SQL} AS rank FROM best) WHERE rank <= 8""",
 )
-def ladder_first_nonempty(spark, sf_dir):
+def ladder_first_nonempty(spark, sf_dir, words=SQL_WORDS):
     """The ladder's steps over plain tokens, judged in one pass."""
-    terms = query_tokens(spark, sf_dir)
-    counts = terms.groupBy("query_id").agg(F.count("*").alias("n")).join(batch(spark, sf_dir), "query_id")
+    terms = query_tokens(spark, sf_dir, words)
+    counts = terms.groupBy("query_id").agg(F.count("*").alias("n")).join(batch(spark, sf_dir, words), "query_id")
     line = lambda c: F.concat(F.lit(" "), F.array_join(fn.tokens(F.col(c)), " "), F.lit(" "))
-    judged = scored(spark, sf_dir).join(counts, "query_id").join(chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
+    judged = scored(spark, sf_dir, words).join(counts, "query_id").join(chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
     step = F.when(F.contains(line("content"), line("text")), 1).when(F.col("hits") == F.col("n"), 2).when((F.col("n") >= 2) & (F.col("hits") >= fn.minimum_should_match(F.col("n"))), 3)
     found = judged.withColumn("step", step).filter("step is not null")
     best = found.withColumn("best", F.min("step").over(lexical.Window.partitionBy("query_id"))).filter("step = best")
@@ -197,9 +200,9 @@ def field_postings(spark, sf_dir):
 @query("keyword_score_topk", f"""WITH {TOKENS_SQL}, low AS (SELECT doc_id AS chunk_id, lower(coalesce(text, '')) AS c FROM documents),
     s AS (SELECT query_id, chunk_id, CAST(sum(length(c) - length(replace(c, token, ''))) AS BIGINT) AS score FROM low, terms WHERE contains(c, token) GROUP BY ALL)
     SELECT query_id, chunk_id, score, rank FROM (SELECT *, {RANKED_SQL} AS rank FROM s WHERE score > 0) WHERE rank <= 8""")
-def keyword_score_topk(spark, sf_dir):
+def keyword_score_topk(spark, sf_dir, words=SQL_WORDS):
     """Characters covered by terms, as substrings. Each chunk scores a block of queries in one row."""
-    met = lexical.by_query_block(chunks(spark, sf_dir), query_tokens(spark, sf_dir))
+    met = lexical.by_query_block(chunks(spark, sf_dir), query_tokens(spark, sf_dir, words))
     scores = met.select("chunk_id", "query_id", fn.keyword_score(F.col("content"), F.col("terms")).alias("score")).filter("score > 0")
     return lexical.top(scores, 8).select("query_id", "chunk_id", "score", "rank")
 
@@ -302,8 +305,8 @@ def page_quality(spark, sf_dir):
 
 @query("coverage_filter", f"""WITH {TOKENS_SQL}, c AS (SELECT query_id, doc_id AS chunk_id, CAST(count(*) FILTER (contains(lower(coalesce(d.text, '')), token)) AS BIGINT) AS coverage FROM documents d, terms GROUP BY ALL)
     SELECT query_id, chunk_id, coverage FROM c WHERE coverage >= 2""")
-def coverage_filter(spark, sf_dir):
-    met = lexical.by_query_block(chunks(spark, sf_dir), query_tokens(spark, sf_dir))
+def coverage_filter(spark, sf_dir, words=SQL_WORDS):
+    met = lexical.by_query_block(chunks(spark, sf_dir), query_tokens(spark, sf_dir, words))
     return met.select("query_id", "chunk_id", fn.term_coverage(F.col("content"), F.col("terms")).alias("coverage")).filter("coverage >= 2")
 
 
@@ -536,8 +539,8 @@ def validate_vectors(spark, sf_dir):
     return vectors.valid_entries(entries(spark, sf_dir), 64)
 
 
-def _lists(spark, sf_dir):
-    found = scored(spark, sf_dir)
+def _lists(spark, sf_dir, words):
+    found = scored(spark, sf_dir, words)
     by_score = lexical.top(found, 16).select("query_id", "chunk_id", "rank", F.lit(1.2).alias("weight"))
     by_hits = lexical.top(found.select("query_id", "chunk_id", F.col("hits").alias("score")), 16).select("query_id", "chunk_id", "rank", F.lit(0.8).alias("weight"))
     return by_score.unionByName(by_hits)
@@ -549,31 +552,31 @@ LISTS_SQL = f"""{TOKENS_SQL}, lists AS (
 
 
 @query("rrf_fusion", f"WITH {LISTS_SQL} SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM lists GROUP BY ALL")
-def rrf_fusion(spark, sf_dir):
-    return fusion.rrf(_lists(spark, sf_dir).drop("weight"))
+def rrf_fusion(spark, sf_dir, words=SQL_WORDS):
+    return fusion.rrf(_lists(spark, sf_dir, words).drop("weight"))
 
 
 @query("weighted_rrf", f"WITH {LISTS_SQL} SELECT query_id, chunk_id, round(sum(weight::DOUBLE / (60 + rank)), 9) AS score FROM lists GROUP BY ALL")
-def weighted_rrf(spark, sf_dir):
-    return fusion.rrf(_lists(spark, sf_dir))
+def weighted_rrf(spark, sf_dir, words=SQL_WORDS):
+    return fusion.rrf(_lists(spark, sf_dir, words))
 
 
 @query("best_by_chunk", f"WITH {LISTS_SQL}, v AS (SELECT query_id, chunk_id, weight AS variant, CAST(40 - rank AS BIGINT) AS score FROM lists) SELECT query_id, chunk_id, score, CAST(variant AS DOUBLE) AS variant FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, variant) AS n FROM v) WHERE n = 1")
-def best_by_chunk(spark, sf_dir):
-    return fusion.best_by_chunk(_lists(spark, sf_dir).select("query_id", "chunk_id", F.col("weight").alias("variant"), (40 - F.col("rank")).cast("long").alias("score")))
+def best_by_chunk(spark, sf_dir, words=SQL_WORDS):
+    return fusion.best_by_chunk(_lists(spark, sf_dir, words).select("query_id", "chunk_id", F.col("weight").alias("variant"), (40 - F.col("rank")).cast("long").alias("score")))
 
 
 @query("lexical_boost", f"""WITH {TOKENS_SQL}, t AS (SELECT * FROM (SELECT *, {RANKED_SQL} AS rank FROM scored) WHERE rank <= 8)
     SELECT query_id, chunk_id, round(CASE WHEN max(hits) OVER q > 0 THEN score + 0.05::DOUBLE * greatest(max(score) OVER q, 1e-9) * hits / max(hits) OVER q ELSE score END, 9) AS boosted FROM t WINDOW q AS (PARTITION BY query_id)""")
-def lexical_boost(spark, sf_dir):
-    return fusion.lexical_boost(lexical.top(scored(spark, sf_dir), 8).withColumn("lex", F.col("hits"))).select("query_id", "chunk_id", "boosted")
+def lexical_boost(spark, sf_dir, words=SQL_WORDS):
+    return fusion.lexical_boost(lexical.top(scored(spark, sf_dir, words), 8).withColumn("lex", F.col("hits"))).select("query_id", "chunk_id", "boosted")
 
 
 # ---- context ---------------------------------------------------------------------------------
 
 
-def _hits(spark, sf_dir):
-    return lexical.top(scored(spark, sf_dir), 12).select("query_id", "chunk_id", (F.col("chunk_id") % 7).alias("document_id"), F.floor(F.col("chunk_id") / 7).alias("position"), "rank")
+def _hits(spark, sf_dir, words):
+    return lexical.top(scored(spark, sf_dir, words), 12).select("query_id", "chunk_id", (F.col("chunk_id") % 7).alias("document_id"), F.floor(F.col("chunk_id") / 7).alias("position"), "rank")
 
 
 HITS_SQL = f"{TOKENS_SQL}, hits AS (SELECT query_id, chunk_id, chunk_id % 7 AS document_id, chunk_id // 7 AS position, rank FROM (SELECT *, {RANKED_SQL} AS rank FROM scored) WHERE rank <= 12)"
@@ -582,22 +585,22 @@ PLACED_SQL = f"""{HITS_SQL}, turns AS (SELECT *, row_number() OVER (PARTITION BY
 
 
 @query("diversify_round_robin", f"WITH {PLACED_SQL} SELECT query_id, chunk_id, place FROM placed")
-def diversify_round_robin(spark, sf_dir):
-    return context.diversify(_hits(spark, sf_dir)).select("query_id", "chunk_id", "place")
+def diversify_round_robin(spark, sf_dir, words=SQL_WORDS):
+    return context.diversify(_hits(spark, sf_dir, words)).select("query_id", "chunk_id", "place")
 
 
 @query("token_pack_prefix", f"""WITH {PLACED_SQL}, costed AS (SELECT p.*, CAST(ceil(length(coalesce(d.text, '')) / 2) AS BIGINT) + 2 AS cost FROM placed p JOIN documents d ON d.doc_id = chunk_id),
     used AS (SELECT *, CAST(sum(cost) OVER (PARTITION BY query_id ORDER BY place) AS BIGINT) AS used FROM costed)
     SELECT query_id, chunk_id, used, used > 2000 AS truncated FROM used WHERE used <= 2000 OR place = 1""")
-def token_pack_prefix(spark, sf_dir):
-    placed = context.diversify(_hits(spark, sf_dir)).join(chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
+def token_pack_prefix(spark, sf_dir, words=SQL_WORDS):
+    placed = context.diversify(_hits(spark, sf_dir, words)).join(chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
     return context.pack(placed, 2000).select("query_id", "chunk_id", "used", "truncated")
 
 
 @query("neighbor_expand", f"""WITH {HITS_SQL}, sel AS (SELECT * FROM hits WHERE rank <= 4), near AS (SELECT DISTINCT query_id, document_id, unnest([position - 1, position + 1]) AS position FROM sel)
     SELECT h.query_id, h.chunk_id FROM hits h WHERE EXISTS (SELECT 1 FROM near n WHERE n.query_id = h.query_id AND n.document_id = h.document_id AND n.position = h.position) AND NOT EXISTS (SELECT 1 FROM sel s WHERE s.query_id = h.query_id AND s.chunk_id = h.chunk_id)""")
-def neighbor_expand(spark, sf_dir):
-    hits = _hits(spark, sf_dir).withColumn("revision_id", F.lit(None).cast("string"))
+def neighbor_expand(spark, sf_dir, words=SQL_WORDS):
+    hits = _hits(spark, sf_dir, words).withColumn("revision_id", F.lit(None).cast("string"))
     return context.neighbours(hits.filter("rank <= 4"), hits.drop("rank")).select("query_id", "chunk_id").distinct()
 
 
@@ -631,6 +634,16 @@ def union_boxes(spark, sf_dir):
     return context.union_boxes(boxes, ["page"])
 
 
+# ---- whole benchmark texts ---------------------------------------------------------------------
+
+# The SQL above stops at SQL_WORDS words; these have no SQL and are held against brute force.
+for _q in (
+    bm25_topk, and_match, min_should_match, explicit_or, ladder_first_nonempty, keyword_score_topk, coverage_filter, rrf_fusion, weighted_rrf, best_by_chunk, lexical_boost,
+    diversify_round_robin, token_pack_prefix, neighbor_expand,
+):
+    query(f"{_q.__name__}_whole")(partial(_q, words=None))
+
+
 # ---- evaluation --------------------------------------------------------------------------------
 
 
