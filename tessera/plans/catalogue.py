@@ -221,6 +221,10 @@ def texts(spark, sf_dir):
     return literals(spark, TEXTS, "id long, text string").unionByName(table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000).alias("id"), "text"))
 
 
+def texts_and_documents(spark, sf_dir):
+    return texts(spark, sf_dir).unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 100000).alias("id"), "text"))
+
+
 TEXTS_SQL = f"texts AS (SELECT CAST(id AS BIGINT) AS id, text FROM {values(TEXTS, 'id, text')} UNION ALL SELECT item_id + 1000, text FROM benchmark)"
 COLLAPSED = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
 
@@ -244,6 +248,12 @@ def technical_terms(spark, sf_dir):
     return texts(spark, sf_dir).select("id", F.array_join(F.sort_array(fn.technical_terms(F.col("text"))), "|").alias("terms"))
 
 
+@query("technical_terms_whole")
+def technical_terms_whole(spark, sf_dir):
+    """Those of whole documents too."""
+    return texts_and_documents(spark, sf_dir).select("id", F.array_join(F.sort_array(fn.technical_terms(F.coalesce("text", F.lit("")))), "|").alias("terms"))
+
+
 @query("query_kind", f"""WITH {TEXTS_SQL}, c AS (SELECT id, {COLLAPSED} AS t FROM texts UNION ALL SELECT page_id + 100000, url FROM pages), b AS (SELECT id, t, regexp_replace(t, '^["''`「]|["''`」]$', '', 'g') AS bare FROM c)
     SELECT id, CASE WHEN t = '' THEN 'general' WHEN length(t) > 2 AND ((t LIKE '"%' AND t LIKE '%"') OR (t LIKE '''%' AND t LIKE '%''') OR (t LIKE '「%' AND t LIKE '%」')) THEN 'exact_phrase'
       WHEN regexp_matches(bare, '(?i)\\.({fn.FILE_EXTENSIONS})$') AND (NOT regexp_matches(bare, '\\s') OR regexp_matches(bare, '[/\\\\]')) THEN 'filename'
@@ -265,6 +275,12 @@ def soft_normalize(spark, sf_dir):
     return texts(spark, sf_dir).select("id", fn.soft_normalised(F.col("text")).alias("text"))
 
 
+@query("soft_normalize_whole")
+def soft_normalize_whole(spark, sf_dir):
+    """Whole documents too."""
+    return texts_and_documents(spark, sf_dir).select("id", fn.soft_normalised(F.col("text")).alias("text"))
+
+
 @query("redact_secrets", f"""WITH {TEXTS_SQL}, c AS (SELECT id, text FROM texts UNION ALL SELECT doc_id + 100000, text FROM documents)
     SELECT id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)x-access-token:[^@\\s]+@', 'x-access-token:[REDACTED]@', 'g'), '(?i)Bearer\\s+[A-Za-z0-9._\\-]+', 'Bearer [REDACTED]', 'g'), 'gh[pousr]_[A-Za-z0-9_]{{20,}}', '[REDACTED_GITHUB_TOKEN]', 'g')) AS redacted FROM c""")
 def redact_secrets(spark, sf_dir):
@@ -702,6 +718,12 @@ def exact_terms(spark, sf_dir):
     return rewrites.exact_terms(queries).filter("kind = 'symbol'")
 
 
+@query("exact_terms_whole")
+def exact_terms_whole(spark, sf_dir):
+    """Exact terms of every kind in all literals and the benchmark, and queries that are one as a whole."""
+    return rewrites.exact_terms(texts(spark, sf_dir).withColumnRenamed("id", "query_id"))
+
+
 @query("query_variants")
 def query_variants(spark, sf_dir):
     return rewrites.variants(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
@@ -718,7 +740,8 @@ TERMINOLOGY = [
 def terminology_rewrite(spark, sf_dir):
     entries = literals(spark, TERMINOLOGY, "entry int, terms array<string>, exclude array<string>")
     queries = literals(spark, [(1, "how to get an access token"), (2, "反向代理"), (3, "nothing here"), (4, "代理")], "query_id long, text string")
-    found = rewrites.terminology(queries, entries)
+    items = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000).alias("query_id"), "text")
+    found = rewrites.terminology(queries.unionByName(items), entries)
     return found.select("query_id", F.array_join("synonyms", "|").alias("synonyms"), F.array_join("excludes", "|").alias("excludes"))
 
 

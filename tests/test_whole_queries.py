@@ -160,3 +160,55 @@ def test_planned_ladder_sees_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, "a1 b2 c3 d4 e5 f6 zebra")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = catalogue.QUERIES["planned_ladder"](spark, str(tmp_path)).collect()
     assert [(r.chunk_id, r.step) for r in rows] == [(1, "all")]
+
+
+# ---- text functions and rewrites ---------------------------------------------------------------
+
+PIECES = ["config.yaml", "C++", "a-b-c", "v1.2.3", "404", "./src/app.ts", "node.js", "plain", "\r\n", "  \t", " \n", "\n\n\n\n", " "]
+TECHNICAL = [
+    r"\bc\+\+", r"\bc#", r"\.net\b", r"\bnode\.js\b", r"\bnext\.js\b", r"\bvue\.js\b", r"\breact\.js\b", r"\b[a-z_][\w]*(?:\.[a-z_][\w]*)+\b", r"\b[a-z][\w]*(?:-[\w]+)+\b",
+    r"\bv?\d+(?:\.\d+){1,3}(?:-[a-z0-9.]+)?\b", r"\b[1-5]\d{2}\b", r"(?:\.?\.?/[\w./@+-]{2,})+",
+]
+
+
+@pytest.fixture(scope="module")
+def mixed(spark, tmp_path_factory):
+    rng, d = random.Random(3), str(tmp_path_factory.mktemp("mixed"))
+    docs = [(i, "".join(rng.choice(PIECES) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 40)))) for i in range(40)] + [(40, None), (41, "")]
+    items = [(1, "how to get an access token with OpenAI"), (2, "see ERR_TIMED_OUT and app.main() in \"the manual\""), (3, "plain words")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return d, {i + 100000: t for i, t in docs}
+
+
+def test_technical_terms_of_documents(spark, mixed):
+    d, docs = mixed
+    found = {r.id: r.terms for r in catalogue.QUERIES["technical_terms_whole"](spark, d).collect()}
+    collapsed = {i: re.sub(r"\s+", " ", t or "").strip().lower() for i, t in docs.items()}
+    assert {i: found[i] for i in docs} == {i: "|".join(sorted({m for p in TECHNICAL for m in re.findall(p, t, re.A)})) for i, t in collapsed.items()}
+    assert len(found) == len(catalogue.TEXTS) + 3 + len(docs)
+
+
+def test_soft_normalised_documents(spark, mixed):
+    d, docs = mixed
+
+    def plain(t):
+        for a, b in (("\r\n", "\n"), ("[ \t]+\n", "\n"), ("[ \t]{2,}", " "), ("\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
+            t = re.sub(a, b, t)
+        return t
+
+    found = {r.id: r.text for r in catalogue.QUERIES["soft_normalize_whole"](spark, d).collect()}
+    assert {i: found[i] for i in docs} == {i: None if t is None else plain(t) for i, t in docs.items()}
+
+
+def test_exact_terms_of_all_texts(spark, mixed):
+    found = {(r.query_id, r.term, r.kind, r.weight) for r in catalogue.QUERIES["exact_terms_whole"](spark, mixed[0]).collect()}
+    whole = {(11, "quoted phrase", "exact_phrase", 1.6), (12, "ERR_CONNECTION_REFUSED", "error_code", 2.0), (13, "report.final.pdf", "filename", 2.0), (14, "foo.barBaz()", "symbol", 1.8)}
+    within = {(15, "node.js", "product", 1.4), (1001, "OpenAI", "product", 1.4), (1002, "the manual", "exact_phrase", 1.6), (1002, "ERR_TIMED_OUT", "error_code", 2.0), (1002, "app.main()", "symbol", 1.8)}
+    assert {x for x in found if x[0] >= 11} == whole | within
+    assert {(i, k) for i, _, k, _ in found if i < 11} == {(1, "product"), (1, "symbol"), (8, "symbol")}
+
+
+def test_terminology_of_the_benchmark(spark, mixed):
+    found = {r.query_id: r.synonyms for r in catalogue.QUERIES["terminology_rewrite"](spark, mixed[0]).collect()}
+    assert found[1001] == found[1] == "访问令牌|訪問令牌" and set(found) == {1, 2, 1001}
