@@ -663,8 +663,12 @@ for _q in (
 # ---- evaluation --------------------------------------------------------------------------------
 
 
+def _cases(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.concat(F.lit("g"), (F.col("item_id") % 4).cast("string")).alias("category"))
+
+
 def _evaluated(spark, sf_dir):
-    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.concat(F.lit("g"), (F.col("item_id") % 4).cast("string")).alias("category"))
+    cases = _cases(spark, sf_dir)
     rankings = bm25_topk(spark, sf_dir).select(F.col("query_id").alias("case_id"), "chunk_id", "rank")
     relevant = rankings.filter("(case_id + chunk_id) % 3 = 0 and case_id % 5 <> 0").select("case_id", "chunk_id")
     return evaluation.by_case(cases, rankings, relevant)
@@ -691,6 +695,25 @@ def eval_by_category(spark, sf_dir):
     return evaluation.by_group(_evaluated(spark, sf_dir), "category")
 
 
+def _holding(spark, sf_dir):
+    """Ground truth: the documents whose text holds that of the case, whatever the case of letters and whatever is found."""
+    held = table(spark, sf_dir, "benchmark").filter("text <> ''").select(F.col("item_id").alias("query_id"), F.lower("text").alias("token"))
+    met = lexical.by_query_block(chunks(spark, sf_dir).select("chunk_id", F.lower("content").alias("content")), held)
+    return met.filter(F.exists("terms", lambda t: F.contains(F.col("content"), t))).select(F.col("query_id").alias("case_id"), "chunk_id")
+
+
+@query("recall_mrr_ndcg_whole")
+def recall_mrr_ndcg_whole(spark, sf_dir):
+    """Rankings of whole benchmark texts against all documents that hold them."""
+    rankings = bm25_topk(spark, sf_dir, None).select(F.col("query_id").alias("case_id"), "chunk_id", "rank")
+    return evaluation.by_case(_cases(spark, sf_dir), rankings, _holding(spark, sf_dir))
+
+
+@query("eval_by_category_whole")
+def eval_by_category_whole(spark, sf_dir):
+    return evaluation.by_group(recall_mrr_ndcg_whole(spark, sf_dir), "category")
+
+
 @query("percentile_nearest_rank", "SELECT event_type, quantile_disc(value, 0.95) AS value FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def percentile_nearest_rank(spark, sf_dir):
     return evaluation.percentile(table(spark, sf_dir, "events"), "value", 95, "event_type")

@@ -212,3 +212,44 @@ def test_exact_terms_of_all_texts(spark, mixed):
 def test_terminology_of_the_benchmark(spark, mixed):
     found = {r.query_id: r.synonyms for r in catalogue.QUERIES["terminology_rewrite"](spark, mixed[0]).collect()}
     assert found[1001] == found[1] == "访问令牌|訪問令牌" and set(found) == {1, 2, 1001}
+
+
+# ---- evaluation --------------------------------------------------------------------------------
+
+
+def gains(n):
+    return sum(1 / math.log2(i + 1) for i in range(1, n + 1))
+
+
+def metrics(rows):
+    return {r.case_id: tuple(round(r[c], 6) for c in ("hit_5", "hit_8", "mrr", "ndcg", "top1")) for r in rows}
+
+
+def test_metrics_against_all_documents_that_hold_the_text(spark, small):
+    ranks = {k: r for k, (_, r) in best(SCORE, 8).items()}
+    expected = {}
+    for q, text in ITEMS:
+        relevant = {d for d, c in LOW.items() if text.lower() in c}
+        at = sorted(r for (p, d), r in ranks.items() if p == q and d in relevant)
+        if not relevant:
+            expected[q] = (0.0,) * 5  # something is returned for every item
+            continue
+        one = lambda k: float(bool(at) and at[0] <= k)
+        gain = sum(1 / math.log2(r + 1) for r in at) / gains(min(len(relevant), 10))
+        expected[q] = (one(5), one(8), round(1 / at[0], 6) if at else 0.0, round(gain, 6), one(1))
+    rows = catalogue.QUERIES["recall_mrr_ndcg_whole"](spark, small).collect()
+    assert metrics(rows) == expected and {e[4] for e in expected.values()} == {0.0, 1.0}
+    groups = {r.category: (r.cases, round(r.ndcg, 6)) for r in catalogue.QUERIES["eval_by_category_whole"](spark, small).collect()}
+    for g in range(4):
+        mine = [r.ndcg for r in rows if r.case_id % 4 == g]
+        assert groups[f"g{g}"] == (len(mine), round(sum(mine) / len(mine), 6))
+
+
+def test_a_missed_document_costs_score(spark, tmp_path):
+    docs = [(i, f"Some Alpha beta {'x ' * i}") for i in range(12)] + [(50, "xgamma deltax"), (51, "none")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha Beta"), (2, "gamma delta"), (3, "absent")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = metrics(catalogue.QUERIES["recall_mrr_ndcg_whole"](spark, str(tmp_path)).collect())
+    assert found[1] == (1.0, 1.0, 1.0, round(gains(8) / gains(10), 6), 1.0)
+    assert found[2] == (0.0,) * 5
+    assert found[3] == (1.0,) * 5
