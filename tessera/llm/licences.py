@@ -6,8 +6,9 @@ inside them don't matter; tags are looked for in the text itself, since their
 expressions need brackets and plus signs.
 
 Defined cases: a null or empty text has no words, labels or score; a tag whose
-expression doesn't parse, or names no known licence, gives nothing; repeated rows
-are scanned alike; a null doc_id is passed on; further columns are ignored; an
+expression doesn't parse, or names no known licence, gives nothing; an unknown part
+beside a known one has no label, isn't permissive, and stays in the expression's text;
+repeated rows are scanned alike; a null doc_id is passed on; further columns are ignored; an
 empty table gives an empty result.
 """
 
@@ -109,7 +110,6 @@ class Licence:
 
     labels: frozenset[str]
     permissive: bool
-    known: bool
     text: str
 
 
@@ -121,14 +121,14 @@ def evaluate(postfix: list[str]) -> Licence:
             b, a = stack.pop(), stack.pop()
             text = f"({a.text} {token.upper()} {b.text})"
             if token == "with":
-                stack.append(Licence(a.labels, a.permissive, a.known, text))
+                stack.append(Licence(a.labels, a.permissive, text))
             elif token == "and":
-                stack.append(Licence(a.labels | b.labels, a.permissive and b.permissive, a.known and b.known, text))
+                stack.append(Licence(a.labels | b.labels, a.permissive and b.permissive, text))
             else:
-                stack.append(Licence(a.labels | b.labels, a.permissive or b.permissive, a.known and b.known, text))
+                stack.append(Licence(a.labels | b.labels, a.permissive or b.permissive, text))
         else:
             label = IDENTIFIERS.get(token.rstrip("+"))
-            stack.append(Licence(frozenset([label] if label else []), label in PERMISSIVE, label is not None, token))
+            stack.append(Licence(frozenset([label] if label else []), label in PERMISSIVE, token))
     return stack[0]
 
 
@@ -187,7 +187,7 @@ class LicenceScanner:
         for end, _ in self.tags.iter(lowered):
             stop = lowered.find("\n", end + 1)
             postfix = to_postfix(lowered[end + 1 : stop if stop >= 0 else len(lowered)])
-            if postfix and (found := evaluate(postfix)).known:
+            if postfix and (found := evaluate(postfix)).labels:
                 yield found
 
 

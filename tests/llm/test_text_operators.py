@@ -102,6 +102,22 @@ def test_licence_scan_matches_brute_force(spark):
     assert licences.licence_scan(docs_of(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text,labels,permissive,expressions",
+    [
+        ("SPDX-License-Identifier: Apache-2.0 OR BSL-1.0", "apache-2", True, "(apache-2.0 OR bsl-1.0)"),
+        ("SPDX-License-Identifier: MIT AND Zlib", "mit", False, "(mit AND zlib)"),
+        ("License: MIT and others", "mit", False, "(mit AND others)"),
+        ("License-Expression: (BSL-1.0 OR GPL-2.0-only) AND Zlib", "gpl-2", False, "((bsl-1.0 OR gpl-2.0-only) AND zlib)"),
+        ("License: BSL-1.0 AND Zlib", "", None, ""),
+    ],
+)
+def test_unknown_parts_beside_known_ones(text, labels, permissive, expressions):
+    found = licences.LicenceScanner().scan(text.encode())
+    assert (found[5], found[8], found[7]) == (labels, permissive, expressions)
+    assert found[6] == pytest.approx(0.9 if labels else 0)
+
+
 # ---- language ------------------------------------------------------------------------------------
 
 
