@@ -143,9 +143,6 @@ class LicenceScanner:
         self.notices = ahocorasick.Automaton()
         for phrase in {**NOTICES, **BASE_NOTICES}:
             self.notices.add_word(f" {phrase} ", (len(phrase) + 2, BASE_NOTICES.get(phrase), NOTICES.get(phrase)))
-        self.tag_words = tuple(tag.rstrip(":").replace("-", " ") for tag in TAGS)
-        for words in self.tag_words:
-            self.notices.add_word(f" {words} ", (0, None, None))
         self.notices.make_automaton()
         self.tags = ahocorasick.Automaton()
         for tag in TAGS:
@@ -157,7 +154,7 @@ class LicenceScanner:
         words = text.translate(_WORD_BYTES).split()
         line = (b" " + b" ".join(words) + b" ").decode()
         places: list[int] = []
-        base, labels, doubt, tagged, choices = set(), set(), 1.0, False, []
+        base, labels, doubt, choices = set(), set(), 1.0, []
         at = counted = 0
         for end, (size, base_label, label) in self.notices.iter(line):
             if base_label:
@@ -169,12 +166,10 @@ class LicenceScanner:
                 places.append(counted)
                 base.add(base_label)
                 doubt *= 1 - SURE["base"]
-            elif label:
+            else:
                 labels.add(label)
                 doubt *= 1 - SURE["notice"]
-            else:
-                tagged = True
-        for found in self._expressions(text) if tagged else ():
+        for found in self._expressions(text):
             labels |= found.labels
             choices.append(found)
             doubt *= 1 - SURE["tag"]
@@ -183,7 +178,10 @@ class LicenceScanner:
         return len(words), len(places), min(places, default=None), max(places, default=None), join(base), join(base | labels), 1 - doubt, join({x.text for x in choices}), permissive
 
     def _expressions(self, text: bytes) -> Iterator[Licence]:
-        lowered = text.lower().decode()
+        low = text.lower()
+        if b"license" not in low or b":" not in low:  # every tag holds both
+            return
+        lowered = low.decode()
         for end, _ in self.tags.iter(lowered):
             stop = lowered.find("\n", end + 1)
             postfix = to_postfix(lowered[end + 1 : stop if stop >= 0 else len(lowered)])

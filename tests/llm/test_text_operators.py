@@ -118,6 +118,13 @@ def test_unknown_parts_beside_known_ones(text, labels, permissive, expressions):
     assert found[6] == pytest.approx(0.9 if labels else 0)
 
 
+@pytest.mark.parametrize("before", ["•", "“", "\u00a0", "\u3000", "许可", "é", "(", ""])
+@pytest.mark.parametrize("tag", ["License:", "SPDX-License-Identifier:", "LICENSE-EXPRESSION:"])
+def test_tags_that_touch_other_characters(before, tag):
+    found = licences.LicenceScanner().scan(f"{before}{tag} MIT”".encode())
+    assert (found[5], found[7], found[8]) == ("mit", "mit", True)
+
+
 # ---- language ------------------------------------------------------------------------------------
 
 
