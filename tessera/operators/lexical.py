@@ -106,6 +106,25 @@ def bm25(terms: DataFrame, index: DataFrame, chunk_lengths: DataFrame) -> DataFr
     return scored.join(terms, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("hits"))
 
 
+def weighted_bm25(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, chunk_id, score, hits by BM25 over weighted fields; each query (query_id, text) looks into the fields of its language.
+
+    A query's terms are the tokens that those fields make of its text. Frequencies of
+    terms are those within these fields; lengths count the tokens of all four fields.
+    """
+    language = fn.language(F.col("text"))
+    kinds = queries.select("query_id", F.when(language.startswith("zh"), "zh").when(language == "en", "en").otherwise("all").alias("kind"))
+    seen = F.lit(False)
+    for kind in ("zh", "en", "all"):
+        seen = seen | ((F.col("kind") == kind) & F.col("field").isin(language_fields(kind)))
+    own = postings(queries.select(F.col("query_id").alias("chunk_id"), F.col("text").alias("content"))).withColumnRenamed("chunk_id", "query_id")
+    terms = own.join(kinds, "query_id").filter(seen).select("query_id", "kind", "token").distinct()
+    met = postings(chunks).join(terms.select("kind", "token").distinct(), "token").filter(seen)
+    keyed = F.concat_ws(":", "kind", "token").alias("token")  # a term has a frequency for each set of fields
+    length = sum((F.size(c) for c in fields(F.col("content")).values()), F.lit(0)).cast("double")
+    return bm25(terms.select("query_id", keyed), weighted(met.select(keyed, "field", "chunk_id", "tf")), chunks.select("chunk_id", length.alias("length")))
+
+
 def top(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "chunk_id") -> DataFrame:
     """The k best of each query with their rank; ties go to the smaller id."""
     order = Window.partitionBy(by).orderBy(F.col(score).desc(), F.col(tie))

@@ -197,6 +197,18 @@ def field_postings(spark, sf_dir):
     return lexical.postings(chunks(spark, sf_dir)).filter("field = 'en'")
 
 
+@query("field_postings_whole")
+def field_postings_whole(spark, sf_dir):
+    """All four fields of the multi-field index."""
+    return lexical.postings(chunks(spark, sf_dir))
+
+
+@query("weighted_bm25_topk")
+def weighted_bm25_topk(spark, sf_dir):
+    """Whole benchmark texts over the weighted fields of their language."""
+    return lexical.top(lexical.weighted_bm25(batch(spark, sf_dir), chunks(spark, sf_dir)), 8).select("query_id", "chunk_id", "score", "rank")
+
+
 @query("keyword_score_topk", f"""WITH {TOKENS_SQL}, low AS (SELECT doc_id AS chunk_id, lower(coalesce(text, '')) AS c FROM documents),
     s AS (SELECT query_id, chunk_id, CAST(sum(length(c) - length(replace(c, token, ''))) AS BIGINT) AS score FROM low, terms WHERE contains(c, token) GROUP BY ALL)
     SELECT query_id, chunk_id, score, rank FROM (SELECT *, {RANKED_SQL} AS rank FROM s WHERE score > 0) WHERE rank <= 8""")

@@ -253,3 +253,34 @@ def test_a_missed_document_costs_score(spark, tmp_path):
     assert found[1] == (1.0, 1.0, 1.0, round(gains(8) / gains(10), 6), 1.0)
     assert found[2] == (0.0,) * 5
     assert found[3] == (1.0,) * 5
+
+
+# ---- weighted fields ---------------------------------------------------------------------------
+
+
+def test_weighted_fields(spark, tmp_path):
+    rng, d = random.Random(5), str(tmp_path)
+    words = ["node.js", "代理", "反向代理", "server", "server_config", "v1.2.3", "ERR_TIMED_OUT", "of", "a.pdf", "知识"]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 12)))) for i in range(40)] + [(40, None), (41, "")]
+    items = [(1, "反向代理"), (2, "server of node.js"), (3, "server 代理 知识 v1.2.3"), (4, "!!"), (5, "404")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    index = catalogue.QUERIES["field_postings_whole"](spark, d).collect()
+    assert {r.field for r in index} == {"exact", "zh", "en", "mixed"}
+    of_query = catalogue.lexical.postings(spark.createDataFrame(items, "chunk_id long, content string")).collect()
+    weights, seen = {"exact": 8, "zh": 3, "en": 3, "mixed": 2}, {1: {"zh", "mixed", "exact"}, 2: {"en", "mixed", "exact"}, 3: set("exact zh en mixed".split())}
+    lengths = {i: sum(r.tf for r in index if r.chunk_id == i) for i, _ in docs}
+    mean, scores = sum(lengths.values()) / len(docs), {}
+    for q, _ in items:
+        fields = seen.get(q, seen[3])
+        tf = defaultdict(Counter)
+        for r in index:
+            if r.field in fields:
+                tf[r.token][r.chunk_id] += r.tf * weights[r.field]
+        for token in {r.token for r in of_query if r.chunk_id == q and r.field in fields}:
+            df = len(tf[token])
+            for c, n in tf[token].items():
+                idf = max(math.log((len(docs) - df + 0.5) / (df + 0.5)), 1e-6)
+                scores[q, c] = scores.get((q, c), 0.0) + idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * lengths[c] / mean))
+    assert {q for q, _ in scores} >= {1, 2, 3}
+    assert got(spark, d, "weighted_bm25_topk", "score", "rank") == flat(best({k: round(v, 6) for k, v in scores.items()}, 8))
