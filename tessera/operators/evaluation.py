@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.storage import materialise
+
 
 def by_case(cases: DataFrame, rankings: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (5, 8), k: int = 10) -> DataFrame:
     """hit rates at ``ks``, MRR and nDCG at ``k`` and top1 of each case.
@@ -33,10 +35,27 @@ def by_group(metrics: DataFrame, *keys: str) -> DataFrame:
 
 
 def percentile(values: DataFrame, column: str, p: float, *keys: str) -> DataFrame:
-    """Nearest-rank percentile."""
-    order = Window.partitionBy(*keys).orderBy(column)
-    ranked = values.filter(F.col(column).isNotNull()).withColumn("_n", F.row_number().over(order)).withColumn("_all", F.count("*").over(Window.partitionBy(*keys)))
-    return ranked.filter(F.col("_n") == F.greatest(F.ceil(F.col("_all") * p / 100), F.lit(1))).select(*keys, F.col(column).alias("value"))
+    """Nearest-rank percentile.
+
+    Counts of different values are dealt into ranges by (keys, value), and each range
+    starts from what the ranges before it add up to; so no task holds a whole group.
+    """
+    by = [F.col(k) for k in keys]
+    counted = values.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    # Written, as ranges are drawn from a sample and must not change between two readings.
+    ranges = materialise(counted.repartitionByRange(*by, F.col(column)).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy(*keys, "_range").agg(F.sum("_n").alias("_sum"))
+    of_key = Window.partitionBy(*keys)
+    all_ = F.sum("_sum").over(of_key)
+    before = F.sum("_sum").over(of_key.orderBy("_range")) - F.col("_sum")
+    placed = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_r"), before.alias("_before"), F.greatest(F.ceil(all_ * p / 100), F.lit(1)).alias("_rank"), "_sum")
+    met = placed.filter("_before < _rank and _rank <= _before + _sum")  # the range of each group that holds its rank
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy(column))
+    found = ranges.join(met, same).withColumn("_upto", upto)
+    return found.filter("_rank <= _upto and _upto - _n < _rank").select(*keys, F.col(column).alias("value"))
 
 
 def gate(metrics: DataFrame, thresholds: DataFrame, tolerance: float = 1e-9) -> DataFrame:

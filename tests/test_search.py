@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,25 @@ def test_gates_and_comparison(spark):
     assert {r.metric: r.passed for r in evaluation.gate(metrics, limits).collect()} == {"mrr": True, "false": False}
     other = metrics.withColumn("value", F.col("value") - 0.1)
     assert all(r.regressed for r in evaluation.compare(metrics, other, ["metric"]).collect())
+
+
+@pytest.mark.parametrize("p", [1, 50, 95, 100])
+def test_percentile_by_ranges_matches_sorting(spark, p):
+    rng = random.Random(p)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, float("inf"), -1.5, 0.0, *[float(x) for x in range(40)]])) for _ in range(600)] + [("one", 7.0), ("none", None)]
+    groups = {}
+    for k, v in rows:
+        if v is not None:
+            groups.setdefault(k, []).append(v)
+    nearest = lambda xs: sorted(xs)[max(math.ceil(len(xs) * p / 100), 1) - 1]
+    table = spark.createDataFrame(rows, "kind string, x double")
+    assert {r.kind: r.value for r in evaluation.percentile(table, "x", p, "kind").collect()} == {k: nearest(v) for k, v in groups.items()}
+    assert [r.value for r in evaluation.percentile(table, "x", p).collect()] == [nearest([v for _, v in rows if v is not None])]
+    assert evaluation.percentile(table.filter("x is null"), "x", p, "kind").count() == 0
+
+
+def test_percentile_holds_no_group_in_one_task(spark):
+    """Raw rows never meet in a window; only counts of different values do."""
+    plan = evaluation.percentile(spark.range(1000).select(F.lit("a").alias("k"), (F.col("id") % 7).alias("x")), "x", 95, "k")
+    window = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range (0, 1000" not in window and "_range" in window
