@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -197,15 +198,23 @@ def exact_dedup(documents: DataFrame) -> DataFrame:
 
 
 def without_copies(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that stay, one of each text, columns unchanged."""
+    """The rows of ``documents`` that stay, one of each text, columns unchanged.
+
+    Ids tell rows apart where an id has one text; only ids of which a row stays beside
+    another row are looked up by the digest of each row.
+    """
     digests = text_digests(documents)
     groups = materialise(digest_groups(digests), "groups")
-    joined = digests.join(groups, "digest")
-    dropped = joined.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_dropped")).distinct()
-    kept = documents.join(dropped, documents["doc_id"].cast("long").eqNullSafe(F.col("_dropped")), "left_anti")
-    repeated = joined.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_repeated"))
-    if repeated.isEmpty():
+    joined = digests.join(groups, "digest").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    dropped = joined.filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    doc_id = documents["doc_id"].cast("long")
+    kept = documents.join(dropped, doc_id.eqNullSafe(F.col("_dropped")), "left_anti")
+    shared = joined.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept")).filter("n > 1 and n_kept > 0").select(F.col("doc_id").alias("_shared"))
+    if shared.isEmpty():
         return kept
-    same = documents["doc_id"].cast("long").eqNullSafe(F.col("_repeated"))
-    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, same, "left_anti").unionByName(once)
+    same = doc_id.eqNullSafe(F.col("_shared"))
+    stay = joined.filter("kept").select(F.col("doc_id").alias("_stays"), F.lower(F.hex("digest")).alias("_text")).distinct()
+    lowered = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
+    rows = documents.join(shared, same, "left_semi").withColumn("_digest", F.sha2(lowered, 256))
+    met = rows.join(stay, (F.col("_digest") == F.col("_text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    return kept.join(shared, same, "left_anti").unionByName(met.dropDuplicates(["doc_id", "_digest"]).drop("_digest"))

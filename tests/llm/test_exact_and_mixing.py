@@ -65,6 +65,16 @@ def test_one_row_of_each_text_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 5]
 
 
+def test_only_rows_that_the_index_rejects_go(spark):
+    rows = [(5, "a", None), (5, "b", None), (9, "A", None), (None, "c", None), (None, "b", None), (None, "C", None), (7, "É d", None), (7, "é d", None), (7, "É D", None), (8, "e", None)]
+    kept = sorted((r.doc_id or 0, low(r.text)) for r in exact_dedup.without_copies(documents(spark, rows)).collect())
+    assert kept == [(0, "c"), (5, "b"), (7, "É d"), (7, "é d"), (8, "e"), (9, "a")]
+    rng = random.Random(4)
+    rows = [(rng.randrange(20), rng.choice("abcdefghABCDEFGH") + rng.choice(["", "1", "2"]), None) for _ in range(60)]
+    last = {low(t): max(i for i, x, _ in rows if low(x) == low(t)) for _, t, _ in rows}
+    assert sorted((low(r.text), r.doc_id) for r in exact_dedup.without_copies(documents(spark, rows)).collect()) == sorted(last.items())
+
+
 def test_empty_tables(spark):
     empty = documents(spark, [(1, "a", "s")]).filter("doc_id > 1")
     assert exact_dedup.exact_dedup(empty).count() == 0
