@@ -82,20 +82,25 @@ class WordHasher:
 
     def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of all words one after another, and how many each text has."""
+        _, hashes, _, _, counts = self.located(texts)
+        return hashes, counts
+
+    def located(self, texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts as one; of all words the hashes, and where each starts and ends there; and how many each text has."""
         raw = b" ".join([x or b"" for x in texts]) + b" "
         lengths = np.array([len(x or b"") + 1 for x in texts], np.int64)
-        hashes, starts, at = [], [], 0
+        parts, at = [], 0
         while at < len(raw):
             end = len(raw)
             if end - at > CHUNK_BYTES:
                 end = raw.rfind(b" ", at, at + CHUNK_BYTES) + 1 or raw.find(b" ", at + CHUNK_BYTES) + 1
-            found, where = self._chunk(np.frombuffer(raw, np.uint8, end - at, at))
-            hashes.append(found)
-            starts.append(where + at)
+            hashes, starts, ends = self._chunk(np.frombuffer(raw, np.uint8, end - at, at))
+            parts.append((hashes, starts + at, ends + at))
             at = end
-        return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), np.append(0, np.cumsum(lengths))))
+        hashes, starts, ends = (np.concatenate(x) for x in zip(*parts))
+        return raw, hashes, starts, ends, np.diff(np.searchsorted(starts, np.append(0, np.cumsum(lengths))))
 
-    def _chunk(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _chunk(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         self._grow(len(raw) + 1)
         edges = np.flatnonzero(np.diff(_SPACE[raw], prepend=True))
         starts = edges[::2]
@@ -103,4 +108,4 @@ class WordHasher:
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers[: len(raw)], out=sums[1:])
         value = (sums[ends] - sums[starts]) * self.inverses[starts]
-        return mixed(value + (ends - starts).astype(np.uint64)), starts
+        return mixed(value + (ends - starts).astype(np.uint64)), starts, ends

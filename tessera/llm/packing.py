@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.batches import text_steps
+from tessera.llm.batches import WordHasher, text_steps
 from tessera.plans.storage import materialise
 
 SEQUENCE_TOKENS = 4096
@@ -34,50 +34,105 @@ GROUP_PIECES = 20_000
 EOS = 1
 
 
+class HashPlaces:
+    """Places of 64-bit hashes, looked up for whole arrays at once: open addressing, at most half full."""
+
+    def __init__(self, slots: int = 1 << 16):
+        self.keys, self.places, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), 0
+
+    def _next(self, hashes: np.ndarray, slots: np.ndarray | None = None) -> np.ndarray:
+        mask = len(self.keys) - 1
+        return (hashes & np.uint64(mask)).astype(np.int64) if slots is None else (slots + 1) & mask
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        hashes = np.maximum(hashes, 1)  # a key of 0 is a free slot
+        slots = self._next(hashes)
+        keys = self.keys[slots]
+        out = np.where(keys == hashes, self.places[slots], np.int32(-1))
+        todo = np.flatnonzero((keys != hashes) & (keys != 0))
+        slots = slots[todo]
+        while len(todo):
+            slots = self._next(hashes, slots)
+            keys, wanted = self.keys[slots], hashes[todo]
+            met = keys == wanted
+            out[todo[met]] = self.places[slots[met]]
+            on = ~met & (keys != 0)
+            todo, slots = todo[on], slots[on]
+        return out
+
+    def add(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        """Further hashes, none twice and none known."""
+        if 2 * (self.size + len(hashes)) > len(self.keys):
+            used = self.keys != 0
+            old, slots = (self.keys[used], self.places[used]), len(self.keys)
+            while 2 * (self.size + len(hashes)) > slots:
+                slots *= 2
+            self.__init__(slots)
+            self.add(*old)
+        hashes = np.maximum(hashes, 1)
+        self.size += len(hashes)
+        slots = self._next(hashes)
+        while len(hashes):
+            free = np.flatnonzero(self.keys[slots] == 0)
+            _, first = np.unique(slots[free], return_index=True)  # one hash for each free slot; the others try the next
+            taken = free[first]
+            self.keys[slots[taken]], self.places[slots[taken]] = hashes[taken], places[taken]
+            left = np.ones(len(hashes), bool)
+            left[taken] = False
+            hashes, places, slots = hashes[left], places[left], self._next(hashes, slots[left])
+
+
+#: How byte-level vocabularies write a byte: itself where it prints, else one of the characters from 256 on.
+_PRINTS = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE_CHARACTERS = {b: chr(b) for b in (*_PRINTS, 32)} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTS))) if b != 32}
+
+
 class WordTokens:
     """Token ids of white-space separated words, each tokenised once.
 
     The vocabulary's pattern never crosses white space, so a text's ids are those of
     its words one after another; and a word that ends with ASCII punctuation after an
-    ASCII letter or digit is its two parts. At ``limit`` words all is forgotten.
+    ASCII letter or digit is its two parts. Known words are found by 64-bit hashes; at
+    ``limit`` words all is forgotten.
     """
 
     _tail, _before_tail = b".,!%&#$*|?;:", frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 2_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)  # for words that need neither normalising nor splitting
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.word_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.limit = limit
+        self.limit, self.hasher = limit, WordHasher(0x9FB21C651E98DF25)
         self._forget()
 
     def _forget(self) -> None:
-        self.places: dict[bytes, int] = {}
-        self.starts, self.lengths, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
-        self._keep([b""], np.array([EOS], np.uint32), np.ones(1, np.int64))
+        self.places = HashPlaces()
+        self.known = self.used = 0
+        self.starts, self.lengths, self.flat = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+        self._keep(np.zeros(0, np.uint64), np.array([EOS], np.uint32), np.ones(1, np.int32))  # place 0 ends a text
 
-    def _keep(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _keep(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
         """Add new words, their ids one after another."""
-        k, n = len(self.places), len(words)
+        k, n = self.known, len(lengths)
         while k + n > len(self.starts):
             self.starts, self.lengths = np.concatenate([self.starts, self.starts]), np.concatenate([self.lengths, self.lengths])
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat])
-        self.places.update(zip(words, range(k, k + n)))
         self.starts[k : k + n], self.lengths[k : k + n] = self.used + np.cumsum(lengths) - lengths, lengths
         self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-
-    def _places(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        if len(hashes):
+            self.places.add(hashes, np.arange(k, k + n, dtype=np.int32))
+        self.known, self.used = k + n, self.used + len(ids)
 
     def _joined(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words one after another, and where each word's end."""
         lengths = self.lengths[places]
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int64)
         return self.flat[np.repeat(self.starts[places] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], ends
 
     @staticmethod
@@ -88,61 +143,63 @@ class WordTokens:
         text = word.decode()
         return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
 
-    def _tokenise(self, words: Iterable[bytes]) -> None:
-        plain, other = [], []
-        for word in words:
-            (plain if self._is_plain(word) else other).append(word)
+    def _tokenise(self, words: list[bytes], hashes: np.ndarray) -> None:
+        """Learn words that are new and all different."""
+        is_plain = np.fromiter(map(self._is_plain, words), bool, len(words))
+        plain, other = np.flatnonzero(is_plain).tolist(), np.flatnonzero(~is_plain).tolist()
         for at in range(0, len(plain), 1000):
             part = plain[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
+            written = b" ".join([words[i] for i in part]).decode("latin-1").translate(_BYTE_CHARACTERS).split(" ")
+            ids = np.array(self.merges.encode_batch_fast([written], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.word_end[ids]) + 1
             if len(ends) != len(part) or ends[-1] != len(ids):
                 other += part
             else:
-                self._keep(part, ids, np.diff(ends, prepend=0))
+                self._keep(hashes[part], ids, np.diff(ends, prepend=0))
         for at in range(0, len(other), 1000):
             part = other[at : at + 1000]
-            found = [x.ids for x in self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)]
-            self._keep(part, np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
-
-    def learn(self, words: Iterable[bytes]) -> None:
-        """Tokenise those of the words that aren't known."""
-        different = set(words)
-        missing = different.difference(self.places)
-        if len(self.places) + len(missing) > self.limit and len(self.places) > 1:
-            self._forget()
-            missing = different.difference(self.places)
-        parts, both, heads, tails = set(), [], [], []
-        for word in missing:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([words[i].decode() for i in part], add_special_tokens=False)]
+            self._keep(hashes[part], np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
+
+    def learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        """Tokenise words that aren't known and all different."""
+        whole, both, heads, tails = [], [], [], []
+        for i, word in enumerate(words):
             head = word.rstrip(self._tail)
             if len(head) < len(word) and head and head[-1] in self._before_tail and b"<|" not in word:
-                both.append(word)
+                both.append(i)
                 heads.append(head)
                 tails.append(word[len(head) :])
             else:
-                parts.add(word)
-        parts.update(heads, tails)
-        self._tokenise(parts.difference(self.places))
+                whole.append(i)
+        self._tokenise([words[i] for i in whole], hashes[whole])
         if both:
-            pairs = np.stack([self._places(heads), self._places(tails)], axis=1)
+            raw, of_parts, starts, ends, _ = self.hasher.located([b" ".join(heads), b" ".join(tails)])
+            new, first = np.unique(of_parts, return_index=True)
+            missing = self.places.find(new) < 0
+            self._tokenise([raw[a:b] for a, b in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist())], new[missing])
+            pairs = self.places.find(of_parts).reshape(2, -1).T
             ids, _ = self._joined(pairs.ravel())
-            self._keep(both, ids, self.lengths[pairs].sum(1))
+            self._keep(hashes[both], ids, self.lengths[pairs].sum(1))
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by EOS, and how many each text has."""
-        words: list[bytes] = []
-        counts = np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            before = len(words)
-            if text:
-                # Special tokens are found before lower-casing, which must not make new ones.
-                words += (text if b"<|" in text else text.lower()).split()
-            words.append(b"")
-            counts[i] = len(words) - before
-        self.learn(words)
-        ids, ends = self._joined(self._places(words))
-        last = np.cumsum(counts) - 1
-        return ids, np.diff(ends[last], prepend=0)
+        # Special tokens are found before lower-casing, which must not make new ones.
+        raw, hashes, starts, ends, counts = self.hasher.located([x if not x or b"<|" in x else x.lower() for x in texts])
+        places = self.places.find(hashes)
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            new, first = np.unique(hashes[missing], return_index=True)
+            if self.known + 2 * len(new) > self.limit and self.known > 1:
+                self._forget()
+                new, first = np.unique(hashes, return_index=True)
+                missing = np.arange(len(hashes))
+            at = missing[first]
+            self.learn([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())], new)
+            places[missing] = self.places.find(hashes[missing])
+        stops = np.cumsum(counts)
+        ids, ends = self._joined(np.insert(places, stops, 0))
+        return ids, np.diff(ends[stops + np.arange(len(texts))], prepend=0)
 
 
 _TOKENS: dict[str, WordTokens] = {}
