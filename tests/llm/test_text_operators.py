@@ -53,14 +53,23 @@ def test_the_order_of_rules_never_changes_a_verdict(spark):
 
 
 def test_cheap_selective_rules_come_first(spark):
-    rows = [(i, " ".join(f"word{j}" for j in range(50)) + " % " * (60 if i % 2 else 0)) for i in range(40)]
-    names = [r.name for r in quality_rules.ordered_rules(quality_rules.measures(docs_of(spark, rows)))]
-    assert names[0] == "symbols"
-    empty = quality_rules.measures(docs_of(spark, rows).limit(0))
+    rows = [(i, (" %% " if i % 2 else " ").join(f"word{j}" for j in range(50))) for i in range(40)]
+    names = [r.name for r in quality_rules.ordered_rules(docs_of(spark, rows))]
+    assert names[0] == "symbols" and sorted(names) == sorted(r.name for r in quality_rules.RULES)
+    empty = docs_of(spark, rows).limit(0)
     assert [r.name for r in quality_rules.ordered_rules(empty)] == [r.name for r in quality_rules.RULES]
     assert quality_rules.quality_rules(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_rejection_counts_what_earlier_rules_let_pass():
+    # The second rule rejects most, but after the first only rows that the third rejects as well.
+    patterns = {(True, True, False): 50, (False, True, True): 10, (False, False, True): 20, (False, False, False): 20}
+    assert quality_rules.by_rejection_per_cost([1.0, 2.0, 1.0], patterns) == [0, 2, 1]
+    assert quality_rules.by_rejection_per_cost([1.0, 1.0, 1.0], patterns) == [1, 2, 0]
+    assert quality_rules.by_rejection_per_cost([3.0, 2.0, 1.0], {(False, False, False): 5}) == [2, 1, 0]
+    assert quality_rules.by_rejection_per_cost([], {}) == []
+
+
 # ---- licences ----------------------------------------------------------------------------------
 
 
@@ -223,6 +232,18 @@ def test_ids_match_the_tokenizer():
             at += n
 
 
+def test_places_of_hashes():
+    rng = np.random.default_rng(3)
+    hashes = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) << np.uint64(8))  # the low bits collide
+    held = packing.HashPlaces(slots=4)
+    for k in range(0, len(hashes), 700):
+        held.add(hashes[k : k + 700], np.arange(k, min(k + 700, len(hashes)), dtype=np.int32))
+    assert held.find(hashes).tolist() == list(range(len(hashes)))
+    assert (held.find(hashes + np.uint64(1)) == -1).all()
+    held.add(np.zeros(1, np.uint64), np.array([77], np.int32))
+    assert held.find(np.zeros(2, np.uint64)).tolist() == [77, 77]
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_vector_best_fit_keeps_every_constraint(rule):
     rng = np.random.default_rng(5)
