@@ -9,8 +9,8 @@ language; a text goes to the language whose tree codes it in the fewest bits.
 
 Defined cases: a null text and one without a letter get ``und`` and score 0, as
 does every text if nothing is labelled; ties go to the smaller language name; a
-null doc_id counts as the empty text in the split; rows that repeat are predicted
-alike; further columns are ignored; an empty table gives an empty result. Texts of
+null doc_id counts as the empty text in the split and never trains; rows that repeat
+are predicted alike; further columns are ignored; an empty table gives an empty result. Texts of
 any length are scored whole, in slices.
 """
 
@@ -31,7 +31,8 @@ from tessera.llm.labelled import held_out
 
 #: Size of the training sample: documents in all (never more than twice that), and for each language.
 SAMPLE_DOCUMENTS, SAMPLE_PER_LANGUAGE = 4000, 400
-#: A context stays in the trees from so many sightings; at most so many contexts stay.
+#: Size of the model: a context stays in the trees from so many sightings; at most so many contexts stay, short ones
+#: before long ones and frequent ones before rare ones. Bytes in contexts that didn't stay are coded in the next shorter one.
 LEAST_SEEN, MOST_CONTEXTS = 6, 20_000
 SLICE = 1 << 19
 UNKNOWN = "und"
@@ -124,8 +125,12 @@ def _quadruples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(documents: DataFrame, modulus: int = 3, rest: int = 1, documents_in_all: int = SAMPLE_DOCUMENTS, per_language: int = SAMPLE_PER_LANGUAGE) -> ContextTrees | None:
-    """Trees of all languages in ``lang``, from about ``per_language`` labelled documents of each outside the held-out part, chosen by hash of doc_id."""
-    labelled = documents.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), modulus, rest))
+    """Trees of all languages in ``lang``, from about ``per_language`` labelled documents of each outside the held-out part.
+
+    The doc_ids with the smallest hashes are taken, so the choice depends on nothing
+    but the ids. Rows without a doc_id don't train: they share one hash.
+    """
+    labelled = documents.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, rest))
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     known = sizes.count()
     if not known:
@@ -134,8 +139,9 @@ def train(documents: DataFrame, modulus: int = 3, rest: int = 1, documents_in_al
     # Each language gives the documents whose hash lies in its lowest share: no ranking, so a frequent language stays spread.
     low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(float(share << 40)) / F.col("n")
     chosen = labelled.select("doc_id", "lang").join(sizes, "lang").filter(low)
-    ids = chosen.select(F.col("doc_id").alias("chosen_id")).limit(2 * documents_in_all).distinct()  # the limit bounds what is broadcast
-    sample = labelled.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi").select("lang", F.col("text").cast("string"))
+    # The limit bounds what is broadcast; by the order of hashes it is the same on every layout.
+    ids = chosen.select(F.col("doc_id").alias("chosen_id")).distinct().orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(2 * documents_in_all)
+    sample = labelled.join(F.broadcast(ids), F.col("doc_id") == F.col("chosen_id"), "left_semi").select("lang", F.col("text").cast("string"))
     counts = sample.mapInArrow(_quadruples, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique().tolist())
     index = {x: i for i, x in enumerate(languages)}
