@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.skew import join_unique
 from tessera.plans.storage import materialise
 
 SLOTS = 4
@@ -192,7 +193,7 @@ def digest_groups(digests: DataFrame) -> DataFrame:
 def exact_dedup(documents: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``documents``."""
     digests = text_digests(documents)
-    return digests.join(digest_groups(digests), "digest").select(
+    return join_unique(digests, materialise(digest_groups(digests), "groups"), "digest", "group_size").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
@@ -205,7 +206,7 @@ def without_copies(documents: DataFrame) -> DataFrame:
     """
     digests = text_digests(documents)
     groups = materialise(digest_groups(digests), "groups")
-    joined = digests.join(groups, "digest").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    joined = join_unique(digests, groups, "digest", "group_size").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
     dropped = joined.filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
     doc_id = documents["doc_id"].cast("long")
     kept = documents.join(dropped, doc_id.eqNullSafe(F.col("_dropped")), "left_anti")
