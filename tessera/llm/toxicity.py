@@ -187,7 +187,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
             g = (_sigmoid(hidden @ params["o"] + params["c"][0]) - labels[batch]) * weight[batch] / len(batch)
             grad = {"o": hidden.T @ g, "c": np.array([g.sum()])}
             back = np.outer(g, params["o"]) * (pre > 0)
-            grad["b"], grad["e"] = back.sum(0), np.zeros_like(params["e"])
+            grad["b"], touched, pulls = back.sum(0), [], []
             for k, w in enumerate(WIDTHS):
                 f, gf = params[f"f{k}"], np.zeros_like(params[f"f{k}"])
                 for j in range(FILTERS):
@@ -196,14 +196,19 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
                     for o in range(w):
                         found = np.array([rows[i][a + o] for i, a in zip(batch, at)])
                         gf[o * d : (o + 1) * d, j] = params["e"][found].sum(1).T @ h
-                        np.add.at(grad["e"], found, (h[:, None] * f[o * d : (o + 1) * d, j][None, :])[:, None, :])
+                        pull = h[:, None] * f[o * d : (o + 1) * d, j]
+                        touched.append(found.ravel())
+                        pulls.append(np.repeat(pull, found.shape[1], axis=0))
                 grad[f"f{k}"] = gf
-            grad["e"][0] = 0
+            own, place = np.unique(np.concatenate(touched), return_inverse=True)
+            grad["e"] = np.stack([np.bincount(place, x, len(own)) for x in np.concatenate(pulls).T], axis=1)
+            grad["e"][own == 0] = 0
             step += 1
             for k, x in params.items():
-                m[k] = 0.9 * m[k] + 0.1 * grad[k]
-                v[k] = 0.999 * v[k] + 0.001 * grad[k] ** 2
-                x -= RATE * ((m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8) + DECAY * x * (k != "c"))
+                at = own if k == "e" else slice(None)  # embeddings that the batch doesn't touch stay as they are
+                m[k][at] = 0.9 * m[k][at] + 0.1 * grad[k]
+                v[k][at] = 0.999 * v[k][at] + 0.001 * grad[k] ** 2
+                x[at] -= RATE * ((m[k][at] / (1 - 0.9**step)) / (np.sqrt(v[k][at] / (1 - 0.999**step)) + 1e-8) + DECAY * x[at] * (k != "c"))
     net = Network(known, params["e"].astype(np.float32), [params[f"f{k}"] for k in range(len(WIDTHS))], params["b"], params["o"], float(params["c"][0]))
     _calibrate(net, [texts[i] for i in np.flatnonzero(calibrating)], labels[calibrating])
     return net
