@@ -3,6 +3,12 @@
 Each stage takes all that the one before it kept, written as Parquet, and all but
 the last return the columns of ``documents``. The last returns where each piece of
 each kept document goes.
+
+Defined cases: null, empty and letterless texts go in the first stage. Rows that
+repeat a text leave one. Rows that share a doc_id are told apart by their texts in
+the second stage; in the third they stay or go together, and rows without a doc_id
+stay. A null source is a source of its own. Further columns pass through the first
+four stages, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,8 +24,9 @@ from tessera.plans.storage import materialise
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter, or null, have no language and go."""
     show_package(spark)
-    found = language_id.predict(docs, language_id.train(docs), docs.columns)
-    return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")  # as one column, no name can clash
+    found = language_id.predict(rows, language_id.train(docs), ["row"])
+    return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
