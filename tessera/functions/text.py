@@ -6,6 +6,7 @@ knows all Unicode letters and would cut other tokens than the ones intended.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 START, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 # Simplified characters and their traditional forms, in pairs.
-SIMPLIFIED = "们过来时么对东车门开关为说与学发经总体实际现应会语库检索档标题认证访问识资传数据请写机设备处运启动务网络连错误败环变权缓览页预话户码隐云节内结询选级闭装赖滚复删创导别扫图优仅载输块"
-TRADITIONAL = "們過來時麼對東車門開關爲說與學發經總體實際現應會語庫檢索檔標題認證訪問識資傳數據請寫機設備處運啟動務網絡連錯誤敗環變權緩覽頁預話戶碼隱雲節內結詢選級閉裝賴滾復刪創導別掃圖優僅載輸塊"
+SIMPLIFIED = "国们过来时么对东车门开关为说与学发经总体实际现应会语库检索档标题认证访问识资传数据请写机设备处运启动务网络连错误败环变权缓览页预话户码隐云节内结询选级闭装赖滚复删创导别扫图优仅载输块"
+TRADITIONAL = "國們過來時麼對東車門開關爲說與學發經總體實際現應會語庫檢索檔標題認證訪問識資傳數據請寫機設備處運啟動務網絡連錯誤敗環變權緩覽頁預話戶碼隱雲節內結詢選級閉裝賴滾復刪創導別掃圖優僅載輸塊"
 HANT_MARKERS = "國們過來時麼對東車門開關爲說與學發經總體實際現應會語資訊"
 # The patterns of technical terms, in the order in which they are looked for.
 TECHNICAL_PATTERNS = (
@@ -43,8 +44,19 @@ LATIN_STOPWORDS = (
     "you your he she his her as if then than not"
 ).split()
 FILE_EXTENSIONS = "pdf|md|markdown|txt|docx?|xlsx?|pptx?|csv|json|ya?ml|xml|html?|ts|tsx|js|jsx|mjs|cjs|py|go|rs|java|kt|swift|c|cpp|h|hpp|cs|rb|php|sql|sh|zsh|toml|ini|cfg|log"
-# Accented letters and what they are matched as.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _accents() -> tuple[str, str]:
+    """Lower-case letters that Unicode composes of a base letter and marks, with their base letters; then the marks, which have none and vanish."""
+    letters = {}
+    for code in (*range(0x00C0, 0x0600), *range(0x1E00, 0x2000)):
+        base = unicodedata.normalize("NFD", chr(code).lower())
+        if len(chr(code).lower()) == 1 and len(base) > 1 and not unicodedata.combining(base[0]) and all(map(unicodedata.combining, base[1:])):
+            letters[chr(code).lower()] = base[0]
+    return "".join(letters) + "".join(map(chr, range(0x0300, 0x0370))), "".join(letters.values())
+
+
+ACCENTED, PLAIN = _accents()
 
 Text = Column
 
@@ -60,8 +72,8 @@ def collapse(x: Text) -> Column:
 
 
 def folded(x: Text) -> Column:
-    """Lower case without accents, as index and queries are matched."""
-    return F.translate(F.lower(x), ACCENTED, PLAIN)
+    """Lower case without accents, as index and queries are matched. Letters that Unicode doesn't decompose (ł, đ, ø) stay."""
+    return F.when(x.rlike(r"[^\x00-\x7F]"), F.translate(F.lower(x), ACCENTED, PLAIN)).otherwise(F.lower(x))
 
 
 def tokens(x: Text) -> Column:
@@ -75,6 +87,53 @@ def soft_normalised(x: Text) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[ \t]{2,}", " "), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
+def search_text(x: Text) -> Column:
+    """The lower-cased text in one line, followed by the bigrams of its Chinese runs and its technical terms."""
+    low = F.lower(collapse(F.coalesce(x, F.lit(""))))
+    runs = F.regexp_extract_all(low, F.lit(r"(\p{IsHan}{2,})"), 1)
+    bigrams = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    return F.array_join(F.concat(F.array(low), bigrams, technical_terms(low)), " ")
+
+
+def display_name(name: Text, original: Text, most: int = 180) -> Column:
+    """A name to show: percent-encoding undone where it is sound, slashes as underscores, cut; the original where nothing is left."""
+    decoded = F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
+    plain = F.substring(F.trim(F.regexp_replace(decoded, r"[/\\]", "_")), 1, most)
+    return F.coalesce(F.nullif(plain, F.lit("")), F.substring(original, 1, most))
+
+
+def highlight_terms(seeds: Column, most: int = 40) -> Column:
+    """The seeds, their script variants and the Chinese runs in them, each once whatever the case; long ones first, then by lower case and code points."""
+
+    def forms(t: Column) -> Column:
+        return F.concat(F.array(t), hans_hant_variants(t))
+
+    def all_of(seed: Column) -> Column:
+        runs = F.regexp_extract_all(seed, F.lit(r"([\x{4e00}-\x{9fff}]{2,})"), 1)
+        return F.concat(forms(F.trim(seed)), F.flatten(F.transform(runs, forms)))
+
+    every = F.filter(F.flatten(F.transform(F.filter(seeds, lambda s: s.isNotNull()), all_of)), lambda t: t != "")
+    lowered = F.transform(every, F.lower)
+    first = F.filter(every, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1)
+    ordered = F.array_sort(F.transform(first, lambda t: F.struct((-F.length(t)).alias("l"), F.lower(t).alias("k"), t.alias("t"))))
+    return F.slice(F.transform(ordered, lambda x: x["t"]), 1, most)
+
+
+def rewrite_payload(answer: Text) -> Column:
+    """domain, synonyms (at most 6) and exclude (at most 4) from a model's answer that holds a JSON object, perhaps in a code fence; null if it names none."""
+    trimmed = F.trim(answer)
+    fenced = F.nullif(F.trim(F.regexp_extract(trimmed, r"(?is)```(?:json)?\s*(.*?)```", 1)), F.lit(""))
+    found = F.from_json(F.nullif(F.regexp_extract(F.coalesce(fenced, trimmed), r"(?s)(\{.*\})", 1), F.lit("")), "domain string, synonyms array<string>, exclude array<string>")
+
+    def listed(name: str, most: int) -> Column:
+        each = F.transform(F.coalesce(found[name], F.array().cast("array<string>")), lambda t: collapse(F.coalesce(t, F.lit(""))))
+        return F.slice(F.array_distinct(F.filter(each, lambda t: F.length(t) >= 2)), 1, most)
+
+    synonyms, exclude = listed("synonyms", 6), listed("exclude", 4)
+    whole = F.struct(F.nullif(F.trim(found["domain"]), F.lit("")).alias("domain"), synonyms.alias("synonyms"), exclude.alias("exclude"))
+    return F.when((F.size(synonyms) > 0) | (F.size(exclude) > 0), whole)
+
+
 def technical_terms(x: Text) -> Column:
     """Identifiers, versions, codes and paths, in the order of the patterns, each once."""
     lowered = F.lower(collapse(x))
@@ -194,21 +253,32 @@ def looks_like_markdown(x: Text) -> Column:
 
 def keyword_score(content: Text, terms: Column) -> Column:
     """Characters that non-overlapping occurrences of the terms cover, summed over the terms."""
-    return let(F.lower(content), lambda c: F.aggregate(terms, F.lit(0), lambda total, t: total + F.length(c) - F.length(F.replace(c, t, F.lit(""))))).cast("long")
+    return let(F.lower(content), lambda low: covered_characters(low, terms))
+
+
+def covered_characters(low: Text, terms: Column) -> Column:
+    """:func:`keyword_score` of a lower-cased text; terms that it doesn't hold cost a search only."""
+    held = F.filter(terms, lambda t: F.contains(low, t))
+    return F.aggregate(held, F.lit(0), lambda total, t: total + F.length(low) - F.length(F.replace(low, t, F.lit("")))).cast("long")
 
 
 def term_coverage(content: Text, terms: Column) -> Column:
     """How many different terms the text holds, whatever the case. Chinese runs whose bigrams are all terms don't count."""
+    return let(F.lower(content), lambda low: held_terms(low, terms))
+
+
+def held_terms(low: Text, terms: Column) -> Column:
+    """:func:`term_coverage` of a lower-cased text."""
     wanted = F.array_distinct(F.filter(F.transform(terms, lambda t: F.trim(F.lower(t))), lambda t: t != ""))
 
-    def counted(each: Column, lowered: Column) -> Column:
+    def counted(each: Column) -> Column:
         def covered(t: Column) -> Column:
             bigrams = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
             return F.when(t.rlike(r"^\p{IsHan}{3,}$"), F.forall(bigrams, lambda b: F.array_contains(each, b))).otherwise(F.lit(False))
 
-        return F.size(F.filter(each, lambda t: F.contains(lowered, t) & ~covered(t)))
+        return F.size(F.filter(each, lambda t: F.contains(low, t) & ~covered(t)))
 
-    return let(wanted, lambda each: let(F.lower(content), lambda lowered: counted(each, lowered))).cast("long")
+    return let(wanted, counted).cast("long")
 
 
 def contains_term(content: Text, term: str) -> Column:

@@ -34,6 +34,48 @@ def by_group(metrics: DataFrame, *keys: str) -> DataFrame:
     return metrics.groupBy(*keys).agg(F.count("*").alias("cases"), *[F.round(F.avg(c), 9).alias(c) for c in names])
 
 
+def summary(metrics: DataFrame) -> DataFrame:
+    """One row of means over cases (category, gated, n_returned, and the metrics of :func:`by_case`).
+
+    Recall, MRR and nDCG count gated cases; a group without cases counts as 1, and the
+    share of cases without an answer that got one as 0.
+    """
+    gated = F.col("gated")
+    mean = lambda c, which, empty=0.0: F.round(F.coalesce(F.avg(F.when(which, c)), F.lit(empty)), 9)
+    of = lambda *names: gated & F.col("category").isin(*names)
+    return metrics.agg(
+        mean(F.col("hit_5"), gated).alias("recall_at_5"), mean(F.col("hit_8"), gated).alias("recall_at_8"), mean(F.col("mrr"), gated).alias("mrr_at_10"), mean(F.col("ndcg"), gated).alias("ndcg_at_10"),
+        mean((F.col("n_returned") > 0).cast("double"), F.col("category") == "no_answer").alias("no_answer_false_recall"), mean(F.col("top1"), of("exact"), 1.0).alias("exact_top1"),
+        mean(F.col("hit_8"), of("zh→en", "en→zh"), 1.0).alias("cross_lingual_recall_at_8"), mean(F.col("hit_8"), of("zh→zh"), 1.0).alias("zh_zh_recall_at_8"), mean(F.col("hit_8"), of("en→en"), 1.0).alias("en_en_recall_at_8"),
+    )
+
+
+# Categories that a set of cases must hold.
+CATEGORIES = ("zh→zh", "en→en", "zh→en", "en→zh", "mixed", "zh-Hans↔zh-Hant", "exact", "paraphrase", "long_query", "conflict", "no_answer")
+
+
+def fixture_errors(corpus: DataFrame, cases: DataFrame) -> DataFrame:
+    """error and id of all that is wrong with a set: corpus (id, document_id, text) and cases (id, category, query, relevant, expect_no_answer)."""
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    named = lambda df, error: df.select(F.lit(error).alias("error"), F.col("id").cast("string").alias("id"))
+    ids = corpus.select(F.col("id").alias("_known")).distinct()
+    wanted = cases.select("id", F.explode("relevant").alias("_known"))
+    missing = cases.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "id string").join(cases.select(F.col("category").alias("id")).distinct(), "id", "left_anti")
+    parts = [
+        named(corpus.filter(empty("id") | empty("document_id") | F.col("text").isNull()), "bad_chunk"),
+        named(corpus.filter("id is not null").groupBy("id").count().filter("count > 1"), "repeated_chunk"),
+        named(cases.filter(empty("id") | ~F.coalesce(F.col("category").isin(*CATEGORIES), F.lit(False)) | empty("query") | F.col("relevant").isNull()), "bad_case"),
+        named(cases.filter("id is not null").groupBy("id").count().filter("count > 1"), "repeated_case"),
+        named(wanted.join(ids, "_known", "left_anti").select("id").distinct(), "unknown_chunk"),
+        named(cases.filter(F.col("expect_no_answer") & (F.size("relevant") > 0)), "answer_of_no_answer"),
+        named(missing, "missing_category"),
+    ]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
 def percentile(values: DataFrame, column: str, p: float, *keys: str) -> DataFrame:
     """Nearest-rank percentile.
 

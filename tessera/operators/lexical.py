@@ -1,16 +1,24 @@
 """Inverted index, BM25 and the lexical ladder for a batch of queries.
 
-Every step is a join or an aggregation keyed by token, chunk or query: a batch of
-queries is answered by one plan, and postings are cut to the tokens of the queries
-before anything else joins them.
+A batch of queries reads the chunks once: their tokens are cut to those of the
+queries as they are met, and what is left is written as postings, with a row for each
+chunk that carries its length. Frequencies, scores and ladders read these. What
+belongs to the queries is broadcast while it is small, so a frequent token fills no
+partition. Texts are looked at only where a query has met enough tokens.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
+from tessera.plans.storage import materialise
+
+#: Rows of a table of the queries that is broadcast; a larger one meets the others in a shuffle.
+BROADCAST_ROWS = 200_000
 
 # Field weights, and the usual BM25 constants.
 FIELD_WEIGHTS = {"exact": 8.0, "zh": 3.0, "en": 3.0, "mixed": 2.0}
@@ -43,16 +51,14 @@ def postings(chunks: DataFrame) -> DataFrame:
     return each.groupBy("field", "token", "chunk_id").agg(F.count("*").alias("tf"))
 
 
-def plain_postings(chunks: DataFrame) -> DataFrame:
-    """token, chunk_id, tf over one field."""
-    return chunks.select("chunk_id", F.explode(fn.tokens(F.col("content"))).alias("token")).groupBy("token", "chunk_id").agg(F.count("*").cast("double").alias("tf"))
+def field_weight() -> Column:
+    return F.coalesce(*[F.when(F.col("field") == name, F.lit(w)) for name, w in FIELD_WEIGHTS.items()])
 
 
 def weighted(index: DataFrame, only: Column | None = None) -> DataFrame:
     """Postings over fields as one weighted frequency; ``only`` restricts the fields, which prunes partitions by field."""
-    weight = F.coalesce(*[F.when(F.col("field") == name, F.lit(w)) for name, w in FIELD_WEIGHTS.items()])
     kept = index if only is None else index.filter(only)
-    return kept.groupBy("token", "chunk_id").agg(F.sum(F.col("tf") * weight).alias("tf"))
+    return kept.groupBy("token", "chunk_id").agg(F.sum(F.col("tf") * field_weight()).alias("tf"))
 
 
 def language_fields(language: str) -> list[str]:
@@ -62,48 +68,72 @@ def language_fields(language: str) -> list[str]:
     return ["en", "mixed", "exact"] if language == "en" else list(FIELD_WEIGHTS)
 
 
+def bounded(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows``, to be broadcast if they are at most so many."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 #: Queries that one broadcast block holds.
 QUERY_BLOCK = 512
 
 
-def by_query_block(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """Each chunk with every query's terms, for tests on substrings that no index serves.
+def by_query_block(chunks: DataFrame, terms: DataFrame, score: Callable[[Column, Column], Column], least: int = 1) -> DataFrame:
+    """query_id, chunk_id, score of at least ``least``, for tests on substrings that no index serves.
 
-    ``terms``: query_id, token. The queries are a stated set; they are dealt into
-    blocks of bounded size, and each block is broadcast as one row.
+    ``terms``: query_id, token; ``score`` sees a chunk's lower-cased content and a
+    query's terms. The queries are a stated set; they are dealt into blocks of bounded
+    size, and each block is broadcast as one row. A chunk is lower-cased once for each
+    block, and its content goes no further than the row that it stands in.
     """
     wanted = terms.groupBy("query_id").agg(F.collect_list("token").alias("terms"))
     blocks = max(1, -(-terms.select("query_id").distinct().count() // QUERY_BLOCK))
+    low = chunks.select("chunk_id", F.lower("content").alias("_low"))
     found = None
     for b in range(blocks):
         block = wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).agg(F.collect_list(F.struct("query_id", "terms")).alias("_block"))
-        part = chunks.join(F.broadcast(block)).select(*chunks.columns, F.explode("_block").alias("_q")).select(*chunks.columns, "_q.query_id", "_q.terms")
+        each = F.transform("_block", lambda q: F.struct(q["query_id"].alias("query_id"), score(F.col("_low"), q["terms"]).alias("score")))
+        part = low.join(F.broadcast(block)).select("chunk_id", F.inline(F.filter(each, lambda x: x["score"] >= least))).select("query_id", "chunk_id", "score")
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", F.size(fn.tokens(F.col("content"))).cast("double").alias("length"))
+_ENTRY = "struct<field:string,token:string>"
 
 
-def bm25(terms: DataFrame, index: DataFrame, chunk_lengths: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score, hits (different terms met); ``terms``: query_id, token, each once.
+def entries(field: str, tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.struct(F.lit(field).alias("field"), t.alias("token")))
 
-    The collection's size and mean length are one row; frequencies are counted only
-    for tokens of the queries.
+
+def query_index(chunks: DataFrame, held: Column, length: Column, terms: DataFrame) -> DataFrame:
+    """field, token, chunk_id, length, tf of the tokens in ``terms``, and a row without a token for each chunk.
+
+    ``held``: an array of field and token. It is written, as several plans read it.
     """
-    wanted = terms.select("token").distinct()
-    met = index.join(wanted, "token")
-    frequency = met.groupBy("token").agg(F.count("*").cast("double").alias("df"))
-    stats = chunk_lengths.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"))
+    wanted = bounded(terms.select("token").distinct()).withColumn("_wanted", F.lit(True))
+    each = chunks.select("chunk_id", length.cast("double").alias("length"), held.alias("_held"))
+    each = each.select("chunk_id", "length", F.inline(F.concat("_held", F.array(F.lit(None).cast(_ENTRY)))))
+    met = each.join(wanted, "token", "left").filter("_wanted or token is null")
+    return materialise(met.groupBy("field", "token", "chunk_id", "length").agg(F.count("*").cast("double").alias("tf")), "postings")
+
+
+def plain_index(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    tokens = chunks.select("chunk_id", fn.tokens(F.col("content")).alias("_tokens"))
+    return query_index(tokens, entries("plain", F.col("_tokens")), F.size("_tokens"), terms)
+
+
+def bm25(terms: DataFrame, index: DataFrame) -> DataFrame:
+    """query_id, chunk_id, score, hits (different terms met); ``terms``: query_id, token, each once; ``index``: of :func:`query_index`, or made of one.
+
+    The collection's size and mean length are one row.
+    """
+    postings = index.filter("token is not null")
+    stats = index.filter("token is null").agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"))
+    frequency = postings.groupBy("token").agg(F.count("*").cast("double").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = (
-        met.join(frequency.crossJoin(F.broadcast(stats)).select("token", idf.alias("idf"), "mean"), "token")
-        .join(chunk_lengths, "chunk_id")
-        .select("token", "chunk_id", part.alias("part"))
-    )
-    return scored.join(terms, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("hits"))
+    weighed = terms.join(frequency.join(F.broadcast(stats)).select("token", idf.alias("idf"), "mean"), "token").select("query_id", "token", "idf", "mean")
+    scored = postings.join(bounded(weighed), "token").select("query_id", "chunk_id", part.alias("part"))
+    return scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("hits"))
 
 
 def weighted_bm25(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -114,15 +144,31 @@ def weighted_bm25(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     language = fn.language(F.col("text"))
     kinds = queries.select("query_id", F.when(language.startswith("zh"), "zh").when(language == "en", "en").otherwise("all").alias("kind"))
+    own = postings(queries.select(F.col("query_id").alias("chunk_id"), F.col("text").alias("content"))).withColumnRenamed("chunk_id", "query_id")
+    terms = own.join(kinds, "query_id").filter(seen_by_kind()).select("query_id", "kind", "token").distinct()
+    return bm25(terms.select("query_id", _of_kind()), weighted_index(chunks, terms))
+
+
+def seen_by_kind() -> Column:
+    """Whether queries of the kind look into the field."""
     seen = F.lit(False)
     for kind in ("zh", "en", "all"):
         seen = seen | ((F.col("kind") == kind) & F.col("field").isin(language_fields(kind)))
-    own = postings(queries.select(F.col("query_id").alias("chunk_id"), F.col("text").alias("content"))).withColumnRenamed("chunk_id", "query_id")
-    terms = own.join(kinds, "query_id").filter(seen).select("query_id", "kind", "token").distinct()
-    met = postings(chunks).join(terms.select("kind", "token").distinct(), "token").filter(seen)
-    keyed = F.concat_ws(":", "kind", "token").alias("token")  # a term has a frequency for each set of fields
-    length = sum((F.size(c) for c in fields(F.col("content")).values()), F.lit(0)).cast("double")
-    return bm25(terms.select("query_id", keyed), weighted(met.select(keyed, "field", "chunk_id", "tf")), chunks.select("chunk_id", length.alias("length")))
+    return seen
+
+
+def _of_kind() -> Column:
+    return F.concat_ws(":", "kind", "token").alias("token")  # a term has a frequency for each set of fields
+
+
+def weighted_index(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """An index whose tokens are ``kind:token`` and whose frequencies are weighted by field; ``terms``: kind, token."""
+    held = F.concat(*[entries(name, tokens) for name, tokens in fields(F.col("content")).items()])
+    each = chunks.select("chunk_id", held.alias("_fields"))
+    index = query_index(each, F.col("_fields"), F.size("_fields"), terms)
+    met = index.filter("token is not null").join(bounded(terms.select("kind", "token").distinct()), "token").filter(seen_by_kind())
+    weighed = met.groupBy(_of_kind(), "chunk_id", "length").agg(F.sum(F.col("tf") * field_weight()).alias("tf"))
+    return weighed.unionByName(index.filter("token is null").select("token", "chunk_id", "length", "tf"))
 
 
 def top(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -207,25 +253,41 @@ def query_plans(queries: DataFrame, most: int = 40) -> DataFrame:
     )
 
 
+def least_hits() -> Column:
+    """For a plan: fewer different tokens than this can't reach any step of its ladder.
+
+    A Latin term is met by all of its tokens; Chinese terms may be met by other forms,
+    so they may all be met unseen. A token may stand for several terms.
+    """
+    latin = F.filter("effective", lambda t: ~t.rlike(r"\p{IsHan}"))
+    each = F.flatten(F.transform(latin, lambda t: F.array_distinct(fn.tokens(t))))
+    shared = F.coalesce(F.array_max(F.transform(F.array_distinct(each), lambda t: F.size(F.filter(each, lambda u: u == t)))), F.lit(1))
+    needed = F.coalesce("minimum", F.size("effective")) - (F.size("effective") - F.size(latin))
+    pieces = F.array_distinct(F.flatten(F.transform("match_terms", fn.tokens)))
+    by_terms = F.ceil(needed / F.greatest(shared, F.lit(1)))
+    by_phrase = F.when(F.col("phrase").isNotNull(), F.when(F.col("phrase").rlike(r"\p{IsHan}"), 1).otherwise(F.size(F.array_intersect(fn.tokens(F.col("phrase")), pieces))))
+    return F.when(F.col("class") == "explicit_or", 1).otherwise(F.greatest(F.least(by_terms, by_phrase), F.lit(1))).cast("long")
+
+
 def ladder(plans: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
     """The k best chunks of each query on the first step of its ladder that finds any: phrase, all, minimum_match; or explicit_or.
 
-    All steps are judged in one pass over the chunks that share a token with the
+    All steps are judged in one pass over the chunks that share enough tokens with the
     query; a window over the query keeps the lowest step.
     """
-    sub = plans.select("query_id", "class", "phrase", "minimum", "match_terms", "effective")
+    sub = materialise(plans.select("query_id", "class", "phrase", "minimum", "match_terms", "effective", least_hits().alias("least")), "plans")
     pieces = sub.select("query_id", F.explode("match_terms").alias("term")).select("query_id", F.explode(fn.tokens(F.col("term"))).alias("token")).distinct()
-    index = plain_postings(chunks)
-    zh = chunks.select("chunk_id", F.explode(fields(F.col("content"))["zh"]).alias("token")).filter(F.length("token") == 2).groupBy("token", "chunk_id").agg(F.count("*").cast("double").alias("tf"))
-    scored = bm25(pieces, index.unionByName(zh), lengths(chunks))
+    words = chunks.select("chunk_id", fn.tokens(F.col("content")).alias("_tokens"), F.filter(fields(F.col("content"))["zh"], lambda t: F.length(t) == 2).alias("_bigrams"))
+    index = query_index(words, F.concat(entries("plain", F.col("_tokens")), entries("zh", F.col("_bigrams"))), F.size("_tokens"), pieces)
+    enough = bm25(pieces, index).join(bounded(sub), "query_id").filter("hits >= least")
     text = chunks.select("chunk_id", "content", F.concat(F.lit(" "), F.array_join(fn.tokens(F.col("content")), " "), F.lit(" ")).alias("line"))
 
     def met(t: Column) -> Column:
-        words = F.concat(F.lit(" "), F.array_join(fn.tokens(t), " "), F.lit(" "))
+        line = F.concat(F.lit(" "), F.array_join(fn.tokens(t), " "), F.lit(" "))
         variants = F.exists(fn.hans_hant_variants(t), lambda v: F.contains(F.lower(F.col("content")), v))
-        return F.when(t.rlike(r"\p{IsHan}"), variants).otherwise(F.contains(F.col("line"), words))
+        return F.when(t.rlike(r"\p{IsHan}"), variants).otherwise(F.contains(F.col("line"), line))
 
-    judged = scored.join(sub, "query_id").join(text, "chunk_id").withColumn("n", F.size(F.filter("effective", met)))
+    judged = enough.join(text, "chunk_id").withColumn("n", F.size(F.filter("effective", met)))
     phrase_line = F.concat(F.lit(" "), F.array_join(fn.tokens(F.col("phrase")), " "), F.lit(" "))
     step = (
         F.when(F.col("class") == "explicit_or", F.when(F.col("n") >= 1, 0))
@@ -233,7 +295,7 @@ def ladder(plans: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
         .when(F.col("n") == F.size("effective"), 2)
         .when((F.col("n") >= F.col("minimum")) & (fn.term_coverage(F.col("content"), F.col("match_terms")) >= F.col("minimum")), 3)
     )
-    stepped = judged.withColumn("step", step).filter("step is not null")
+    stepped = judged.withColumn("step", step).filter("step is not null").select("query_id", "chunk_id", "score", "step")
     best = stepped.withColumn("best", F.min("step").over(Window.partitionBy("query_id"))).filter("step = best")
     names = F.element_at(F.array(*[F.lit(x) for x in ("explicit_or", "phrase", "all", "minimum_match")]), F.col("step") + 1)
     return top(best, k).select("query_id", "chunk_id", "score", "rank", names.alias("step"))

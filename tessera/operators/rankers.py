@@ -20,8 +20,7 @@ def _ranked(scores: DataFrame) -> DataFrame:
 
 def _by_terms(queries: DataFrame, corpus: DataFrame, haystack: Column) -> DataFrame:
     terms = lexical.search_terms(queries).select("query_id", F.col("term").alias("token"))
-    met = lexical.by_query_block(corpus.select("chunk_id", haystack.alias("content")), terms)
-    return _ranked(met.select("query_id", "chunk_id", fn.keyword_score(F.col("content"), F.col("terms")).alias("score")))
+    return _ranked(lexical.by_query_block(corpus.select("chunk_id", haystack.alias("content")), terms, fn.covered_characters))
 
 
 def keyword(queries: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ PRODUCTS = r"(?i)(openai|anthropic|sqlite|fts5|nodejs|node\.js|typescript|javasc
 
 
 def exact_terms(queries: DataFrame) -> DataFrame:
-    """query_id, term, kind, weight: a query that is one exact term as a whole, else the exact terms within."""
+    """query_id, term, kind, weight, at (its place among them): a query that is one exact term as a whole, else the exact terms within."""
     x = fn.collapse(F.col("text"))
     bare = F.regexp_replace(x, "^[\"'`「]|[\"'`」]$", "")
     word = "[A-Za-z_][A-Za-z0-9_]*"
@@ -38,7 +38,7 @@ def exact_terms(queries: DataFrame) -> DataFrame:
     found = F.when(kind == "general", within).otherwise(F.array(item(bare, kind)))
     each = queries.select("query_id", F.posexplode(found).alias("at", "x")).select("query_id", "at", "x.term", "x.kind").filter("trim(term) <> ''")
     first = Window.partitionBy("query_id", F.lower("term")).orderBy("at")
-    return each.withColumn("n", F.row_number().over(first)).filter("n = 1").select("query_id", "term", "kind", F.element_at(weight, F.col("kind")).alias("weight"))
+    return each.withColumn("n", F.row_number().over(first)).filter("n = 1").select("query_id", "term", "kind", F.element_at(weight, F.col("kind")).alias("weight"), "at")
 
 
 def variants(queries: DataFrame, most: int = 2) -> DataFrame:
@@ -76,3 +76,37 @@ def terminology(queries: DataFrame, entries: DataFrame, most: int = 8) -> DataFr
     script = lambda t: t.rlike(r"\p{IsHan}")
     kept = F.filter(F.slice("all", 1, most), lambda t: F.when(F.col("han") & ~F.col("latin"), ~script(t)).when(F.col("latin") & ~F.col("han"), script(t)).otherwise(True))
     return merged.select("query_id", kept.alias("synonyms"), "excludes")
+
+
+def merged_terms(queries: DataFrame, most: int = 40) -> DataFrame:
+    """query_id, term, position: a query's search terms after those of its exact terms that aren't among them, the last exact term first."""
+    terms = search_terms(queries, most).select("query_id", F.lower("term").alias("term"), F.col("position").cast("long").alias("at"))
+    exact = exact_terms(queries).select("query_id", F.lower("term").alias("term"), "at")
+    new = exact.join(terms, ["query_id", "term"], "left_anti").select("query_id", "term", (-F.col("at") - 1).cast("long").alias("at"))
+    order = Window.partitionBy("query_id").orderBy("at")
+    return new.unionByName(terms).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= most).select("query_id", "term", "position")
+
+
+def resolved(queries: DataFrame, learned: DataFrame, seeds: DataFrame, answers: DataFrame | None = None, most: int = 8) -> DataFrame:
+    """query_id, source (terminology, llm or none), synonyms, excludes.
+
+    Learned entries come before the built-in seeds. Where none matches, a model's
+    ``answers`` (query_id, answer) may: what it names, without the query itself and
+    without synonyms in the query's own script. Queries that are exact terms stay as they are.
+    """
+    open_ = queries.filter(fn.query_kind(F.col("text")) == "general")
+    entries = learned.select(F.concat(F.lit("a"), F.lpad(F.col("entry").cast("string"), 12, "0")).alias("entry"), "terms", "exclude").unionByName(
+        seeds.select(F.concat(F.lit("b"), F.lpad(F.col("entry").cast("string"), 12, "0")).alias("entry"), "terms", "exclude")
+    )
+    known = terminology(open_, entries, most).withColumn("source", F.lit("terminology"))
+    if answers is not None:
+        text = F.lower(fn.collapse(F.col("text")))
+        han, latin, script = text.rlike(r"\p{IsHan}"), text.rlike(r"\p{IsLatin}"), lambda t: t.rlike(r"\p{IsHan}")
+        asked = open_.join(known, "query_id", "left_anti").join(answers, "query_id").withColumn("_p", fn.rewrite_payload(F.col("answer"))).filter("_p is not null")
+        other = lambda xs: F.filter(xs, lambda t: F.lower(t) != text)
+        kept = F.filter(other(F.col("_p.synonyms")), lambda t: F.when(han & ~latin, ~script(t)).when(latin & ~han, script(t)).otherwise(True))
+        known = known.unionByName(asked.select("query_id", kept.alias("synonyms"), other(F.col("_p.exclude")).alias("excludes"), F.lit("llm").alias("source")))
+    none = F.array().cast("array<string>")
+    return queries.select("query_id").join(known, "query_id", "left").select(
+        "query_id", F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("synonyms", none).alias("synonyms"), F.coalesce("excludes", none).alias("excludes")
+    )

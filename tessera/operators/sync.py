@@ -102,3 +102,35 @@ def document_view(status: Column, chunk_count: Column, semantic_enabled: bool =
     content = F.when(status == "processing_error", "unavailable").when(early, "processing").when(F.coalesce(chunk_count, F.lit(0)) == 0, "unavailable").otherwise("usable")
     semantic = F.when(F.lit(not semantic_enabled), "off").when(content != "usable", "pending").when(status == "error", "failed").when(status == "indexed", "ready").otherwise("pending")
     return {"content": content, "semantic": semantic}
+
+
+# States that a document may be set to, and states of jobs that aren't over.
+STATES = ("awaiting_chunks", "stored", "processing", "processing_error", "ready", "embedding", "indexed", "error")
+ACTIVE_JOBS = ("queued", "running", "retry_wait")
+
+
+def status_writes(documents: DataFrame, writes: DataFrame) -> DataFrame:
+    """Documents after writes (document_id, status), one for each document at most; a status that isn't known changes nothing."""
+    sound = writes.filter(F.col("status").isin(*STATES)).select("document_id", F.col("status").alias("_status"))
+    return documents.join(sound, "document_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
+
+
+def next_jobs(jobs: DataFrame, now: str, *keys: str) -> DataFrame:
+    """The job that each of ``keys`` takes next: of those that wait and are due, the one due first, then the oldest, then the smallest job_id."""
+    due = jobs.filter(F.col("status").isin("queued", "retry_wait") & (F.col("available_at") <= F.lit(now).cast("timestamp_ntz")))
+    return due.groupBy(*keys).agg(F.min(F.struct("available_at", "created_at", "job_id")).alias("_first")).select(*keys, "_first.job_id", "_first.available_at")
+
+
+def split_jobs(jobs: DataFrame) -> DataFrame:
+    """``jobs`` with active: whether they aren't over."""
+    return jobs.withColumn("active", F.coalesce(F.col("status").isin(*ACTIVE_JOBS), F.lit(False)))
+
+
+def named_jobs(jobs: DataFrame, documents: DataFrame, files: DataFrame) -> DataFrame:
+    """job_id, namespace, document_id and document_name of jobs whose JSON ``payload`` names a document or a conversation's file."""
+    document = F.get_json_object("payload", "$.documentId")
+    namespace = F.when(F.get_json_object("payload", "$.namespace") == "conversation", "conversation").otherwise("library")
+    names = documents.select(F.lit("library").alias("namespace"), F.col("document_id").cast("string"), F.col("name").alias("document_name")).unionByName(
+        files.select(F.lit("conversation").alias("namespace"), F.col("document_id").cast("string"), F.col("name").alias("document_name"))
+    )
+    return jobs.select("job_id", namespace.alias("namespace"), document.alias("document_id")).join(names, ["namespace", "document_id"], "left").select("job_id", "namespace", "document_id", "document_name")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as fn
+
 
 def activated(builds: DataFrame, new: DataFrame) -> DataFrame:
     """The manifest after the builds in ``new`` (build_id) have become the active ones of their documents."""
@@ -74,3 +76,41 @@ def saved_conversations(stored: DataFrame, saves: DataFrame) -> DataFrame:
     last = latest(saves.filter("messages is not null"), ["conv_id"], ["saved_at"])
     kept = stored.join(last.select("conv_id"), "conv_id", "left_anti")
     return kept.select("conv_id", "turn", "role", "text").unionByName(last.select("conv_id", F.posexplode("messages").alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.text"))
+
+
+def committed(chunks: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Chunks after a commit: the documents of ``incoming`` have its chunks and none of their old ones, the others stay."""
+    kept = chunks.join(incoming.select("document_id").distinct(), "document_id", "left_anti")
+    return kept.unionByName(incoming.select(*kept.columns))
+
+
+def posted(builds: DataFrame, vectors: DataFrame, dimensions: int, model: str, now: int) -> DataFrame:
+    """The manifest after vectors (document_id, chunk_id, vector) were posted: a new build for each document.
+
+    A build all of whose vectors are sound becomes active, and what it supersedes is
+    pruned but for the newest; another build fails and changes nothing else. New builds
+    have the ids after the largest.
+    """
+    sound = F.bool_and((F.size("vector") == dimensions) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)))
+    grouped = vectors.filter("document_id is not null").groupBy("document_id").agg(F.coalesce(sound, F.lit(False)).alias("_sound"))
+    last = builds.groupBy("document_id").agg(F.max("build_id").alias("_last"))
+    made = grouped.join(last, "document_id", "left").select(
+        "document_id", (F.coalesce("_last", F.col("document_id") * 10) + 1).alias("build_id"), F.when(F.col("_sound"), "running").otherwise("failed").alias("status"), F.lit(False).alias("is_active"),
+        F.lit(now).cast("long").alias("created_at"), F.when(F.col("_sound"), F.lit(now).cast("long")).alias("activated_at"), F.lit(model).alias("model"), F.lit(dimensions).alias("dimensions"),
+    )
+    after = activated(builds.unionByName(made.select(*builds.columns)), made.filter("status = 'running'"))
+    touched = after.join(made.filter("status = 'running'").select("document_id"), "document_id", "left_semi")
+    return after.join(prunable(touched).select("build_id"), "build_id", "left_anti")
+
+
+def active_versions(builds: DataFrame, chunk_sets: DataFrame, processing: DataFrame) -> DataFrame:
+    """document_id, revision_id, processing_build_id of each document's active keyword build; ``legacy`` where no processing build is known."""
+    sets = builds.filter("is_active and status = 'ready'").select("document_id", "chunk_set_id").join(chunk_sets, "chunk_set_id").filter("revision_id is not null")
+    active = processing.filter("is_active").select("revision_id", F.col("build_id").alias("_build"))
+    return sets.join(active, "revision_id", "left").select("document_id", "revision_id", F.coalesce("processing_build_id", "_build", F.lit("legacy")).alias("processing_build_id"))
+
+
+def package_manifest(files: DataFrame) -> DataFrame:
+    """path, size (bytes) and sha256 of files (path, content), as they leave: without secrets."""
+    content = files.select("path", F.encode(fn.redacted(F.coalesce("content", F.lit(""))), "UTF-8").alias("_bytes"))
+    return content.select("path", F.octet_length("_bytes").cast("long").alias("size"), F.sha2("_bytes", 256).alias("sha256"))

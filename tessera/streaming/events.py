@@ -9,44 +9,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "status string, attempts long, seq long"
-OUTPUT = "job_id long, status string, attempts long"
+STATE = "status string, attempts long, seq long, late long, newest long"
+OUTPUT = "job_id long, status string, attempts long, late long"
+FINAL = ("completed", "cancelled", "failed")
 
 
 def _advance(status: str, attempts: int, event: str, most_attempts: int) -> tuple[str, int]:
+    if event == "requeue":
+        return "queued", 0
+    if status in FINAL:  # only a requeue leaves these
+        return status, attempts
     if event == "claim":
         return "running", attempts + 1
     if event == "fail":
         return ("failed" if attempts >= most_attempts else "queued"), attempts
     if event == "defer":
         return "queued", max(0, attempts - 1)
-    if event == "requeue":
-        return "queued", 0
     return {"enqueue": "queued", "complete": "completed", "cancel": "cancelled"}.get(event, status), attempts
 
 
-def job_states(events: DataFrame, lease_seconds: int = 60, most_attempts: int = 3) -> DataFrame:
+def job_states(events: DataFrame, lease_seconds: int = 60, most_attempts: int = 3, late: str = "10 minutes") -> DataFrame:
     """A row for each change of a job; a running job that stays silent beyond its lease is queued again.
 
-    ``events``: job_id, seq, event. Events of a job that come again or out of order are
-    skipped by their number, so a replayed batch changes nothing.
+    ``events``: job_id, seq, event, at (timestamp). Leases run in event time, so a replay
+    gives the same states: a lease ends when the watermark, ``late`` behind the newest
+    event, passes it. Within a micro-batch a job's events are taken in the order of seq.
+    One that comes in a later batch than an event with its number or a larger one isn't
+    applied, and counts in ``late``; what is older than the watermark is left out. After
+    complete, cancel or the last failure only requeue has an effect.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, attempts, seen = state.get if state.exists else ("queued", 0, -1)
+        status, attempts, seen, late, newest = state.get if state.exists else ("queued", 0, -1, 0, 0)
         if state.hasTimedOut:
             status = "queued" if status == "running" else status
         else:
+            before = seen
             for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-                if row.seq > seen:
+                if row.seq <= before:
+                    late += 1
+                elif row.seq > seen:
                     status, attempts = _advance(status, attempts, row.event, most_attempts)
-                    seen = row.seq
-        state.update((status, int(attempts), int(seen)))
+                    seen, newest = row.seq, int(row.at.timestamp() * 1000)
+        state.update((status, int(attempts), int(seen), int(late), int(newest)))
         if status == "running":
-            state.setTimeoutDuration(lease_seconds * 1000)
-        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [int(attempts)]})
+            state.setTimeoutTimestamp(max(newest + lease_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [int(attempts)], "late": [int(late)]})
 
-    return events.groupBy("job_id").applyInPandasWithState(step, OUTPUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("at", late).groupBy("job_id").applyInPandasWithState(step, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from tessera.plans import catalogue
+from tessera.plans import catalogue, serving  # noqa: F401
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SF = "/root/testdata/sf0.001"

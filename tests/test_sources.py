@@ -10,7 +10,7 @@ from tessera.streaming import events
 
 
 def cut(text, most=60, least=20, overlap=10):
-    return chunks._Splitter(most, least, overlap, chunks.SEPARATORS)(text)
+    return chunks.Splitter(most, least, overlap)(text)
 
 
 def bare(text):
@@ -93,23 +93,41 @@ def test_package_checks(spark):
     assert {r.path: r.error for r in versions.verify_package(manifest, files).collect()} == {"b": "size", "c": "missing", "d": "extra"}
 
 
-@pytest.fixture
-def job_files(spark, tmp_path):
-    rows = [(1, 0, "enqueue"), (1, 1, "claim"), (1, 2, "fail"), (1, 3, "claim"), (1, 4, "complete"), (2, 0, "enqueue"), (2, 1, "claim"), (2, 2, "defer"), (3, 1, "cancel")]
-    for k in range(3):
-        spark.createDataFrame(pd.DataFrame(rows[k * 3 : k * 3 + 3], columns=["job_id", "seq", "event"])).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-    return f"{tmp_path}/in/*", str(tmp_path)
-
-
-def test_job_states_over_a_stream(spark, job_files):
-    path, folder = job_files
-    stream = spark.readStream.schema("job_id long, seq long, event string").option("maxFilesPerTrigger", 1).parquet(path)
-    query = events.job_states(stream).writeStream.outputMode("update").format("memory").queryName("jobs").option("checkpointLocation", f"{folder}/checkpoint").start()
+def test_job_states_over_a_stream(spark, tmp_path):
+    """Retries, a replayed and a late event, a claim after the end, and a lease (of job 2) that runs out as others go on."""
+    first = [(1, 0, "enqueue", 0), (1, 1, "claim", 1), (1, 2, "fail", 2), (2, 0, "enqueue", 0), (4, 0, "claim", 1)]
+    second = [(1, 3, "claim", 3), (1, 4, "complete", 4), (2, 1, "claim", 3), (4, 1, "complete", 4)]
+    third = [(3, 1, "cancel", 5), (1, 4, "complete", 4), (4, 2, "claim", 6), (1, 1, "fail", 1), (5, 0, "claim", 40)]
+    for k, rows in enumerate([first, second, third]):
+        df = spark.createDataFrame(rows, "job_id long, seq long, event string, minute int")
+        df.select("job_id", "seq", "event", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("minute") * 60).alias("at")).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("job_id long, seq long, event string, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    writer = events.job_states(stream).writeStream.outputMode("update").format("memory").queryName("jobs").option("checkpointLocation", f"{tmp_path}/checkpoint")
+    query = writer.trigger(availableNow=True).start()
     try:
-        query.processAllAvailable()
+        assert query.awaitTermination(90)
     finally:
         query.stop()
-    last = {r.job_id: r.status for r in spark.table("jobs").collect()}
-    final = {r.job_id: (r.status, r.attempts) for r in spark.sql("select job_id, max_by(status, attempts * 10 + case when status in ('completed', 'cancelled') then 5 else 0 end) status, max(attempts) attempts from jobs group by job_id").collect()}
-    assert set(last) == {1, 2, 3}
-    assert final[1] == ("completed", 2) and final[3] == ("cancelled", 0)
+    seen = {}
+    for r in spark.table("jobs").collect():
+        seen.setdefault(r.job_id, []).append((r.status, r.attempts, r.late))
+    assert seen[1] == [("queued", 1, 0), ("completed", 2, 0), ("completed", 2, 2)]
+    assert seen[2] == [("queued", 0, 0), ("running", 1, 0), ("queued", 1, 0)]
+    assert seen[3] == [("cancelled", 0, 0)] and seen[4] == [("running", 1, 0), ("completed", 1, 0), ("completed", 1, 0)] and seen[5] == [("running", 1, 0)]
+
+
+@pytest.mark.parametrize("happened,ends", [
+    (["claim", "fail"], ("queued", 1)), (["claim", "fail", "claim", "fail", "claim", "fail"], ("failed", 3)), (["claim", "complete", "claim"], ("completed", 1)),
+    (["cancel", "claim"], ("cancelled", 0)), (["claim", "complete", "requeue", "claim"], ("running", 1)), (["claim", "defer"], ("queued", 0)), (["unknown"], ("queued", 0)),
+])
+def test_steps_of_a_job(happened, ends):
+    status, attempts = "queued", 0
+    for event in happened:
+        status, attempts = events._advance(status, attempts, event, 3)
+    assert (status, attempts) == ends
+
+
+def test_oversized_pages(spark):
+    text = "\n\n".join(["a" * 5, "b" * 5, "c" * 30, "d" * 4, "e" * 4])
+    df = spark.createDataFrame([(text,), ("short",), ("\n\n\n" + "f" * 30,)], "t string")
+    assert [r[0] for r in df.select(chunks.oversized_pages(F.col("t"), 20)).collect()] == [["a" * 5 + "\n\n" + "b" * 5, "c" * 30, "d" * 4 + "\n\n" + "e" * 4], ["short"], ["f" * 30]]

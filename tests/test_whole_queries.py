@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from tessera.plans import catalogue
+from tessera.plans import catalogue, serving  # noqa: F401
 
 TOKEN = re.compile("[a-z0-9]+")
 
@@ -284,3 +284,85 @@ def test_weighted_fields(spark, tmp_path):
                 scores[q, c] = scores.get((q, c), 0.0) + idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * lengths[c] / mean))
     assert {q for q, _ in scores} >= {1, 2, 3}
     assert got(spark, d, "weighted_bm25_topk", "score", "rank") == flat(best({k: round(v, 6) for k, v in scores.items()}, 8))
+
+
+def test_blocks_behind_chunks(spark):
+    from tessera.operators import ocr
+
+    chunks = spark.createDataFrame([(1, 1, "alpha beta\ngamma delta\nalpha beta"), (2, 1, "nothing of it"), (3, 2, "x"), (4, 1, ""), (5, 3, "a long line of text that differs at its end")], "chunk_id long, page_id long, content string")
+    blocks = [(1, 10, 0, "alpha beta"), (1, 11, 2, "alpha beta"), (1, 12, 1, "gamma delta"), (1, 13, 3, " "), (3, 30, 0, "a long line of text that differs somewhere")]
+    got = {r.chunk_id: ([tuple(x) for x in r.refs], r.degraded) for r in ocr.mapped_blocks(chunks, spark.createDataFrame(blocks, "page_id long, block_id long, reading_order int, text string")).collect()}
+    assert got == {1: ([(10, 0, 10), (12, 11, 22), (11, 23, 33)], False), 2: ([], True), 3: ([], False), 4: ([], False), 5: ([], True)}
+
+
+def test_exact_terms_lead_the_terms(spark):
+    from tessera.operators import rewrites
+
+    q = spark.createDataFrame([(1, "see \"two words\" of sqlite in foo.bar")], "query_id long, text string")
+    got = [r.term for r in rewrites.merged_terms(q).orderBy("position").collect()]
+    assert got[0] == "two words" and got.count("sqlite") == 1 and got.count("foo.bar") == 1 and len(rewrites.merged_terms(q, 2).collect()) == 2
+
+
+def test_stub_hashes_match_the_definition(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import embedding
+
+    def fnv(term):
+        h = 2166136261
+        raw = term.encode("utf-16-be")
+        for k in range(0, len(raw), 2):
+            h = ((h ^ int.from_bytes(raw[k : k + 2], "big")) * 16777619) & 0xFFFFFFFF
+        return h
+
+    terms = ["", "a", "node.js", "本地", "🙂x", "é"]
+    got = {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in terms], "t string").select("t", embedding.fnv1a(F.col("t"))).collect()}
+    assert got == {t: fnv(t) for t in terms}
+
+
+def test_stub_ranking_matches_cosines(spark, small):
+    def bins(text):
+        v = [0.0] * 64
+        for t in toks(text):
+            h = 2166136261
+            for c in t:
+                h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+            v[h % 64] += 1
+        n = math.sqrt(sum(x * x for x in v)) or 1
+        return [x / n for x in v]
+
+    docs = {d: bins(t) for d, t in DOCS}
+    want = {}
+    for q, text in ITEMS:
+        v = bins(text)
+        scores = {d: round(sum(a * b for a, b in zip(v, w)), 6) for d, w in docs.items()}
+        want[q] = sorted(((-s, d) for d, s in scores.items() if s > 0.12))[:8]
+    got = defaultdict(list)
+    for r in catalogue.QUERIES["stub_ranking"](spark, small).collect():
+        got[r.query_id].append((-r.score, r.chunk_id))
+    for q in want:
+        assert [round(s, 5) for s, _ in sorted(got[q])] == pytest.approx([round(s, 5) for s, _ in want[q]], abs=2e-5)
+
+
+def test_the_engine_prefers_the_whole_text(spark):
+    from tessera.operators import engine
+
+    chunks = spark.createDataFrame([(1, 1, "the quick ranking of results"), (2, 2, "ranking results quickly and well"), (3, 3, "other words"), (4, 4, "how to rank results")], "chunk_id long, document_id long, content string")
+    queries = spark.createDataFrame([(1, "how to rank results"), (2, "absent thing")], "query_id long, text string")
+    entries = spark.createDataFrame([(i, i, [1.0 if k == i else 0.0 for k in range(5)]) for i in range(1, 5)], "chunk_id long, document_id long, vector array<double>")
+    asked = spark.createDataFrame([(1, [0.0, 0.0, 1.0, 0.0, 0.0]), (2, [0.0, 0.0, 0.0, 1.0, 0.0])], "query_id long, vector array<double>")
+    got = defaultdict(list)
+    for r in engine.retrieve(queries, chunks, entries, asked).collect():
+        got[r.query_id].append((r["rank"], r.chunk_id))
+    assert sorted(got[1])[0][1] == 4 and sorted(got[2]) == [(1, 3)]  # without a keyword hit, only the vector that is close enough
+    assert engine.breadth() == {"candidates": 40, "single": 24, "vectors": 16, "variant": 16}
+
+
+def test_accents_fold(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text as fn
+
+    row = spark.createDataFrame([("Šárka Dvořák, Nguyễn ŁÓDŹ café",)], "t string").select(fn.tokens(F.col("t"))).first()[0]
+    assert row == ["sarka", "dvorak", "nguyen", "łodz", "cafe"]
+    assert spark.createDataFrame([("国",)], "t string").select(fn.hans_hant_variants(F.col("t"))).first()[0] == ["国", "國"]
