@@ -50,3 +50,34 @@ def test_run_applies_all_stages(spark, sf_dir):
 def test_stages_name_the_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "jaccard_join", "mix_sources", "best_fit_packing"]
     assert sorted(int(n[2:].split("_")[0]) for n in catalogue.queries()) == list(range(1, 11))
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred int, size int, component_id string"
+
+
+def run_stages(spark, docs, folder, last=4):
+    out = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:last]):
+        stage(spark, docs, "").write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        out.append(docs)
+    return out
+
+
+def test_clashing_names_repeated_rows_and_ids(spark, tmp_path):
+    prose = [" ".join(f"w{(i * 37 + k * k) % 997}x" for k in range(60)) for i in range(8)]
+    rows = [(1, prose[0]), (1, prose[0]), (1, prose[1]), (9, prose[0]), (None, prose[0]), (None, prose[2]), (5, prose[3]), (6, "12 34"), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 3, 4, "c") for i, t in rows], SCHEMA)
+    stages = run_stages(spark, docs, tmp_path)
+    assert all(d.columns == docs.columns for d in stages)
+    left = lambda d: sorted(((r.doc_id, r.text) for r in d.collect()), key=str)
+    assert left(stages[0]) == sorted([r for r in rows if r[0] not in (6, 7)], key=str)
+    assert left(stages[1]) == sorted([(1, prose[1]), (9, prose[0]), (None, prose[2]), (5, prose[3])], key=str)  # of each text one row, the largest id
+    assert left(stages[2]) == left(stages[1])
+    assert {(r.score, r.lang_pred, r.size, r.component_id) for r in stages[3].collect()} <= {("x", 3, 4, "c")}
+
+
+def test_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], SCHEMA)
+    stages = run_stages(spark, docs, tmp_path, 5)
+    assert [d.count() for d in stages] == [0] * 5 and stages[3].columns == docs.columns

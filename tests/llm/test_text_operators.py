@@ -284,6 +284,23 @@ def test_packing_is_whole_gapless_and_tight(spark):
     assert packing.pack(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_all_capacities_bind(spark):
+    """Sequences of at most 60 tokens, 3 documents and a squared length of 1,500 in all; with any one of them loosened, some sequence goes beyond it."""
+    rng = random.Random(8)
+    docs = docs_of(spark, [(i, " ".join(["word"] * n)) for i, n in enumerate([rng.choice([3, 4, 5, 18, 20, 36]) for _ in range(150)])])
+
+    def packed(rule, *capacities):
+        bins = {}
+        for r in packing.pack(docs, capacities=packing.Capacities(*capacities), weights=(1.0, 0.3, 0.3), rule=rule).collect():
+            bins.setdefault(r.sequence_id, []).append(r.length)
+        assert sum(map(len, bins.values())) == 150
+        return [(sum(x), len(x), sum(n * n for n in x)) for x in bins.values()]
+
+    for rule in ("norm", "dot"):
+        assert all(a <= 60 and b <= 3 and c <= 1500 for a, b, c in packed(rule, 60, 3, 1500))
+    assert any(a > 60 for a, _, _ in packed("norm", 90, 3, 1500)) and any(b > 3 for _, b, _ in packed("norm", 60, 9, 1500)) and any(c > 1500 for _, _, c in packed("norm", 60, 3, 9000))
+
+
 # ---- classifiers -------------------------------------------------------------------------------------
 
 
