@@ -477,3 +477,48 @@ def stub_ranking(spark, sf_dir):
     queries = base.batch(spark, sf_dir).select("query_id", F.explode(fn.tokens(F.col("text"))).alias("term"))
     chunks = base.chunks(spark, sf_dir).select("chunk_id", F.explode(fn.tokens(F.col("content"))).alias("term"))
     return lexical.top(embedding.bin_cosines(lexical.bounded(embedding.term_bins(queries, "query_id")), embedding.term_bins(chunks, "chunk_id")), 8).select("query_id", "chunk_id", "score", "rank")
+
+
+# ---- SQL for queries of the catalogue whose fields and terms need the patterns above ----------------------
+
+_FIELDS = f"""SELECT id, 'en' AS field, unnest(list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 2 AND NOT regexp_matches(w, '\\p{{Han}}'))) AS item FROM c
+    UNION ALL SELECT id, 'mixed', t FROM c UNION ALL SELECT id, 'mixed', unnest(list_distinct(tech)) FROM c
+    UNION ALL SELECT id, 'exact', unnest(list_distinct(list_concat(tech, list_transform(regexp_extract_all(raw, '(?i)[A-Za-z0-9_.\\-/\\\\]+\\.(?:pdf|md|txt|docx?|tsx?|jsx?|py|go|rs|json)'), lambda x: lower(x)), regexp_extract_all(t, '\\b(?:err_[a-z0-9_]+|e[a-z]{{2,}}[a-z0-9_]*)\\b')))) FROM c"""
+
+
+def _field_ctes(source: str, prefix: str) -> str:
+    """CTEs that end in ``{prefix}tokens``: id, field, token of texts in ``source`` (id, text), which hold no Chinese."""
+    inner = _FIELDS.replace("FROM c", f"FROM {prefix}c")
+    return f"""{prefix}c0 AS (SELECT id, coalesce(text, '') AS raw, lower({base.COLLAPSED}) AS t FROM {source}), {prefix}c AS (SELECT *, {_TECHNICAL_SQL} AS tech FROM {prefix}c0),
+    {prefix}f AS ({inner}), {prefix}tokens AS (SELECT id, field, unnest(regexp_extract_all({base.FOLD.format("item")}, '[\\p{{L}}\\p{{N}}]+')) AS token FROM {prefix}f)"""
+
+
+_CHUNKS = "chunk AS (SELECT doc_id AS id, text FROM documents)"
+base.SQL["field_postings_whole"] = f"WITH {_CHUNKS}, {_field_ctes('chunk', 'd')} SELECT field, token, id AS chunk_id, count(*) AS tf FROM dtokens GROUP BY ALL"
+_LATIN_KIND = "CASE WHEN length(regexp_replace(t, '[^\\p{Latin}]', '', 'g')) * 100 >= greatest(length(regexp_replace(t, '\\s', '', 'g')), 1) * 55 OR length(regexp_replace(t, '[^\\p{Latin}]', '', 'g')) > 0 THEN 'en' ELSE 'all' END"
+base.SQL["weighted_bm25_topk"] = f"""WITH {_CHUNKS}, {_field_ctes('chunk', 'd')}, item AS (SELECT item_id AS id, trim(text) AS text FROM benchmark), {_field_ctes('item', 'q')},
+    kinds AS (SELECT id, {_LATIN_KIND} AS kind FROM qc), seen AS (SELECT * FROM (VALUES ('en', 'en'), ('en', 'mixed'), ('en', 'exact'), ('all', 'en'), ('all', 'mixed'), ('all', 'exact'), ('all', 'zh')) AS t(kind, field)),
+    terms AS (SELECT DISTINCT id AS query_id, kind, token FROM qtokens JOIN kinds USING (id) JOIN seen USING (kind, field)), lens AS (SELECT c.id AS chunk_id, CAST(count(token) AS DOUBLE) AS length FROM chunk c LEFT JOIN dtokens t ON t.id = c.id GROUP BY ALL),
+    w AS (SELECT kind, token, id AS chunk_id, sum(CASE field WHEN 'exact' THEN 8.0::DOUBLE WHEN 'mixed' THEN 2.0 ELSE 3.0 END) AS tf FROM dtokens JOIN seen USING (field) GROUP BY ALL), freq AS (SELECT kind, token, CAST(count(*) AS DOUBLE) AS df FROM w GROUP BY ALL),
+    st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(length) AS mean FROM lens),
+    s AS (SELECT query_id, chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 6) AS score FROM terms JOIN w USING (kind, token) JOIN freq USING (kind, token) JOIN lens USING (chunk_id), st GROUP BY ALL)
+    SELECT query_id, chunk_id, score, rank FROM (SELECT *, {base.RANKED_SQL} AS rank FROM s) WHERE rank <= 8"""
+_TERM_CTES = f"""item AS (SELECT item_id AS id, text FROM benchmark), q AS (SELECT id, lower({base.COLLAPSED}) AS t FROM item), x AS (SELECT id, t, {_TECHNICAL_SQL} AS tech0, regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+') AS words FROM q),
+    y AS (SELECT id, words, list_filter(tech0, lambda v, i: list_position(tech0, v) = i) AS tech FROM x),
+    each AS (SELECT id, unnest(tech) AS term, generate_subscripts(tech, 1) AS pos, 'tech' AS kind FROM y UNION ALL SELECT id, unnest(words), 1000 + generate_subscripts(words, 1), 'latin' FROM y),
+    once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, term ORDER BY pos) AS n FROM each WHERE length(term) >= 2 OR term IN ('c', 'r')) WHERE n = 1),
+    prio AS (SELECT id, term, kind, CASE WHEN kind = 'tech' THEN 100 + least(length(term), 20) WHEN length(term) = 1 THEN 50 ELSE 40 + least(length(term), 10) END AS p FROM once),
+    ink AS (SELECT *, row_number() OVER (PARTITION BY id, kind ORDER BY p DESC, length(term) DESC, term) AS k FROM prio),
+    placed AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN k > CASE kind WHEN 'tech' THEN 10 ELSE 12 END THEN 1 ELSE 0 END, p DESC, length(term) DESC, term) AS position FROM ink),
+    st AS (SELECT id AS query_id, term, position FROM placed WHERE position <= 40)"""
+base.SQL["search_terms"] = f"WITH {_TERM_CTES} SELECT query_id, term, position FROM st"
+_KIND_CTES = base.SQL["query_kind"].replace(base.TEXTS_SQL, "texts AS (SELECT item_id AS id, text FROM benchmark)").replace(" UNION ALL SELECT page_id + 100000, url FROM pages", "")
+base.SQL["query_variants"] = f"""WITH {_TERM_CTES}, kinds AS ({_KIND_CTES}), whole AS (SELECT id AS query_id, {base.COLLAPSED} AS text FROM item), grouped AS (SELECT query_id, list(term ORDER BY position) AS terms FROM st GROUP BY ALL),
+    made AS (SELECT w.query_id, w.text, CASE WHEN kind = 'general' AND len(terms) >= 2 THEN array_to_string(terms[1:8], ' ') END AS keywords,
+      CASE WHEN kind = 'general' THEN (SELECT arg_min(term, -length(term) * 1000 + position) FROM st WHERE st.query_id = w.query_id) END AS longest FROM whole w JOIN kinds k ON k.id = w.query_id LEFT JOIN grouped g ON g.query_id = w.query_id WHERE w.text <> ''),
+    v AS (SELECT query_id, list_filter([text, keywords, longest], lambda z: z IS NOT NULL) AS vs FROM made), d AS (SELECT query_id, list_filter(vs, lambda z, i: list_position(vs, z) = i) AS vs FROM v)
+    SELECT query_id, CAST(unnest(range(0, len(vs))) AS INT) AS variant, unnest(vs) AS text, unnest([1.2::DOUBLE, 1.0, 0.8][1:len(vs)]) AS weight FROM d"""
+base.SQL["citation_excerpt"] = f"""WITH l AS (SELECT doc_id, coalesce(text, '') AS text, regexp_split_to_array(coalesce(text, ''), '\\r?\\n') AS lines, coalesce(regexp_extract_all({base.FOLD.format("substr(text, 400, 200)")}, '[\\p{{L}}\\p{{N}}]+')[2], '') AS term FROM documents),
+    g AS (SELECT *, list_position(list_transform(lines, lambda x: NOT (length(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) <= 2 OR regexp_matches(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '(?i)^https?://|\\bwww\\.|QQ\\s*[:：群]|网站作品|由\\s*\\w+\\s*整理|^作者[：:]|^第\\s*\\d+\\s*页\\s*$|^\\d{{1,4}}$'))), TRUE) AS first FROM l),
+    b AS (SELECT doc_id, term, trim(regexp_replace(array_to_string(CASE WHEN first > 1 THEN lines[first:] ELSE lines END, chr(10)), '\\s+', ' ', 'g')) AS flat FROM g), p AS (SELECT *, strpos(lower(flat), term) - 1 AS pos FROM b), o AS (SELECT *, greatest(pos - 36, 0) AS s FROM p)
+    SELECT doc_id, CASE WHEN pos >= 0 AND length(term) >= 2 THEN CASE WHEN s > 0 THEN '…' ELSE '' END || substr(flat, CAST(s + 1 AS BIGINT), 160) || CASE WHEN s + 160 < length(flat) THEN '…' ELSE '' END WHEN length(flat) <= 160 THEN flat ELSE substr(flat, 1, 160) || '…' END AS excerpt FROM o"""
