@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.batches import text_steps
 
-#: Entries that a task gathers before it hands them on.
-FLUSH_ENTRIES = 3_000_000
+#: Entries that a task gathers before it hands them on, and entries of one range, about.
+FLUSH_ENTRIES, RANGE_ENTRIES = 3_000_000, 2_000_000
 SCHEMA = "hash_range int, flush long, hashes binary, positions binary, firsts binary, ids binary"
 ANSWERS = "flush long, positions binary, firsts binary, ids binary"
 _TYPES = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())

@@ -20,6 +20,7 @@ columns are ignored; an empty table gives an empty result. Texts are read whole.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ from tessera.llm.batches import WordHasher, run_hashes, text_steps
 from tessera.plans.storage import materialise
 
 WINDOW = 35
+#: Bytes of a word and the space behind it, on the low side: the number of ranges follows from it, no result does.
+LEAST_BYTES = 5
 #: A period and its difference cover (fixed values: a perfect difference set modulo 21).
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 
@@ -151,14 +154,19 @@ def _kept(window: int):
     return run
 
 
+def _ranges(rows: DataFrame, share: float) -> int:
+    """Ranges of bounded size for the entries of ``share`` of all words; a text of shorter words makes them larger in proportion."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / LEAST_BYTES * share / blocks.RANGE_ENTRIES))
+
+
 def substring_dedup(documents: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """For every row: doc_id, n_words, n_removed, kept_sha256, and the spans of removed words (first, end)."""
     if window < period or not covers(period, cover):
         raise ValueError("the cover must be a difference cover of a period no longer than the window")
-    ranges = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.col("text").cast("string")
     rows = documents.select(F.xxhash64("doc_id", text).alias("id"), F.col("doc_id").cast("long"), text.alias("text"))
-    anchors = blocks.repeated(rows.select("id", "text"), ranges, blocks.NARROW, _anchors(window, period, cover)).withColumnRenamed("positions", "anchors")
+    anchors = blocks.repeated(rows.select("id", "text"), _ranges(rows, len(cover) / period), blocks.NARROW, _anchors(window, period, cover)).withColumnRenamed("positions", "anchors")
     settled = materialise(
         rows.join(anchors, "id", "left").select("id", "doc_id", "text", "anchors").mapInArrow(
             _settled, "id long, doc_id long, pending boolean, n_words long, kept_sha256 string, text string, anchors binary"
@@ -166,7 +174,7 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, period: int = PE
         "settled",
     )
     pending = settled.filter("pending")
-    starts = blocks.repeated(pending.select("id", "text", "anchors"), ranges, blocks.WIDE, _windows(window, period))
+    starts = blocks.repeated(pending.select("id", "text", "anchors"), _ranges(pending, 1.0), blocks.WIDE, _windows(window, period))
     cut = pending.select("id", "doc_id", "text", "n_words").join(starts, "id", "left").select("doc_id", "text", "positions", "n_words")
     done = settled.filter(~F.col("pending")).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.array().cast("array<array<bigint>>").alias("removed_spans"))
     result = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed_spans array<array<bigint>>"
