@@ -3,7 +3,8 @@ and a shunting-yard parser reads the licence expression behind a tag.
 
 Notices are looked for in the words of the text, so punctuation and line breaks
 inside them don't matter; tags are looked for in the text itself, since their
-expressions need brackets and plus signs.
+expressions need brackets and plus signs. A tag may follow anything but an ASCII letter
+or digit.
 
 Defined cases: a null or empty text has no words, labels or score; a tag whose
 expression doesn't parse, or names no known licence, gives nothing; an unknown part
@@ -182,7 +183,10 @@ class LicenceScanner:
         if b"license" not in low or b":" not in low:  # every tag holds both
             return
         lowered = low.decode()
-        for end, _ in self.tags.iter(lowered):
+        for end, tag in self.tags.iter(lowered):
+            before = lowered[max(0, end - len(tag)) : end - len(tag) + 1]
+            if before.isascii() and before.isalnum():  # the end of a longer word
+                continue
             stop = lowered.find("\n", end + 1)
             postfix = to_postfix(lowered[end + 1 : stop if stop >= 0 else len(lowered)])
             if postfix and (found := evaluate(postfix)).labels:

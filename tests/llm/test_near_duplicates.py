@@ -155,3 +155,17 @@ def test_covers_are_checked(spark):
     with pytest.raises(ValueError):
         substring_dedup.substring_dedup(df, 35, 21, (0, 1))
     assert substring_dedup.substring_dedup(df.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (2, a), (5, b), (9, b), (5, ""), (7, c), (5, c), (8, None), (None, a), (None, None)]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(5, 26, 2), (2, 26, 2), (5, 26, 2), (9, 26, 2), (5, 0, 2), (7, 26, 2), (5, 26, 2), (8, 0, 8), (None, 26, None), (None, 0, None)])
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(["x", *words[:-9]])), (3, " ".join(words[:20_000]))]
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}

@@ -166,6 +166,13 @@ def brute_bits(training, text, order=3):
     return -sum(math.log2(p(padded[i - 3 : i], padded[i])) for i in range(3, len(padded)))
 
 
+@pytest.mark.parametrize("text,labels", [
+    ("sublicense: mit", ""), ("sublicense: mit, license", ""), ("sub-license: mit", "mit"), ("license: mit", "mit"), ("7license: mit", ""), (" license: isc\nrelicense: mit", "isc"), ("xspdx-license-identifier: mit", ""),
+])
+def test_tags_begin_words(text, labels):
+    assert licences.LicenceScanner().scan(text.encode())[5] == labels
+
+
 def test_code_lengths_match_the_definition():
     training = [b"abracadabra", b"banana bandana"]
     grams = {}
