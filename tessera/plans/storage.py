@@ -30,20 +30,33 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """Where this application's tables lie."""
+    return f"{shared_root(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialise`, once all that reads it has been written."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = shared_root(spark)
+    own = _own_folder(spark).split(":")[-1].lstrip("/")
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if "/tessera/" in folder and folder.split("/tessera/")[0].split(":")[-1].lstrip("/") == root.split(":")[-1].lstrip("/"):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if folder.split(":")[-1].lstrip("/").startswith(own + "/"):
+            _delete(spark, folder)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete all tables of this application, once its results have been written."""
+    _delete(spark, _own_folder(spark))
