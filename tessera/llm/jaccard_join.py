@@ -16,9 +16,9 @@ a threshold; the result is the connected components of all links.
    A dual traversal drops every pair of nodes whose largest possible overlap is
    too small; what is left at the leaves is compared exactly.
 4. A class that fills several blocks is first joined within them, then the
-   representatives of the clusters found are joined, and only blocks that still
-   hold different clusters are joined with each other. Members of one cluster are
-   never expanded into pairs.
+   representatives of the clusters found are joined. Of a class that still holds
+   several clusters, only blocks meet in which different clusters have a segment's
+   content in common. Members of one cluster are never expanded into pairs.
 
 Shingles are 64-bit hashes. Defined cases: texts without words have an empty set
 and link with nothing; texts with fewer words than a shingle have the whole
@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.batches import WordHasher, mixed, run_hashes, text_steps
 from tessera.llm.components import components
-from tessera.plans.storage import materialise
+from tessera.llm.skew import join_unique
+from tessera.plans.storage import materialise, release
 
 SHINGLE, PERCENT = 5, 80
 #: Bounds of a block of a class: shingles and documents.
@@ -49,6 +50,8 @@ FAN_OUT = 8
 #: A shingle is frequent from so many different sets in a step of a task, and so many in all; at most so many count as frequent.
 OFTEN_IN_STEP, OFTEN, MOST_FREQUENT = 3, 12, 1 << 19
 FLUSH_ENTRIES = 3_000_000
+#: Keys of segments that one range of the hash space holds, about.
+RANGE_ENTRIES = 2_000_000
 BAND_RATIO = 1.5
 
 _HASHES = WordHasher(0xE7037ED1A0B428DB)
@@ -372,11 +375,20 @@ def _set_rows(shingle: int):
     return run
 
 
-def _blocked(members: DataFrame) -> DataFrame:
-    """members (class, cluster, doc, n) with block, and the blocks of the class. Clusters lie in as few blocks as may be."""
-    sizes = members.groupBy("class").agg(F.sum("n").alias("_n"), F.count("*").alias("_docs"))
-    blocks = F.greatest(F.ceil(F.col("_n") / BLOCK_SHINGLES), F.ceil(F.col("_docs") / BLOCK_DOCUMENTS)).cast("long")
-    sized = members.join(sizes.select("class", blocks.alias("blocks")), "class")
+def _blocks(shingles: str, documents: str):
+    """How many blocks so many shingles and documents fill."""
+    return F.greatest(F.ceil(F.col(shingles) / BLOCK_SHINGLES), F.ceil(F.col(documents) / BLOCK_DOCUMENTS)).cast("long")
+
+
+def _sizes(members: DataFrame, *keys: str) -> DataFrame:
+    return members.groupBy(*keys).agg(F.sum("n").alias("_n"), F.count("*").alias("_docs"))
+
+
+def _blocked(members: DataFrame, least: int) -> DataFrame:
+    """Written members (class, cluster, doc, n) of classes with ``least`` members or more, with block, and the blocks of the class."""
+    sizes = materialise(_sizes(members, "class"), "sizes")
+    sized = join_unique(members, sizes, "class", "_docs").filter(F.col("_docs") >= least)
+    sized = sized.select("class", "cluster", "doc", "n", _blocks("_n", "_docs").alias("blocks"))
     return sized.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
 
 
@@ -387,7 +399,6 @@ def _links_within(rows: DataFrame, keys: list[str], shingle: int, percent: int)
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, and component_id: the smallest doc_id that links lead to, itself included."""
     spark = documents.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = materialise(rows.mapInArrow(_set_rows(shingle), "kind int, doc_id long, n_shingles long, set_a long, set_b long"), "sets")
     sets = found.filter("kind = 0").drop("kind")
@@ -395,24 +406,47 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     often = often.orderBy(F.col("n").desc(), "set_a").limit(MOST_FREQUENT).select("set_a").toArrow().column(0).to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
     filled = sets.filter("n_shingles > 0 and doc_id is not null")
-    leaders = filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("leader"))
-    led = materialise(filled.join(leaders, ["set_a", "set_b"]).select("doc_id", "n_shingles", "leader"), "leaders")
+    entries = filled.agg(F.sum("n_shingles")).first()[0] or 0  # a set has fewer keys than twice its shingles
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // RANGE_ENTRIES))
+    leaders = materialise(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("leader"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")), "leaders")
 
     linked = rows.mapInArrow(_candidate_blocks(ranges, shingle, percent, frequent), CANDIDATES).repartition(ranges, "hash_range").mapInArrow(_range_edges, "u long, v long")
-    classes = materialise(components(linked.distinct()), "classes")
-    members = classes.join(led.filter("doc_id = leader"), F.col("node") == F.col("leader")).select(F.col("component").alias("class"), "leader", F.col("n_shingles").alias("n"))
-    members = members.groupBy("leader").agg(F.min("class").alias("class"), F.max("n").alias("n")).select("class", F.col("leader").alias("cluster"), F.col("leader").alias("doc"), "n")
-    alone = members.groupBy("class").count().filter("count > 1").select("class")
-    blocked = _blocked(members.join(alone, "class"))
-    texts = materialise(blocked.join(rows.select(F.col("doc_id").alias("doc"), "text"), "doc"), "members")
+    classes = components(linked.distinct())
+    members = classes.join(leaders, F.col("node") == F.col("leader")).groupBy("leader").agg(F.min("component").alias("class"), F.max("n").alias("n"))
+    members = materialise(members.select("class", F.col("leader").alias("cluster"), F.col("leader").alias("doc"), "n"), "members")
+    blocked = _blocked(members, 2)
+    texts = materialise(blocked.join(rows.select(F.col("doc_id").alias("doc"), "text"), "doc"), "blocks")
     links = materialise(_links_within(texts, ["class", "block"], shingle, percent), "links")
 
-    large = texts.filter("blocks > 1")
+    used, large = [leaders, members, texts, links], texts.filter("blocks > 1")
     if not large.isEmpty():
-        links = links.unionByName(_across(large, links, shingle, percent))
-    equal = led.filter("doc_id <> leader").select(F.col("doc_id").alias("u"), F.col("leader").alias("v"))
-    joined = components(links.unionByName(equal))
-    return sets.join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        more, temporary = _across(large, links, shingle, percent, frequent)
+        links, used = links.unionByName(more), used + temporary
+    result, more = _finished(sets, filled, leaders, links)
+    for table in used + more:
+        release(table)
+    return result
+
+
+def _finished(sets: DataFrame, filled: DataFrame, leaders: DataFrame, links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Components of the leaders, passed on to the copies of their sets, for every row; and tables that nothing needs any more.
+
+    Copies take no part in the search for components, however many there are.
+    """
+    keyed = filled.select("doc_id", "n_shingles", F.struct("set_a", "set_b").alias("set"))
+    led = materialise(join_unique(keyed, leaders.select(F.struct("set_a", "set_b").alias("set"), "leader", "copies"), "set", "copies").select("doc_id", "n_shingles", "leader"), "led")
+    # Rows that share a doc_id count as one document, so their sets belong together.
+    shared = materialise(led.groupBy("doc_id").agg(F.min("leader").alias("v"), F.max("leader").alias("_w"), F.count("*").alias("_rows")).filter("v < _w"), "shared")
+    if not shared.isEmpty():
+        links = links.unionByName(join_unique(led, shared, "doc_id", "_rows").select(F.col("leader").alias("u"), "v"))
+    joined = components(links)
+    sizes = leaders.groupBy("leader").agg(F.sum("copies").alias("copies"))
+    named = materialise(sizes.join(joined, F.col("leader") == F.col("node"), "left").select("leader", "copies", F.coalesce("component", "leader").alias("component_id")), "named")
+    found = join_unique(led, named, "leader", "copies").select("doc_id", "n_shingles", "component_id")
+    rest = sets.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles")
+    elsewhere = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.min("component_id").alias("_component"))
+    others = rest.join(elsewhere, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id"))
+    return found.unionByName(others), [shared]
 
 
 def _moved(rows: DataFrame, column: str, links: DataFrame) -> DataFrame:
@@ -421,35 +455,72 @@ def _moved(rows: DataFrame, column: str, links: DataFrame) -> DataFrame:
     return old.join(links, F.col("_old") == F.col("u"), "left").select("class", F.coalesce("v", "_old").alias("cluster"), "doc", "n")
 
 
-def _across(large: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links between the blocks of classes that fill several. Texts join only what is to be compared.
+def _segment_keys(shingle: int, percent: int, frequent):
+    """For mapInArrow over (block, cluster, text): the keys of each cluster's segments with its block, each once for a step."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments = Segments(percent, frequent.value)
+        for batch, texts in text_steps(batches):
+            found: dict[tuple, list[np.ndarray]] = {}
+            for block, cluster, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(texts, shingle)):
+                found.setdefault((block, cluster), []).append(segments.keys(shingles))
+            for (block, cluster), keys in found.items():
+                different = np.unique(np.concatenate(keys)).view(np.int64)
+                for start in range(0, len(different), 10_000):
+                    part = different[start : start + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([block] * len(part), pa.string()), pa.array(np.full(len(part), cluster, np.int64))], ["key", "block", "cluster"])
+
+    return run
+
+
+def _meeting_blocks(dealt: DataFrame, texts: DataFrame, shingle: int, percent: int, frequent) -> tuple[DataFrame, DataFrame]:
+    """Pairs of blocks in which different clusters have the content of a segment in common, and the table of contents behind them.
+
+    Of all contents that the same blocks share, one makes the pairs; the blocks of a
+    content are told by their number and by two sums of hashes, never listed.
+    """
+    rows = dealt.select("doc", "block", "cluster").join(texts, "doc").select("block", "cluster", "text")
+    keys = materialise(rows.mapInArrow(_segment_keys(shingle, percent, frequent), "key long, block string, cluster long").groupBy("key", "block").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")), "keys")
+    held = keys.groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("block")).alias("x"), F.bit_xor(F.xxhash64("block", F.lit(1))).alias("y")).filter("a < b")
+    chosen = held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    ends = keys.join(chosen, "key", "left_semi").select("key", "block")
+    return ends.join(ends.withColumnRenamed("block", "block2"), "key").filter("block <= block2").select("block", "block2").distinct(), keys
+
+
+def _across(large: DataFrame, links: DataFrame, shingle: int, percent: int, frequent) -> tuple[DataFrame, list[DataFrame]]:
+    """Links between the blocks of classes that fill several, and the tables made for them. Texts join only what is to be compared.
 
     Blocks don't overlap, so the links within them are stars already, and so are those
     between the clusters' representatives.
     """
     texts = large.select("doc", "text")
     clustered = materialise(_moved(large, "doc", links), "clusters")
-    heads = _blocked(clustered.filter("doc = cluster")).join(texts, "doc")
+    heads = _blocked(clustered.filter("doc = cluster"), 2).join(texts, "doc")
     more = materialise(_links_within(heads, ["class", "block"], shingle, percent), "links")
     again = materialise(_moved(clustered, "cluster", more), "clusters")
-    unsettled = again.groupBy("class").agg(F.min("cluster").alias("_a"), F.max("cluster").alias("_b")).filter("_a < _b").select("class")
-    rest = materialise(again.join(unsettled, "class"), "unsettled")
+    unsettled = materialise(again.groupBy("class").agg(F.min("cluster").alias("_a"), F.max("cluster").alias("_b"), F.count("*").alias("_docs")), "classes")
+    rest = materialise(join_unique(again, unsettled, "class", "_docs").filter("_a < _b").select("class", "cluster", "doc", "n"), "unsettled")
+    used = [clustered, more, again, unsettled, rest]
     if rest.isEmpty():
-        return more
-    # A large cluster's members go to blocks of its own; small clusters share blocks by hash.
-    sizes = rest.groupBy("class", "cluster").agg(F.sum("n").alias("_n"), F.count("*").alias("_docs"))
-    fills = F.greatest(F.ceil(F.col("_n") / BLOCK_SHINGLES), F.ceil(F.col("_docs") / BLOCK_DOCUMENTS)).cast("long")
+        return more, used
+    # A large cluster's members go to blocks of its own; the small clusters of a class share blocks by hash.
+    sizes = materialise(_sizes(rest, "class", "cluster"), "sizes")
     big = (F.col("_n") * 2 > BLOCK_SHINGLES) | (F.col("_docs") * 2 > BLOCK_DOCUMENTS)
-    sizes = sizes.withColumn("own", F.when(big, fills))
-    shared = sizes.filter("own is null").groupBy("class").agg(F.greatest(F.ceil(F.sum("_n") * 2 / BLOCK_SHINGLES), F.ceil(F.sum("_docs") * 2 / BLOCK_DOCUMENTS)).cast("long").alias("shared"))
-    placed = sizes.join(shared, "class", "left").select(
-        "class", "cluster", "own", F.when(F.col("own").isNotNull(), F.col("cluster")).alias("lone"), F.pmod(F.xxhash64("cluster"), F.coalesce("shared", F.lit(1))).alias("_shared")
-    )
-    block = F.when(F.col("own").isNotNull(), F.concat_ws(":", F.lit("own"), "cluster", F.pmod(F.xxhash64("doc"), F.col("own")))).otherwise(F.concat_ws(":", F.lit("shared"), "_shared"))
-    dealt = materialise(rest.join(placed, ["class", "cluster"]).withColumn("block", block).select("class", "cluster", "doc", "n", "block", "lone"), "blocks")
-    blocks = dealt.select("class", "block", "lone").distinct()
-    other = blocks.select("class", F.col("block").alias("block2"), F.col("lone").alias("lone2"))
-    pairs = blocks.join(other, "class").filter("block <= block2 and not (lone is not null and lone2 is not null and lone = lone2)")
-    sides = pairs.select("class", "block", "block2", F.explode(F.array_distinct(F.array("block", "block2"))).alias("side"))
-    copies = sides.join(dealt.withColumnRenamed("block", "side"), ["class", "side"]).join(texts, "doc")
-    return more.unionByName(_links_within(copies, ["class", "block", "block2"], shingle, percent))
+    sizes = sizes.withColumn("own", F.when(big, _blocks("_n", "_docs")))
+    small = sizes.filter("own is null").groupBy("class").agg((F.sum("_n") * 2).alias("_n"), (F.sum("_docs") * 2).alias("_docs"), F.count("*").alias("_rows"))
+    shared = materialise(small.select("class", _blocks("_n", "_docs").alias("shared"), "_rows"), "shared")
+    columns = ["cluster", "own", "_docs", "_place"]
+    alone = sizes.filter("own is not null").withColumn("_place", F.concat_ws(":", "cluster", F.lit("own"))).select(*columns)
+    together = join_unique(sizes.filter("own is null"), shared, "class", "_rows").withColumn("_place", F.concat_ws(":", "class", F.lit("shared"), F.pmod(F.xxhash64("cluster"), F.col("shared"))))
+    placed = materialise(alone.unionByName(together.select(*columns)), "placed")
+    block = F.when(F.col("own").isNotNull(), F.concat_ws(":", "_place", F.pmod(F.xxhash64("doc"), F.col("own")))).otherwise(F.col("_place"))
+    lone = F.when(F.col("own").isNotNull(), F.col("cluster"))
+    dealt = materialise(join_unique(rest.select("cluster", "doc"), placed, "cluster", "_docs").select("cluster", "doc", block.alias("block"), lone.alias("lone")), "blocks")
+    pairs, keys = _meeting_blocks(dealt, texts, shingle, percent, frequent)
+    owners = dealt.filter("lone is not null").select("block", "lone").distinct()
+    pairs = pairs.join(owners, "block", "left").join(owners.select(F.col("block").alias("block2"), F.col("lone").alias("lone2")), "block2", "left")
+    pairs = pairs.filter("not (lone is not null and lone2 is not null and lone = lone2)")
+    sides = pairs.select("block", "block2", F.explode(F.array_distinct(F.array("block", "block2"))).alias("side"))
+    copies = sides.join(dealt.withColumnRenamed("block", "side").drop("lone"), "side").join(texts, "doc")
+    found = materialise(_links_within(copies, ["block", "block2"], shingle, percent), "links")
+    return more.unionByName(found), [*used, sizes, shared, placed, dealt, keys, found]

@@ -14,13 +14,16 @@ def join_unique(rows: DataFrame, unique: DataFrame, key: str, weight: str, hot_k
 
     Keys with more than 1 of ``hot_keys`` of all rows are fewer than ``hot_keys``: they
     are broadcast, and their rows stay where they are. The others meet in a shuffle,
-    where no key fills a partition. Both tables are read twice, so they should be
-    written ones. Rows whose key is null or not in ``unique`` are left out.
+    where no key fills a partition; if none is hot, that is all. Both tables are read
+    twice, so they should be written ones. Rows whose key is null or not in ``unique``
+    are left out.
     """
-    total = unique.agg(F.sum(weight)).first()[0] or 0
-    is_hot = F.col(weight) * hot_keys > total
-    hot, cold = unique.filter(is_hot), unique.filter(~is_hot)
     columns = [*rows.columns, *[c for c in unique.columns if c != key]]
-    met = rows.join(F.broadcast(hot), key).select(*columns)
-    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key).select(*columns)
+    total, most = unique.agg(F.sum(weight), F.max(weight)).first()
+    if not total or most * hot_keys <= total:
+        return rows.join(unique, key).select(*columns)
+    is_hot = F.col(weight) * hot_keys > total
+    few = unique.sparkSession.createDataFrame(unique.filter(is_hot).collect(), unique.schema)
+    met = rows.join(F.broadcast(few), key).select(*columns)
+    others = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(unique.filter(~is_hot), key).select(*columns)
     return met.unionByName(others)
