@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_each(frames: Iterable[DataFrame], label: str, spark: SparkSession, schema: str) -> DataFrame:
+    """Write one frame after another into one folder and read them as one; without any, an empty table of this schema."""
+    path, empty = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}", True
+    for df in frames:
+        df.write.mode("append").parquet(path)
+        empty = False
+    return spark.createDataFrame([], schema) if empty else spark.read.schema(schema).parquet(path)
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
