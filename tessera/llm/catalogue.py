@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, jaccard_join, language_id, licences, mixing, packing, quality_classifier, quality_rules, substring_dedup, toxicity
+from tessera.llm import centroid_clusters, exact_dedup, hard_negatives, jaccard_join, language_id, licences, mixing, packing, quality_classifier, quality_rules, substring_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,14 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), hard_negatives.relabelled())
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 OP9_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents
@@ -69,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE_SQL, "op6_substring_dedup": substring_dedup.ORACLE_SQL, "op9_exact_dedup": OP9_SQL, "op10_mix_sources": mixing.ORACLE_SQL}
+    return {"op2_quality_rules": quality_rules.ORACLE_SQL, "op6_substring_dedup": substring_dedup.ORACLE_SQL, "op9_exact_dedup": OP9_SQL, "op10_mix_sources": mixing.ORACLE_SQL, "op11_hard_negatives": hard_negatives.ORACLE_SQL, "op13_centroid_clusters": centroid_clusters.oracle_sql()}
