@@ -36,6 +36,13 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/tessera/{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A name for a folder of this application, as a URI, for files that Spark's writers don't make."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again."""
     spark = df.sparkSession
