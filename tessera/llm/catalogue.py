@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import centroid_clusters, exact_dedup, hard_negatives, jaccard_join, language_id, licences, mixing, packing, quality_classifier, quality_rules, substring_dedup, toxicity
+from tessera.llm import centroid_clusters, exact_dedup, hard_negatives, jaccard_join, language_id, licences, mixing, packing, quality_classifier, quality_rules, substring_dedup, token_files, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), hard_negatives.relabelled())
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_documents(spark, sf_dir))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
