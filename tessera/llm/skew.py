@@ -27,3 +27,12 @@ def join_unique(rows: DataFrame, unique: DataFrame, key: str, weight: str, hot_k
     met = rows.join(F.broadcast(few), key).select(*columns)
     others = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(unique.filter(~is_hot), key).select(*columns)
     return met.unionByName(others)
+
+
+def left_join_unique(rows: DataFrame, unique: DataFrame, key: str, weight: str, total: int, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """As :func:`join_unique`, but rows whose key isn't in ``unique`` stay, with nulls; ``total``: the number of all rows."""
+    few = unique.sparkSession.createDataFrame(unique.filter(F.col(weight) * hot_keys > total).collect(), unique.schema)
+    columns = [*rows.columns, *[c for c in unique.columns if c != key]]
+    met = rows.join(F.broadcast(few), key).select(*columns)
+    others = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(unique.filter(F.col(weight) * hot_keys <= total), key, "left").select(*columns)
+    return met.unionByName(others)

@@ -132,3 +132,28 @@ def test_repeat_gives_as_many_rows_as_copies(spark):
     out = mixing.repeat(docs)
     assert out.columns == docs.columns
     assert out.count() == sum(r.copies for r in mixing.mix(docs).collect())
+
+
+@pytest.mark.parametrize("ids", ["none", "one", "half"])
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_mix_comes_near_its_targets_whatever_the_ids(spark, ids, few, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_GROUPS", few)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", few)
+    doc_id = {"none": lambda i: None, "one": lambda i: 7, "half": lambda i: i if i % 2 else None}[ids]
+    for text in (lambda i: f"w{i} " * 10, lambda i: "same " * 10):  # told apart by their texts, or by nothing
+        rows = [(doc_id(i), text(i), "abc"[i % 3]) for i in range(300)]
+        got = mixing.mix(documents(spark, rows).repartition(5)).collect()
+        for source, target in zip("abc", (500, 1000, 1500)):
+            mine = [r for r in got if r.source == source]
+            assert {round(r.target) for r in mine} == {target}
+            assert abs(sum(r.taken for r in mine) - target) <= (10 if text(0) == text(1) and ids != "half" else 200)
+            assert all(r.copies in (int(r.rate), int(r.rate) + 1) for r in mine)
+        again = mixing.mix(documents(spark, rows[::-1]).repartition(3)).collect()
+        assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_repeat_of_equal_rows(spark):
+    rows = [(None, "same " * 10, "abc"[i % 3]) for i in range(300)] + [(5, "x" * 70_000, "a"), (5, "x" * 70_000, "a")]
+    docs = documents(spark, rows).repartition(4)
+    assert mixing.repeat(docs).count() == sum(r.copies for r in mixing.mix(docs).collect())
+    assert mixing.repeat(docs).columns == docs.columns
