@@ -135,9 +135,19 @@ def rewrite_payload(answer: Text) -> Column:
 
 
 def technical_terms(x: Text) -> Column:
-    """Identifiers, versions, codes and paths, in the order of the patterns, each once."""
+    """Identifiers, versions, codes and paths, in the order of the patterns, each once.
+
+    A pattern is tried only where what it can't do without is in the text.
+    """
     lowered = F.lower(collapse(x))
-    return F.array_distinct(F.concat(*[F.regexp_extract_all(lowered, F.lit(f"({p})"), 1) for p in TECHNICAL_PATTERNS]))
+    needed = ("c++", "c#", ".net", "node.js", "next.js", "vue.js", "react.js", r"[A-Za-z0-9_]\.[a-z_]", "-", r"[0-9]\.[0-9]", "[1-5][0-9]{2}", "/")
+    none = F.array().cast("array<string>")
+
+    def found(low: Column) -> Column:
+        may = [low.rlike(n) if "[" in n else F.contains(low, F.lit(n)) for n in needed]
+        return F.array_distinct(F.concat(*[F.when(m, F.regexp_extract_all(low, F.lit(f"({p})"), 1)).otherwise(none) for m, p in zip(may, TECHNICAL_PATTERNS)]))
+
+    return let(lowered, found)
 
 
 def hans_hant_variants(x: Text) -> Column:

@@ -25,17 +25,18 @@ FIELD_WEIGHTS = {"exact": 8.0, "zh": 3.0, "en": 3.0, "mixed": 2.0}
 K1, B = 1.2, 0.75
 
 
-def fields(content: Column) -> dict[str, Column]:
-    """Token arrays of the four fields of a chunk."""
+def fields(content: Column, technical: Column | None = None) -> dict[str, Column]:
+    """Token arrays of the four fields of a chunk; ``technical``: its technical terms, if they are known already."""
     lowered = F.lower(fn.collapse(content))
     runs = F.regexp_extract_all(lowered, F.lit(r"(\p{IsHan}{2,})"), 1)
     bigrams = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
     forms = lambda xs: F.flatten(F.transform(xs, fn.hans_hant_variants))
     flat = lambda xs: F.flatten(F.transform(xs, fn.tokens))
     words = F.filter(F.regexp_extract_all(lowered, F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda w: ~w.rlike(r"\p{IsHan}") & (F.length(w) >= 2))
-    technical = fn.technical_terms(content)
+    technical = fn.technical_terms(content) if technical is None else technical
     codes = F.regexp_extract_all(lowered, F.lit(fn.START + r"(err_[a-z0-9_]+|e[a-z]{2,}[a-z0-9_]*)" + fn.END), 1)
-    files = F.transform(F.regexp_extract_all(content, F.lit(r"(?i)([A-Za-z0-9_.\-/\\]+\.(?:pdf|md|txt|docx?|tsx?|jsx?|py|go|rs|json))"), 1), F.lower)
+    endings = r"\.(?:pdf|md|txt|docx?|tsx?|jsx?|py|go|rs|json)"
+    files = F.when(content.rlike(f"(?i)[A-Za-z0-9_.\\-/\\\\]{endings}"), F.transform(F.regexp_extract_all(content, F.lit(rf"(?i)([A-Za-z0-9_.\-/\\]+{endings})"), 1), F.lower)).otherwise(F.array().cast("array<string>"))
     return {
         "exact": flat(F.array_distinct(F.concat(technical, files, codes))),
         "zh": forms(F.concat(runs, bigrams)),
@@ -46,7 +47,8 @@ def fields(content: Column) -> dict[str, Column]:
 
 def postings(chunks: DataFrame) -> DataFrame:
     """field, token, chunk_id, tf of every chunk (chunk_id, content)."""
-    held = chunks.select("chunk_id", F.array(*[F.struct(F.lit(name).alias("field"), column.alias("tokens")) for name, column in fields(F.col("content")).items()]).alias("fields"))
+    known = chunks.select("chunk_id", "content", fn.technical_terms(F.col("content")).alias("_terms"))
+    held = known.select("chunk_id", F.array(*[F.struct(F.lit(name).alias("field"), column.alias("tokens")) for name, column in fields(F.col("content"), F.col("_terms")).items()]).alias("fields"))
     each = held.select("chunk_id", F.inline("fields")).select("chunk_id", "field", F.explode("tokens").alias("token"))
     return each.groupBy("field", "token", "chunk_id").agg(F.count("*").alias("tf"))
 
@@ -73,6 +75,8 @@ def bounded(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
+#: Chunks that a task tokenises, about.
+TASK_CHUNKS = 20_000
 #: Queries that one broadcast block holds.
 QUERY_BLOCK = 512
 
@@ -105,18 +109,18 @@ def entries(field: str, tokens: Column) -> Column:
 
 
 def query_index(chunks: DataFrame, held: Column, length: Column, terms: DataFrame) -> DataFrame:
-    """field, token, chunk_id, length, tf of the tokens in ``terms``, and a row without a token for each chunk.
-
-    ``held``: an array of field and token. It is written, as several plans read it.
-    """
+    """field, token, chunk_id, length, tf of the tokens in ``terms``, and a row without a token for each chunk; ``held``: an array of field and token."""
     wanted = bounded(terms.select("token").distinct()).withColumn("_wanted", F.lit(True))
     each = chunks.select("chunk_id", length.cast("double").alias("length"), held.alias("_held"))
     each = each.select("chunk_id", "length", F.inline(F.concat("_held", F.array(F.lit(None).cast(_ENTRY)))))
     met = each.join(wanted, "token", "left").filter("_wanted or token is null")
-    return materialise(met.groupBy("field", "token", "chunk_id", "length").agg(F.count("*").cast("double").alias("tf")), "postings")
+    return met.groupBy("field", "token", "chunk_id", "length").agg(F.count("*").cast("double").alias("tf"))
 
 
-def plain_index(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+def plain_postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """Of the tokens of texts, spread over the tasks first: a table of few files would be tokenised by few."""
+    spread = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() // TASK_CHUNKS))
+    chunks = chunks.repartition(spread, "chunk_id")
     tokens = chunks.select("chunk_id", fn.tokens(F.col("content")).alias("_tokens"))
     return query_index(tokens, entries("plain", F.col("_tokens")), F.size("_tokens"), terms)
 
@@ -163,9 +167,9 @@ def _of_kind() -> Column:
 
 def weighted_index(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """An index whose tokens are ``kind:token`` and whose frequencies are weighted by field; ``terms``: kind, token."""
-    held = F.concat(*[entries(name, tokens) for name, tokens in fields(F.col("content")).items()])
-    each = chunks.select("chunk_id", held.alias("_fields"))
-    index = query_index(each, F.col("_fields"), F.size("_fields"), terms)
+    held = F.concat(*[entries(name, tokens) for name, tokens in fields(F.col("content"), F.col("_terms")).items()])
+    each = chunks.select("chunk_id", "content", fn.technical_terms(F.col("content")).alias("_terms")).select("chunk_id", held.alias("_fields"))
+    index = materialise(query_index(each, F.col("_fields"), F.size("_fields"), terms), "postings")
     met = index.filter("token is not null").join(bounded(terms.select("kind", "token").distinct()), "token").filter(seen_by_kind())
     weighed = met.groupBy(_of_kind(), "chunk_id", "length").agg(F.sum(F.col("tf") * field_weight()).alias("tf"))
     return weighed.unionByName(index.filter("token is null").select("token", "chunk_id", "length", "tf"))
@@ -278,7 +282,7 @@ def ladder(plans: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
     sub = materialise(plans.select("query_id", "class", "phrase", "minimum", "match_terms", "effective", least_hits().alias("least")), "plans")
     pieces = sub.select("query_id", F.explode("match_terms").alias("term")).select("query_id", F.explode(fn.tokens(F.col("term"))).alias("token")).distinct()
     words = chunks.select("chunk_id", fn.tokens(F.col("content")).alias("_tokens"), F.filter(fields(F.col("content"))["zh"], lambda t: F.length(t) == 2).alias("_bigrams"))
-    index = query_index(words, F.concat(entries("plain", F.col("_tokens")), entries("zh", F.col("_bigrams"))), F.size("_tokens"), pieces)
+    index = materialise(query_index(words, F.concat(entries("plain", F.col("_tokens")), entries("zh", F.col("_bigrams"))), F.size("_tokens"), pieces), "postings")
     enough = bm25(pieces, index).join(bounded(sub), "query_id").filter("hits >= least")
     text = chunks.select("chunk_id", "content", F.concat(F.lit(" "), F.array_join(fn.tokens(F.col("content")), " "), F.lit(" ")).alias("line"))
 
@@ -296,6 +300,6 @@ def ladder(plans: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
         .when((F.col("n") >= F.col("minimum")) & (fn.term_coverage(F.col("content"), F.col("match_terms")) >= F.col("minimum")), 3)
     )
     stepped = judged.withColumn("step", step).filter("step is not null").select("query_id", "chunk_id", "score", "step")
-    best = stepped.withColumn("best", F.min("step").over(Window.partitionBy("query_id"))).filter("step = best")
+    best = stepped.join(stepped.groupBy("query_id").agg(F.min("step").alias("step")), ["query_id", "step"])
     names = F.element_at(F.array(*[F.lit(x) for x in ("explicit_or", "phrase", "all", "minimum_match")]), F.col("step") + 1)
     return top(best, k).select("query_id", "chunk_id", "score", "rank", names.alias("step"))

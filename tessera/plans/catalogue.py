@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
-from tessera.operators import context, evaluation, fusion, lexical, rewrites, sync, vectors, versions
-from tessera.plans.storage import materialise
+from tessera.operators import context, evaluation, fusion, index, lexical, rewrites, sync, vectors, versions
+from tessera.plans import storage
+from tessera.plans.storage import kept_folder, materialise
 from tessera.sources import chunks as chunking
 from tessera.sources import pages
 
@@ -18,8 +18,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 SPACES = "[\\x09-\\x0D ]"
-#: Words of a benchmark item that the SQL below searches for; the queries ``*_whole`` search for all of them.
-SQL_WORDS = 6
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -54,14 +52,21 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.coalesce("text", F.lit("")).alias("content"))
 
 
-def batch(spark: SparkSession, sf_dir: str, words: int | None = None) -> DataFrame:
-    """Each benchmark item as a query: its whole text, or its first words."""
-    text = F.trim("text") if words is None else F.array_join(F.slice(F.split(F.trim("text"), " +"), 1, words), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("text"))
+def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item as a query."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.trim("text").alias("text"))
 
 
-def query_tokens(spark: SparkSession, sf_dir: str, words: int | None = None) -> DataFrame:
-    return batch(spark, sf_dir, words).select("query_id", F.explode(fn.tokens(F.col("text"))).alias("token")).distinct()
+def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch(spark, sf_dir).select("query_id", F.explode(fn.tokens(F.col("text"))).alias("token")).distinct()
+
+
+def kept(spark: SparkSession, sf_dir: str) -> index.KeptIndex:
+    """The positional index of the documents, made by the first query that asks for it and read by the others of the application."""
+    found = index.KeptIndex(spark, kept_folder(spark, "index", f"{sf_dir}/documents.parquet"))
+    if not found.commits():
+        found.commit(chunks(spark, sf_dir))
+    return found
 
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +108,7 @@ TOKENS_SQL = f"""toks AS (
   SELECT doc_id AS chunk_id, unnest(regexp_extract_all({FOLD.format("coalesce(text, '')")}, '[\\p{{L}}\\p{{N}}]+')) AS token FROM documents
 ), postings AS (SELECT token, chunk_id, CAST(count(*) AS DOUBLE) AS tf FROM toks GROUP BY ALL),
 lens AS (SELECT doc_id AS chunk_id, CAST(len(regexp_extract_all({FOLD.format("coalesce(text, '')")}, '[\\p{{L}}\\p{{N}}]+')) AS DOUBLE) AS length FROM documents),
-queries AS (SELECT item_id AS query_id, array_to_string(regexp_split_to_array(trim(text), ' +')[1:6], ' ') AS text FROM benchmark),
+queries AS (SELECT item_id AS query_id, trim(text) AS text FROM benchmark),
 terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all({FOLD.format("text")}, '[\\p{{L}}\\p{{N}}]+')) AS token FROM queries),
 dfs AS (SELECT token, CAST(count(*) AS DOUBLE) AS df FROM postings GROUP BY token),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(length) AS mean FROM lens),
@@ -113,22 +118,24 @@ scored AS (
 RANKED_SQL = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)"
 
 
-def scored(spark: SparkSession, sf_dir: str, words: int | None = None) -> DataFrame:
-    terms = query_tokens(spark, sf_dir, words)
-    return lexical.bm25(terms, lexical.plain_index(chunks(spark, sf_dir), terms))
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query and chunk that share a token. The postings of the queries' tokens are written once for all queries of the application."""
+    terms = query_tokens(spark, sf_dir)
+    folder = kept_folder(spark, "plain", f"{sf_dir}/documents.parquet", f"{sf_dir}/benchmark.parquet")
+    return lexical.bm25(terms, storage.kept(spark, folder, lambda: lexical.plain_postings(chunks(spark, sf_dir), terms)))
 
 
 # ---- search -------------------------------------------------------------------------------
 
 
 @query("bm25_topk", f"WITH {TOKENS_SQL} SELECT query_id, chunk_id, score, rank FROM (SELECT *, {RANKED_SQL} AS rank FROM scored) WHERE rank <= 8")
-def bm25_topk(spark, sf_dir, words=SQL_WORDS):
-    return lexical.top(scored(spark, sf_dir, words), 8).select("query_id", "chunk_id", "score", "rank")
+def bm25_topk(spark, sf_dir):
+    return lexical.top(scored(spark, sf_dir), 8).select("query_id", "chunk_id", "score", "rank")
 
 
-def _at_least(spark, sf_dir, words, minimum):
-    terms = query_tokens(spark, sf_dir, words)
-    counted = scored(spark, sf_dir, words).join(terms.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
+def _at_least(spark, sf_dir, minimum):
+    terms = query_tokens(spark, sf_dir)
+    counted = scored(spark, sf_dir).join(terms.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
     return counted.filter(F.col("hits") >= minimum(F.col("n"))).select("query_id", "chunk_id", "hits")
 
 
@@ -137,18 +144,19 @@ MINIMUM_SQL = "CASE WHEN n <= 2 THEN n WHEN n <= 4 THEN (n * 3 + 3) // 4 WHEN n
 
 
 @query("and_match", _COUNTED + "n")
-def and_match(spark, sf_dir, words=SQL_WORDS):
-    return _at_least(spark, sf_dir, words, lambda n: n)
+def and_match(spark, sf_dir):
+    return _at_least(spark, sf_dir, lambda n: n)
 
 
 @query("min_should_match", _COUNTED + MINIMUM_SQL)
-def min_should_match(spark, sf_dir, words=SQL_WORDS):
-    return _at_least(spark, sf_dir, words, fn.minimum_should_match)
+def min_should_match(spark, sf_dir):
+    return _at_least(spark, sf_dir, fn.minimum_should_match)
 
 
-@query("explicit_or", _COUNTED + "1")
-def explicit_or(spark, sf_dir, words=SQL_WORDS):
-    return _at_least(spark, sf_dir, words, lambda n: F.lit(1))
+@query("explicit_or", f"WITH {TOKENS_SQL} SELECT query_id, chunk_id, hits, score, rank FROM (SELECT *, {RANKED_SQL} AS rank FROM scored) WHERE rank <= 40")
+def explicit_or(spark, sf_dir):
+    """The 40 best of all chunks with any term: as many candidates as a search with a k of 8 asks for."""
+    return lexical.top(scored(spark, sf_dir), 40).select("query_id", "chunk_id", "hits", "score", "rank")
 
 
 @query(
@@ -161,26 +169,26 @@ def explicit_or(spark, sf_dir, words=SQL_WORDS):
     best AS (SELECT * FROM (SELECT *, min(step) OVER (PARTITION BY query_id) AS b FROM stepped WHERE step IS NOT NULL) WHERE step = b)
     SELECT query_id, chunk_id, score, rank, ['phrase', 'all', 'minimum_match'][step] AS step FROM (SELECT *, {RANKED_SQL} AS rank FROM best) WHERE rank <= 8""",
 )
-def ladder_first_nonempty(spark, sf_dir, words=SQL_WORDS):
+def ladder_first_nonempty(spark, sf_dir):
     """The ladder's steps over plain tokens. A phrase needs all of its tokens, so only chunks with all of them are read for it."""
-    terms = query_tokens(spark, sf_dir, words)
-    counts = terms.groupBy("query_id").agg(F.count("*").alias("n")).join(batch(spark, sf_dir, words), "query_id")
+    terms = query_tokens(spark, sf_dir)
     line = lambda c: F.concat(F.lit(" "), F.array_join(fn.tokens(F.col(c)), " "), F.lit(" "))
-    counts = counts.select("query_id", "n", line("text").alias("phrase"))
-    met = materialise(scored(spark, sf_dir, words).join(lexical.bounded(counts), "query_id").filter(F.col("hits") >= fn.minimum_should_match(F.col("n"))), "met")
+    counts = terms.groupBy("query_id").agg(F.count("*").alias("n")).join(batch(spark, sf_dir), "query_id").select("query_id", "n", line("text").alias("phrase"))
+    met = materialise(scored(spark, sf_dir).join(lexical.bounded(counts), "query_id").filter(F.col("hits") >= fn.minimum_should_match(F.col("n"))), "met")
     lines = chunks(spark, sf_dir).select("chunk_id", line("content").alias("line"))
     full = met.filter("hits = n").join(lines, "chunk_id").withColumn("step", F.when(F.contains("line", "phrase"), 1).otherwise(2))
     columns = ["query_id", "chunk_id", "score", "step"]
     found = full.select(*columns).unionByName(met.filter("hits < n").withColumn("step", F.lit(3)).select(*columns))
-    best = found.withColumn("best", F.min("step").over(lexical.Window.partitionBy("query_id"))).filter("step = best")
+    first = found.groupBy("query_id").agg(F.min("step").alias("step"))
     names = F.element_at(F.array(F.lit("phrase"), F.lit("all"), F.lit("minimum_match")), F.col("step"))
-    return lexical.top(best, 8).select("query_id", "chunk_id", "score", "rank", names.alias("step"))
+    return lexical.top(found.join(first, ["query_id", "step"]), 8).select("query_id", "chunk_id", "score", "rank", names.alias("step"))
 
 
 @query("planned_ladder")
 def planned_ladder(spark, sf_dir):
     """Queries planned by language, kind and class, then answered by their ladders."""
-    return lexical.ladder(lexical.query_plans(batch(spark, sf_dir)), chunks(spark, sf_dir))
+    queries = batch(spark, sf_dir)
+    return index.slot_ladder(kept(spark, sf_dir), index.planned_specs(lexical.query_plans(queries), rewrites.exact_terms(queries)))
 
 
 @query("search_terms")
@@ -188,21 +196,8 @@ def search_terms(spark, sf_dir):
     return lexical.search_terms(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
-@query(
-    "field_postings",
-    """WITH words AS (
-      SELECT doc_id AS chunk_id, unnest(list_filter(regexp_extract_all(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2)) AS word FROM documents),
-    toks AS (SELECT chunk_id, unnest(regexp_extract_all(%s, '[\\p{L}\\p{N}]+')) AS token FROM words)
-    SELECT 'en' AS field, token, chunk_id, count(*) AS tf FROM toks GROUP BY ALL"""
-    % FOLD.format("word"),
-)
+@query("field_postings")
 def field_postings(spark, sf_dir):
-    """The field of words of the multi-field index."""
-    return lexical.postings(chunks(spark, sf_dir)).filter("field = 'en'")
-
-
-@query("field_postings_whole")
-def field_postings_whole(spark, sf_dir):
     """All four fields of the multi-field index."""
     return lexical.postings(chunks(spark, sf_dir))
 
@@ -216,9 +211,9 @@ def weighted_bm25_topk(spark, sf_dir):
 @query("keyword_score_topk", f"""WITH {TOKENS_SQL}, low AS (SELECT doc_id AS chunk_id, lower(coalesce(text, '')) AS c FROM documents),
     s AS (SELECT query_id, chunk_id, CAST(sum(length(c) - length(replace(c, token, ''))) AS BIGINT) AS score FROM low, terms WHERE contains(c, token) GROUP BY ALL)
     SELECT query_id, chunk_id, score, rank FROM (SELECT *, {RANKED_SQL} AS rank FROM s WHERE score > 0) WHERE rank <= 8""")
-def keyword_score_topk(spark, sf_dir, words=SQL_WORDS):
+def keyword_score_topk(spark, sf_dir):
     """Characters covered by terms, as substrings. Each chunk scores a block of queries in one row."""
-    scores = lexical.by_query_block(chunks(spark, sf_dir), query_tokens(spark, sf_dir, words), fn.covered_characters)
+    scores = lexical.by_query_block(chunks(spark, sf_dir), query_tokens(spark, sf_dir), fn.covered_characters)
     return lexical.top(scores, 8).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -255,17 +250,11 @@ def language_profile(spark, sf_dir):
     return every.select("id", fn.language(F.col("text")).alias("language"))
 
 
-@query("technical_terms", f"""WITH {TEXTS_SQL}, c AS (SELECT id, lower({COLLAPSED}) AS t FROM texts)
+@query("technical_terms", f"""WITH {TEXTS_SQL}, c AS (SELECT id, lower({COLLAPSED}) AS t FROM texts UNION ALL SELECT doc_id + 100000, lower({COLLAPSED}) FROM documents)
     SELECT id, array_to_string(list_sort(list_distinct(list_concat({", ".join("regexp_extract_all(t, '" + p + "')" for p in (
         "\\bc\\+\\+", "\\bc#", "\\.net\\b", "\\bnode\\.js\\b", "\\bnext\\.js\\b", "\\bvue\\.js\\b", "\\breact\\.js\\b", "\\b[a-z_][\\w]*(?:\\.[a-z_][\\w]*)+\\b", "\\b[a-z][\\w]*(?:-[\\w]+)+\\b",
         "\\bv?\\d+(?:\\.\\d+){1,3}(?:-[a-z0-9.]+)?\\b", "\\b[1-5]\\d{2}\\b", "(?:\\.?\\.?/[\\w./@+-]{2,})+"))}))), '|') AS terms FROM c""")
 def technical_terms(spark, sf_dir):
-    return texts(spark, sf_dir).select("id", F.array_join(F.sort_array(fn.technical_terms(F.col("text"))), "|").alias("terms"))
-
-
-@query("technical_terms_whole")
-def technical_terms_whole(spark, sf_dir):
-    """Those of whole documents too."""
     return texts_and_documents(spark, sf_dir).select("id", F.array_join(F.sort_array(fn.technical_terms(F.coalesce("text", F.lit("")))), "|").alias("terms"))
 
 
@@ -285,14 +274,8 @@ def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fn.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("soft_normalize", f"WITH {TEXTS_SQL} SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM texts")
+@query("soft_normalize", f"WITH {TEXTS_SQL} SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM (SELECT * FROM texts UNION ALL SELECT doc_id + 100000, text FROM documents)")
 def soft_normalize(spark, sf_dir):
-    return texts(spark, sf_dir).select("id", fn.soft_normalised(F.col("text")).alias("text"))
-
-
-@query("soft_normalize_whole")
-def soft_normalize_whole(spark, sf_dir):
-    """Whole documents too."""
     return texts_and_documents(spark, sf_dir).select("id", fn.soft_normalised(F.col("text")).alias("text"))
 
 
@@ -343,9 +326,11 @@ def page_quality(spark, sf_dir):
 
 
 @query("coverage_filter", f"""WITH {TOKENS_SQL}, c AS (SELECT query_id, doc_id AS chunk_id, CAST(count(*) FILTER (contains(lower(coalesce(d.text, '')), token)) AS BIGINT) AS coverage FROM documents d, terms GROUP BY ALL)
-    SELECT query_id, chunk_id, coverage FROM c WHERE coverage >= 2""")
-def coverage_filter(spark, sf_dir, words=SQL_WORDS):
-    return lexical.by_query_block(chunks(spark, sf_dir), query_tokens(spark, sf_dir, words), fn.held_terms, 2).withColumnRenamed("score", "coverage")
+    SELECT query_id, chunk_id, coverage FROM c JOIN (SELECT query_id, count(*) AS n FROM terms GROUP BY ALL) USING (query_id) WHERE coverage >= greatest({MINIMUM_SQL}, 1)""")
+def coverage_filter(spark, sf_dir):
+    """Chunks that hold the minimum of a query's terms as substrings."""
+    enough = lambda low, terms: fn.let(fn.held_terms(low, terms), lambda n: F.when(n >= fn.minimum_should_match(F.size(terms)), n))
+    return lexical.by_query_block(chunks(spark, sf_dir), query_tokens(spark, sf_dir), enough).withColumnRenamed("score", "coverage")
 
 
 @query("rewrite_excludes", "SELECT doc_id FROM documents WHERE NOT (regexp_matches(lower(coalesce(text, '')), '(^|[^\\p{L}\\p{N}_])license([^\\p{L}\\p{N}_]|$)') AND NOT regexp_matches(lower(coalesce(text, '')), '(^|[^\\p{L}\\p{N}_])mit([^\\p{L}\\p{N}_]|$)'))")
@@ -580,8 +565,8 @@ def validate_vectors(spark, sf_dir):
     return vectors.valid_entries(entries(spark, sf_dir), 64)
 
 
-def _lists(spark, sf_dir, words):
-    found = scored(spark, sf_dir, words)
+def _lists(spark, sf_dir):
+    found = scored(spark, sf_dir)
     by_score = lexical.top(found, 16).select("query_id", "chunk_id", "rank", F.lit(1.2).alias("weight"))
     by_hits = lexical.top(found.select("query_id", "chunk_id", F.col("hits").alias("score")), 16).select("query_id", "chunk_id", "rank", F.lit(0.8).alias("weight"))
     return by_score.unionByName(by_hits)
@@ -593,31 +578,31 @@ LISTS_SQL = f"""{TOKENS_SQL}, lists AS (
 
 
 @query("rrf_fusion", f"WITH {LISTS_SQL} SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM lists GROUP BY ALL")
-def rrf_fusion(spark, sf_dir, words=SQL_WORDS):
-    return fusion.rrf(_lists(spark, sf_dir, words).drop("weight"))
+def rrf_fusion(spark, sf_dir):
+    return fusion.rrf(_lists(spark, sf_dir).drop("weight"))
 
 
 @query("weighted_rrf", f"WITH {LISTS_SQL} SELECT query_id, chunk_id, round(sum(weight::DOUBLE / (60 + rank)), 9) AS score FROM lists GROUP BY ALL")
-def weighted_rrf(spark, sf_dir, words=SQL_WORDS):
-    return fusion.rrf(_lists(spark, sf_dir, words))
+def weighted_rrf(spark, sf_dir):
+    return fusion.rrf(_lists(spark, sf_dir))
 
 
 @query("best_by_chunk", f"WITH {LISTS_SQL}, v AS (SELECT query_id, chunk_id, weight AS variant, CAST(40 - rank AS BIGINT) AS score FROM lists) SELECT query_id, chunk_id, score, CAST(variant AS DOUBLE) AS variant FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, variant) AS n FROM v) WHERE n = 1")
-def best_by_chunk(spark, sf_dir, words=SQL_WORDS):
-    return fusion.best_by_chunk(_lists(spark, sf_dir, words).select("query_id", "chunk_id", F.col("weight").alias("variant"), (40 - F.col("rank")).cast("long").alias("score")))
+def best_by_chunk(spark, sf_dir):
+    return fusion.best_by_chunk(_lists(spark, sf_dir).select("query_id", "chunk_id", F.col("weight").alias("variant"), (40 - F.col("rank")).cast("long").alias("score")))
 
 
 @query("lexical_boost", f"""WITH {TOKENS_SQL}, t AS (SELECT * FROM (SELECT *, {RANKED_SQL} AS rank FROM scored) WHERE rank <= 8)
     SELECT query_id, chunk_id, round(CASE WHEN max(hits) OVER q > 0 THEN score + 0.05::DOUBLE * greatest(max(score) OVER q, 1e-9) * hits / max(hits) OVER q ELSE score END, 9) AS boosted FROM t WINDOW q AS (PARTITION BY query_id)""")
-def lexical_boost(spark, sf_dir, words=SQL_WORDS):
-    return fusion.lexical_boost(lexical.top(scored(spark, sf_dir, words), 8).withColumn("lex", F.col("hits"))).select("query_id", "chunk_id", "boosted")
+def lexical_boost(spark, sf_dir):
+    return fusion.lexical_boost(lexical.top(scored(spark, sf_dir), 8).withColumn("lex", F.col("hits"))).select("query_id", "chunk_id", "boosted")
 
 
 # ---- context ---------------------------------------------------------------------------------
 
 
-def _hits(spark, sf_dir, words):
-    return lexical.top(scored(spark, sf_dir, words), 12).select("query_id", "chunk_id", (F.col("chunk_id") % 7).alias("document_id"), F.floor(F.col("chunk_id") / 7).alias("position"), "rank")
+def _hits(spark, sf_dir):
+    return lexical.top(scored(spark, sf_dir), 12).select("query_id", "chunk_id", (F.col("chunk_id") % 7).alias("document_id"), F.floor(F.col("chunk_id") / 7).alias("position"), "rank")
 
 
 HITS_SQL = f"{TOKENS_SQL}, hits AS (SELECT query_id, chunk_id, chunk_id % 7 AS document_id, chunk_id // 7 AS position, rank FROM (SELECT *, {RANKED_SQL} AS rank FROM scored) WHERE rank <= 12)"
@@ -626,22 +611,22 @@ PLACED_SQL = f"""{HITS_SQL}, turns AS (SELECT *, row_number() OVER (PARTITION BY
 
 
 @query("diversify_round_robin", f"WITH {PLACED_SQL} SELECT query_id, chunk_id, place FROM placed")
-def diversify_round_robin(spark, sf_dir, words=SQL_WORDS):
-    return context.diversify(_hits(spark, sf_dir, words)).select("query_id", "chunk_id", "place")
+def diversify_round_robin(spark, sf_dir):
+    return context.diversify(_hits(spark, sf_dir)).select("query_id", "chunk_id", "place")
 
 
 @query("token_pack_prefix", f"""WITH {PLACED_SQL}, costed AS (SELECT p.*, CAST(ceil(length(coalesce(d.text, '')) / 2) AS BIGINT) + 2 AS cost FROM placed p JOIN documents d ON d.doc_id = chunk_id),
     used AS (SELECT *, CAST(sum(cost) OVER (PARTITION BY query_id ORDER BY place) AS BIGINT) AS used FROM costed)
     SELECT query_id, chunk_id, used, used > 2000 AS truncated FROM used WHERE used <= 2000 OR place = 1""")
-def token_pack_prefix(spark, sf_dir, words=SQL_WORDS):
-    placed = context.diversify(_hits(spark, sf_dir, words)).join(chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
+def token_pack_prefix(spark, sf_dir):
+    placed = context.diversify(_hits(spark, sf_dir)).join(chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
     return context.pack(placed, 2000).select("query_id", "chunk_id", "used", "truncated")
 
 
 @query("neighbor_expand", f"""WITH {HITS_SQL}, sel AS (SELECT * FROM hits WHERE rank <= 4), near AS (SELECT DISTINCT query_id, document_id, unnest([position - 1, position + 1]) AS position FROM sel)
     SELECT h.query_id, h.chunk_id FROM hits h WHERE EXISTS (SELECT 1 FROM near n WHERE n.query_id = h.query_id AND n.document_id = h.document_id AND n.position = h.position) AND NOT EXISTS (SELECT 1 FROM sel s WHERE s.query_id = h.query_id AND s.chunk_id = h.chunk_id)""")
-def neighbor_expand(spark, sf_dir, words=SQL_WORDS):
-    hits = _hits(spark, sf_dir, words).withColumn("revision_id", F.lit(None).cast("string"))
+def neighbor_expand(spark, sf_dir):
+    hits = _hits(spark, sf_dir).withColumn("revision_id", F.lit(None).cast("string"))
     return context.neighbours(hits.filter("rank <= 4"), hits.drop("rank")).select("query_id", "chunk_id").distinct()
 
 
@@ -675,16 +660,6 @@ def union_boxes(spark, sf_dir):
     return context.union_boxes(boxes, ["page"])
 
 
-# ---- whole benchmark texts ---------------------------------------------------------------------
-
-# The SQL above stops at SQL_WORDS words; these have no SQL and are held against brute force.
-for _q in (
-    bm25_topk, and_match, min_should_match, explicit_or, ladder_first_nonempty, keyword_score_topk, coverage_filter, rrf_fusion, weighted_rrf, best_by_chunk, lexical_boost,
-    diversify_round_robin, token_pack_prefix, neighbor_expand,
-):
-    query(f"{_q.__name__}_whole")(partial(_q, words=None))
-
-
 # ---- evaluation --------------------------------------------------------------------------------
 
 
@@ -692,15 +667,21 @@ def _cases(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.concat(F.lit("g"), (F.col("item_id") % 4).cast("string")).alias("category"))
 
 
+def _holding(spark, sf_dir):
+    """Ground truth: the documents whose text holds that of the case, whatever the case of letters and whatever is found."""
+    held = table(spark, sf_dir, "benchmark").filter("text <> ''").select(F.col("item_id").alias("query_id"), F.lower("text").alias("token"))
+    holds = lambda low, terms: F.exists(terms, lambda t: F.contains(low, t)).cast("int")
+    return lexical.by_query_block(chunks(spark, sf_dir), held, holds).select(F.col("query_id").alias("case_id"), "chunk_id")
+
+
 def _evaluated(spark, sf_dir):
-    cases = _cases(spark, sf_dir)
+    """Rankings against all documents that hold the text, found or not."""
     rankings = bm25_topk(spark, sf_dir).select(F.col("query_id").alias("case_id"), "chunk_id", "rank")
-    relevant = rankings.filter("(case_id + chunk_id) % 3 = 0 and case_id % 5 <> 0").select("case_id", "chunk_id")
-    return evaluation.by_case(cases, rankings, relevant)
+    return evaluation.by_case(_cases(spark, sf_dir), rankings, _holding(spark, sf_dir))
 
 
 METRICS_SQL = f"""{TOKENS_SQL}, rk AS (SELECT query_id AS case_id, chunk_id, rank FROM (SELECT *, {RANKED_SQL} AS rank FROM scored) WHERE rank <= 8),
-  rel AS (SELECT case_id, chunk_id FROM rk WHERE (case_id + chunk_id) % 3 = 0 AND case_id % 5 <> 0), g AS (SELECT case_id, min(rank) AS first, sum(1 / log2(rank + 1)) AS gain FROM rk SEMI JOIN rel USING (case_id, chunk_id) GROUP BY case_id),
+  rel AS (SELECT item_id AS case_id, doc_id AS chunk_id FROM benchmark b, documents d WHERE b.text <> '' AND contains(lower(d.text), lower(b.text))), g AS (SELECT case_id, min(rank) AS first, sum(1 / log2(rank + 1)) AS gain FROM rk SEMI JOIN rel USING (case_id, chunk_id) GROUP BY case_id),
   nr AS (SELECT case_id, count(*) AS n FROM rel GROUP BY case_id), nt AS (SELECT case_id, count(*) AS t FROM rk GROUP BY case_id),
   j AS (SELECT item_id AS case_id, 'g' || (item_id % 4) AS category, n, coalesce(t, 0) AS t, first, gain FROM benchmark b LEFT JOIN g ON g.case_id = item_id LEFT JOIN nr ON nr.case_id = item_id LEFT JOIN nt ON nt.case_id = item_id),
   metrics AS (SELECT case_id, category, round(CASE WHEN n IS NULL THEN CASE WHEN t = 0 THEN 1.0 ELSE 0.0 END ELSE CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END END, 9)::DOUBLE AS hit_5,
@@ -720,25 +701,6 @@ def eval_by_category(spark, sf_dir):
     return evaluation.by_group(_evaluated(spark, sf_dir), "category")
 
 
-def _holding(spark, sf_dir):
-    """Ground truth: the documents whose text holds that of the case, whatever the case of letters and whatever is found."""
-    held = table(spark, sf_dir, "benchmark").filter("text <> ''").select(F.col("item_id").alias("query_id"), F.lower("text").alias("token"))
-    holds = lambda low, terms: F.exists(terms, lambda t: F.contains(low, t)).cast("int")
-    return lexical.by_query_block(chunks(spark, sf_dir), held, holds).select(F.col("query_id").alias("case_id"), "chunk_id")
-
-
-@query("recall_mrr_ndcg_whole")
-def recall_mrr_ndcg_whole(spark, sf_dir):
-    """Rankings of whole benchmark texts against all documents that hold them."""
-    rankings = bm25_topk(spark, sf_dir, None).select(F.col("query_id").alias("case_id"), "chunk_id", "rank")
-    return evaluation.by_case(_cases(spark, sf_dir), rankings, _holding(spark, sf_dir))
-
-
-@query("eval_by_category_whole")
-def eval_by_category_whole(spark, sf_dir):
-    return evaluation.by_group(recall_mrr_ndcg_whole(spark, sf_dir), "category")
-
-
 @query("percentile_nearest_rank", "SELECT event_type, quantile_disc(value, 0.95) AS value FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def percentile_nearest_rank(spark, sf_dir):
     return evaluation.percentile(table(spark, sf_dir, "events"), "value", 95, "event_type")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import citations, embedding
 from tessera.functions import text as fn
-from tessera.operators import engine, evaluation, fusion, lexical, ocr, rewrites, scope, sync, vectors, versions
+from tessera.operators import engine, evaluation, fusion, index, lexical, ocr, rewrites, scope, sync, vectors, versions
 from tessera.plans import catalogue as base
 from tessera.plans.catalogue import literals, query, table, values
+from tessera.plans.storage import new_folder
 from tessera.sources import chunks as chunking
 
 # ---- scope -------------------------------------------------------------------------------------
@@ -309,7 +310,7 @@ def prompt_frames(spark, sf_dir):
     """Search, take turns by document, quote, keep what fits the budget, and frame it."""
     from tessera.operators import context
 
-    placed = context.diversify(base._hits(spark, sf_dir, base.SQL_WORDS)).filter("place <= 4").join(base.chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
+    placed = context.diversify(base._hits(spark, sf_dir)).filter("place <= 4").join(base.chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
     title, marker = F.concat(F.lit("d"), F.col("chunk_id").cast("string")), F.concat(F.lit("S"), F.col("place").cast("string"))
     none = F.lit(None).cast("int")
     hit = {"name": title, "revision_id": F.lit(None).cast("string"), "heading_path": F.lit(None).cast("array<string>"), "content": F.lit(""), "page": F.lit(1), "start_line": none, "end_line": none, "start_offset": none, "end_offset": none}
@@ -441,7 +442,7 @@ def engine_search(spark, sf_dir):
     f AS (SELECT query_id, chunk_id, round(sum(weight::DOUBLE / (60 + rank)), 9) AS score FROM s JOIN n USING (query_id) WHERE n > 1 GROUP BY ALL UNION ALL SELECT query_id, chunk_id, CAST(40 - rank AS DOUBLE) FROM s JOIN n USING (query_id) WHERE n = 1)
     SELECT query_id, chunk_id, score, rank FROM (SELECT *, {base.RANKED_SQL} AS rank FROM f) WHERE rank <= 8""")
 def variant_fusion(spark, sf_dir):
-    lists = base._lists(spark, sf_dir, base.SQL_WORDS).select("query_id", F.when(F.col("weight") > 1, 0).otherwise(1).alias("variant"), "chunk_id", (40.0 - F.col("rank")).alias("score"), "rank", "weight")
+    lists = base._lists(spark, sf_dir).select("query_id", F.when(F.col("weight") > 1, 0).otherwise(1).alias("variant"), "chunk_id", (40.0 - F.col("rank")).alias("score"), "rank", "weight")
     return engine.fused_variants(lists.filter("not (weight < 1 and query_id % 3 = 0)"))
 
 
@@ -453,7 +454,7 @@ def eval_summary(spark, sf_dir):
     names = F.array(*[F.lit(x) for x in ("exact", "zh→en", "no_answer", "en→en", "mixed")])
     cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.element_at(names, (F.col("item_id") % 5 + 1).cast("int")).alias("category"), (F.col("item_id") % 4 != 3).alias("gated"))
     rankings = base.bm25_topk(spark, sf_dir).select(F.col("query_id").alias("case_id"), "chunk_id", "rank")
-    relevant = rankings.filter("(case_id + chunk_id) % 3 = 0 and case_id % 5 <> 0").select("case_id", "chunk_id")
+    relevant = base._holding(spark, sf_dir)
     returned = rankings.groupBy("case_id").agg(F.count("*").alias("n_returned"))
     metrics = evaluation.by_case(cases, rankings, relevant).join(returned, "case_id", "left").withColumn("n_returned", F.coalesce("n_returned", F.lit(0)))
     return evaluation.summary(metrics)
@@ -494,7 +495,7 @@ def _field_ctes(source: str, prefix: str) -> str:
 
 
 _CHUNKS = "chunk AS (SELECT doc_id AS id, text FROM documents)"
-base.SQL["field_postings_whole"] = f"WITH {_CHUNKS}, {_field_ctes('chunk', 'd')} SELECT field, token, id AS chunk_id, count(*) AS tf FROM dtokens GROUP BY ALL"
+base.SQL["field_postings"] = f"WITH {_CHUNKS}, {_field_ctes('chunk', 'd')} SELECT field, token, id AS chunk_id, count(*) AS tf FROM dtokens GROUP BY ALL"
 _LATIN_KIND = "CASE WHEN length(regexp_replace(t, '[^\\p{Latin}]', '', 'g')) * 100 >= greatest(length(regexp_replace(t, '\\s', '', 'g')), 1) * 55 OR length(regexp_replace(t, '[^\\p{Latin}]', '', 'g')) > 0 THEN 'en' ELSE 'all' END"
 base.SQL["weighted_bm25_topk"] = f"""WITH {_CHUNKS}, {_field_ctes('chunk', 'd')}, item AS (SELECT item_id AS id, trim(text) AS text FROM benchmark), {_field_ctes('item', 'q')},
     kinds AS (SELECT id, {_LATIN_KIND} AS kind FROM qc), seen AS (SELECT * FROM (VALUES ('en', 'en'), ('en', 'mixed'), ('en', 'exact'), ('all', 'en'), ('all', 'mixed'), ('all', 'exact'), ('all', 'zh')) AS t(kind, field)),
@@ -503,6 +504,68 @@ base.SQL["weighted_bm25_topk"] = f"""WITH {_CHUNKS}, {_field_ctes('chunk', 'd')}
     st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(length) AS mean FROM lens),
     s AS (SELECT query_id, chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 6) AS score FROM terms JOIN w USING (kind, token) JOIN freq USING (kind, token) JOIN lens USING (chunk_id), st GROUP BY ALL)
     SELECT query_id, chunk_id, score, rank FROM (SELECT *, {base.RANKED_SQL} AS rank FROM s) WHERE rank <= 8"""
+# ---- the kept index: phrases, ladders with fields and exact terms, commits ------------------------------------
+
+
+def _phrases(spark, sf_dir):
+    """The fifth to eighth word of every fiftieth document (every one that has them), as a phrase."""
+    words = F.slice(F.split(fn.collapse(F.coalesce("text", F.lit(""))), " "), 5, 4)
+    return table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(words, " ").alias("text")).filter("text rlike '[A-Za-z]'")
+
+
+_WORD = "[\\p{L}\\p{N}]"
+PHRASES_SQL = f"""ph AS (SELECT doc_id AS query_id, array_to_string(string_split({base.COLLAPSED}, ' ')[5:8], ' ') AS text FROM documents WHERE doc_id % 50 = 0),
+    inner_ph AS (SELECT query_id, regexp_replace(regexp_replace(lower(text), '^[^\\p{{L}}\\p{{N}}]+', ''), '[^\\p{{L}}\\p{{N}}]+$', '') AS p FROM ph WHERE regexp_matches(text, '[A-Za-z]')),
+    near AS MATERIALIZED (SELECT query_id, doc_id AS chunk_id, lower(d.text) AS text, p FROM inner_ph, documents d WHERE contains(lower(d.text), p))"""
+
+
+@query("phrase_match", f"""WITH {PHRASES_SQL} SELECT query_id, chunk_id FROM near WHERE regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}])' || regexp_escape(p) || '([^\\p{{L}}\\p{{N}}]|$)')""")
+def phrase_match(spark, sf_dir):
+    """Chunks with a phrase as it is written, from places in the index alone."""
+    return index.phrase_match(base.kept(spark, sf_dir), _phrases(spark, sf_dir))
+
+
+EXACT_TERMS = ["2.0", "by-nc", "mail2.example.com"]
+
+
+@query("field_ladder", f"""WITH {_CHUNKS}, {_field_ctes('chunk', 'd')}, item AS (SELECT item_id AS id, trim(text) AS text FROM benchmark), {_field_ctes('item', 'q')},
+    kinds AS (SELECT id, {_LATIN_KIND} AS kind FROM qc), seen AS (SELECT * FROM (VALUES ('en', 'en'), ('en', 'mixed'), ('en', 'exact'), ('all', 'en'), ('all', 'mixed'), ('all', 'exact'), ('all', 'zh')) AS t(kind, field)),
+    terms AS (SELECT DISTINCT id AS query_id, kind, token FROM (SELECT id, unnest(regexp_extract_all({base.FOLD.format("text")}, '[\\p{{L}}\\p{{N}}]+')) AS token FROM item) JOIN kinds USING (id)), counts AS (SELECT query_id, count(*) AS n FROM terms GROUP BY ALL),
+    w AS (SELECT kind, token, id AS chunk_id, sum(CASE field WHEN 'exact' THEN 8.0::DOUBLE WHEN 'mixed' THEN 2.0 ELSE 3.0 END) AS tf FROM dtokens JOIN seen USING (field) GROUP BY ALL), freq AS (SELECT kind, token, CAST(count(*) AS DOUBLE) AS df FROM w GROUP BY ALL),
+    lens AS (SELECT c.id AS chunk_id, CAST(count(token) AS DOUBLE) AS length FROM chunk c LEFT JOIN dtokens t ON t.id = c.id GROUP BY ALL), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(length) AS mean FROM lens),
+    s AS (SELECT query_id, chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 6) AS score, count(*) AS hits FROM terms JOIN w USING (kind, token) JOIN freq USING (kind, token) JOIN lens USING (chunk_id), st GROUP BY ALL),
+    exact_item AS (SELECT item_id AS query_id, {EXACT_TERMS}[item_id % 3 + 1] AS e FROM benchmark WHERE item_id % 2 = 0), lines AS (SELECT id, ' ' || array_to_string(regexp_extract_all({base.FOLD.format("string_agg(item, ' ' ORDER BY pos)")}, '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS line FROM (SELECT id, item, row_number() OVER () AS pos FROM df WHERE field = 'exact') GROUP BY id),
+    exact_hits AS (SELECT query_id, id AS chunk_id FROM exact_item, lines WHERE contains(line, ' ' || array_to_string(regexp_extract_all(e, '[a-z0-9]+'), ' ') || ' ')),
+    every AS (SELECT query_id, chunk_id, coalesce(score, 0) AS score, coalesce(hits, 0) AS hits, e.chunk_id IS NOT NULL AS is_exact FROM s FULL JOIN exact_hits e USING (query_id, chunk_id)),
+    stepped AS (SELECT query_id, chunk_id, score, CASE WHEN hits = n OR is_exact THEN 2 WHEN n >= 2 AND hits >= {base.MINIMUM_SQL} THEN 3 END AS step FROM every JOIN counts USING (query_id)),
+    best AS (SELECT * FROM (SELECT *, min(step) OVER (PARTITION BY query_id) AS b FROM stepped WHERE step IS NOT NULL) WHERE step = b)
+    SELECT query_id, chunk_id, score, rank, ['phrase', 'all', 'minimum_match'][step] AS step FROM (SELECT *, {base.RANKED_SQL} AS rank FROM best) WHERE rank <= 8""")
+def field_ladder(spark, sf_dir):
+    """Whole benchmark texts over the fields of their language; every other item has an exact term, which stands for all of its terms."""
+    queries = base.batch(spark, sf_dir)
+    terms = base.query_tokens(spark, sf_dir).groupBy("query_id").agg(F.collect_list("token").alias("terms"))
+    language, n = fn.language(F.col("text")), F.size("terms")
+    exact = F.element_at(F.array(*[F.lit(x) for x in EXACT_TERMS]), (F.col("query_id") % 3 + 1).cast("int"))
+    specs = queries.join(terms, "query_id").select(
+        "query_id", F.when(language.startswith("zh"), "zh").when(language == "en", "en").otherwise("all").alias("kind"), F.lit("general").alias("class"), F.lit(None).cast("string").alias("phrase"), F.lit(False).alias("raw"),
+        "terms", F.col("terms").alias("scoring"), F.when(F.col("query_id") % 2 == 0, F.array(exact)).otherwise(F.array().cast("array<string>")).alias("exact"), F.when(n >= 2, fn.minimum_should_match(n)).alias("minimum"),
+    )
+    return index.slot_ladder(base.kept(spark, sf_dir), specs)
+
+
+@query("index_commits", f"""WITH chunk AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 1 THEN 'changed ' || coalesce(text, '') || ' node.js v2.0.1' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 4 = 1 AND doc_id % 3 = 0), {_field_ctes('chunk', 'd')}
+    SELECT field, token, id AS chunk_id, count(*) AS tf FROM dtokens GROUP BY ALL""")
+def index_commits(spark, sf_dir):
+    """Three batches: two thirds of the documents; changes to every fourth, and the others; a removal of every fifth, some of which come back. What holds in the end."""
+    d = base.chunks(spark, sf_dir)
+    changed = d.filter("document_id % 4 = 1").withColumn("content", F.concat(F.lit("changed "), "content", F.lit(" node.js v2.0.1")))
+    found = index.KeptIndex(spark, new_folder(spark, "commits"))
+    found.commit(d.filter("document_id % 3 <> 0"))
+    found.commit(changed.unionByName(d.filter("document_id % 3 = 0 and document_id % 4 <> 1")))
+    found.commit(changed.filter("document_id % 5 = 0 and document_id % 3 = 0"), d.filter("document_id % 5 = 0").select("document_id"))
+    return found.postings().filter("field <> 'han'").select("field", "token", "chunk_id", "tf")
+
+
 _TERM_CTES = f"""item AS (SELECT item_id AS id, text FROM benchmark), q AS (SELECT id, lower({base.COLLAPSED}) AS t FROM item), x AS (SELECT id, t, {_TECHNICAL_SQL} AS tech0, regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+') AS words FROM q),
     y AS (SELECT id, words, list_filter(tech0, lambda v, i: list_position(tech0, v) = i) AS tech FROM x),
     each AS (SELECT id, unnest(tech) AS term, generate_subscripts(tech, 1) AS pos, 'tech' AS kind FROM y UNION ALL SELECT id, unnest(words), 1000 + generate_subscripts(words, 1), 'latin' FROM y),

@@ -6,9 +6,10 @@ recomputation of everything before it.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,24 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
 
 
+def kept_folder(spark: SparkSession, label: str, *paths: str) -> str:
+    """A folder of this application for what is made of the tables at ``paths``: the same as long as their files have the same names, sizes and times."""
+    seen = [label]
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        seen += [path, *sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in store.listStatus(at))]
+    return f"{_own_folder(spark)}/{label}-{hashlib.sha256(chr(10).join(seen).encode()).hexdigest()[:24]}"
+
+
+def kept(spark: SparkSession, folder: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gave when it was written to this folder, which happens once; a write that broke off is done again."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        make().write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again."""
     spark = df.sparkSession

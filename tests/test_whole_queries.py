@@ -87,13 +87,18 @@ def flat(found):
 
 def test_bm25(spark, small):
     assert max(N.values()) > 8
-    assert got(spark, small, "bm25_topk_whole", "score", "rank") == flat(best(SCORE, 8))
+    assert got(spark, small, "bm25_topk", "score", "rank") == flat(best(SCORE, 8))
 
 
-@pytest.mark.parametrize("name,minimum", [("and_match", lambda n: n), ("min_should_match", least), ("explicit_or", lambda n: 1)])
+@pytest.mark.parametrize("name,minimum", [("and_match", lambda n: n), ("min_should_match", least)])
 def test_matches(spark, small, name, minimum):
     expected = {k: (h,) for k, h in HITS.items() if h >= minimum(N[k[0]])}
-    assert got(spark, small, f"{name}_whole", "hits") == flat(expected)
+    assert got(spark, small, name, "hits") == flat(expected)
+
+
+def test_any_term(spark, small):
+    expected = best(SCORE, 40)
+    assert got(spark, small, "explicit_or", "hits", "score", "rank") == flat({k: (HITS[k], *v) for k, v in expected.items()})
 
 
 def test_ladder(spark, small):
@@ -104,14 +109,14 @@ def test_ladder(spark, small):
     found = best({k: SCORE[k] for k, s in step.items() if s and s == lowest[k[0]]}, 8)
     names = {1: "phrase", 2: "all", 3: "minimum_match"}
     assert len(set(lowest.values())) > 1
-    assert got(spark, small, "ladder_first_nonempty_whole", "score", "rank", "step") == flat({k: (*v, names[lowest[k[0]]]) for k, v in found.items()})
+    assert got(spark, small, "ladder_first_nonempty", "score", "rank", "step") == flat({k: (*v, names[lowest[k[0]]]) for k, v in found.items()})
 
 
 def test_substrings(spark, small):
     chars = {(q, d): sum(len(c) - len(c.replace(t, "")) for t in set(toks(x))) for q, x in ITEMS for d, c in LOW.items()}
-    assert got(spark, small, "keyword_score_topk_whole", "score", "rank") == flat(best({k: s for k, s in chars.items() if s}, 8))
+    assert got(spark, small, "keyword_score_topk", "score", "rank") == flat(best({k: s for k, s in chars.items() if s}, 8))
     coverage = {(q, d): (sum(t in c for t in set(toks(x))),) for q, x in ITEMS for d, c in LOW.items()}
-    assert got(spark, small, "coverage_filter_whole", "coverage") == flat({k: v for k, v in coverage.items() if v[0] >= 2})
+    assert got(spark, small, "coverage_filter", "coverage") == flat({k: v for k, v in coverage.items() if v[0] >= max(least(N[k[0]]), 1)})
 
 
 def test_fusion(spark, small):
@@ -122,14 +127,14 @@ def test_fusion(spark, small):
             plain[k] += 1 / (60 + rank)
             heavy[k] += weight / (60 + rank)
             first[k] = max(first.get(k, (-99, 0.0)), (40 - rank, -weight))
-    assert got(spark, small, "rrf_fusion_whole", "score") == flat({k: (v,) for k, v in plain.items()})
-    assert got(spark, small, "weighted_rrf_whole", "score") == flat({k: (v,) for k, v in heavy.items()})
-    assert got(spark, small, "best_by_chunk_whole", "score", "variant") == flat({k: (s, -v) for k, (s, v) in first.items()})
+    assert got(spark, small, "rrf_fusion", "score") == flat({k: (v,) for k, v in plain.items()})
+    assert got(spark, small, "weighted_rrf", "score") == flat({k: (v,) for k, v in heavy.items()})
+    assert got(spark, small, "best_by_chunk", "score", "variant") == flat({k: (s, -v) for k, (s, v) in first.items()})
     top, boosted = best(SCORE, 8), {}
     for (q, d), (s, _) in top.items():
         mine = [k for k in top if k[0] == q]
         boosted[q, d] = (s + 0.05 * max(max(SCORE[k] for k in mine), 1e-9) * HITS[q, d] / max(HITS[k] for k in mine),)
-    assert got(spark, small, "lexical_boost_whole", "boosted") == flat(boosted)
+    assert got(spark, small, "lexical_boost", "boosted") == flat(boosted)
 
 
 def test_context(spark, small):
@@ -149,9 +154,9 @@ def test_context(spark, small):
                 used[q, d] = (total, total > 2000)
         chosen = {d for r, d in hits if r <= 4}
         near += [(q, d) for _, d in hits if d not in chosen and any(d % 7 == c % 7 and abs(d // 7 - c // 7) == 1 for c in chosen)]
-    assert got(spark, small, "diversify_round_robin_whole", "place") == flat(placed)
-    assert got(spark, small, "token_pack_prefix_whole", "used", "truncated") == flat(used)
-    assert got(spark, small, "neighbor_expand_whole") == sorted(near)
+    assert got(spark, small, "diversify_round_robin", "place") == flat(placed)
+    assert got(spark, small, "token_pack_prefix", "used", "truncated") == flat(used)
+    assert got(spark, small, "neighbor_expand") == sorted(near)
 
 
 def test_planned_ladder_sees_whole_texts(spark, tmp_path):
@@ -183,7 +188,7 @@ def mixed(spark, tmp_path_factory):
 
 def test_technical_terms_of_documents(spark, mixed):
     d, docs = mixed
-    found = {r.id: r.terms for r in catalogue.QUERIES["technical_terms_whole"](spark, d).collect()}
+    found = {r.id: r.terms for r in catalogue.QUERIES["technical_terms"](spark, d).collect()}
     collapsed = {i: re.sub(r"\s+", " ", t or "").strip().lower() for i, t in docs.items()}
     assert {i: found[i] for i in docs} == {i: "|".join(sorted({m for p in TECHNICAL for m in re.findall(p, t, re.A)})) for i, t in collapsed.items()}
     assert len(found) == len(catalogue.TEXTS) + 3 + len(docs)
@@ -197,7 +202,7 @@ def test_soft_normalised_documents(spark, mixed):
             t = re.sub(a, b, t)
         return t
 
-    found = {r.id: r.text for r in catalogue.QUERIES["soft_normalize_whole"](spark, d).collect()}
+    found = {r.id: r.text for r in catalogue.QUERIES["soft_normalize"](spark, d).collect()}
     assert {i: found[i] for i in docs} == {i: None if t is None else plain(t) for i, t in docs.items()}
 
 
@@ -237,9 +242,9 @@ def test_metrics_against_all_documents_that_hold_the_text(spark, small):
         one = lambda k: float(bool(at) and at[0] <= k)
         gain = sum(1 / math.log2(r + 1) for r in at) / gains(min(len(relevant), 10))
         expected[q] = (one(5), one(8), round(1 / at[0], 6) if at else 0.0, round(gain, 6), one(1))
-    rows = catalogue.QUERIES["recall_mrr_ndcg_whole"](spark, small).collect()
+    rows = catalogue.QUERIES["recall_mrr_ndcg"](spark, small).collect()
     assert metrics(rows) == expected and {e[4] for e in expected.values()} == {0.0, 1.0}
-    groups = {r.category: (r.cases, round(r.ndcg, 6)) for r in catalogue.QUERIES["eval_by_category_whole"](spark, small).collect()}
+    groups = {r.category: (r.cases, round(r.ndcg, 6)) for r in catalogue.QUERIES["eval_by_category"](spark, small).collect()}
     for g in range(4):
         mine = [r.ndcg for r in rows if r.case_id % 4 == g]
         assert groups[f"g{g}"] == (len(mine), round(sum(mine) / len(mine), 6))
@@ -249,7 +254,7 @@ def test_a_missed_document_costs_score(spark, tmp_path):
     docs = [(i, f"Some Alpha beta {'x ' * i}") for i in range(12)] + [(50, "xgamma deltax"), (51, "none")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "alpha Beta"), (2, "gamma delta"), (3, "absent")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    found = metrics(catalogue.QUERIES["recall_mrr_ndcg_whole"](spark, str(tmp_path)).collect())
+    found = metrics(catalogue.QUERIES["recall_mrr_ndcg"](spark, str(tmp_path)).collect())
     assert found[1] == (1.0, 1.0, 1.0, round(gains(8) / gains(10), 6), 1.0)
     assert found[2] == (0.0,) * 5
     assert found[3] == (1.0,) * 5
@@ -265,7 +270,7 @@ def test_weighted_fields(spark, tmp_path):
     items = [(1, "反向代理"), (2, "server of node.js"), (3, "server 代理 知识 v1.2.3"), (4, "!!"), (5, "404")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
-    index = catalogue.QUERIES["field_postings_whole"](spark, d).collect()
+    index = catalogue.QUERIES["field_postings"](spark, d).collect()
     assert {r.field for r in index} == {"exact", "zh", "en", "mixed"}
     of_query = catalogue.lexical.postings(spark.createDataFrame(items, "chunk_id long, content string")).collect()
     weights, seen = {"exact": 8, "zh": 3, "en": 3, "mixed": 2}, {1: {"zh", "mixed", "exact"}, 2: {"en", "mixed", "exact"}, 3: set("exact zh en mixed".split())}
