@@ -46,10 +46,14 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def first_copies(rows: DataFrame, content: str, created: str, key: str) -> DataFrame:
-    """Of rows with equal content the earliest: one pre-aggregated row for each hash meets the rows again, so a frequent content stays spread."""
+    """Of rows with equal content the earliest, with the content's hash and how many rows have it.
+
+    One pre-aggregated row for each hash names the row that stays; they meet by its key
+    and hash, so a frequent content stays spread.
+    """
     hashed = rows.withColumn("hash", F.sha2(F.col(content), 256))
     keep = hashed.groupBy("hash").agg(F.min(F.struct(created, key)).alias("_keep"), F.count("*").alias("copies"))
-    return hashed.join(keep, "hash").filter(F.col(key) == F.col(f"_keep.{key}")).drop("_keep")
+    return hashed.join(keep.select("hash", F.col(f"_keep.{key}").alias(key), "copies"), [key, "hash"])
 
 
 def coalesced_vectors(chunks: DataFrame, builds: DataFrame, entries: DataFrame) -> DataFrame:

@@ -299,9 +299,13 @@ def hans_hant_variants(spark, sf_dir):
     return texts(spark, sf_dir).select("id", F.array_join(F.sort_array(fn.hans_hant_variants(F.col("text"))), "|").alias("variants"))
 
 
-@query("minimum_tables", f"SELECT n, CAST({MINIMUM_SQL} AS BIGINT) AS words, CAST(CASE WHEN n <= 3 THEN n WHEN n <= 6 THEN (n * 3 + 3) // 4 ELSE (n * 3 + 4) // 5 END AS BIGINT) AS bigrams FROM range(0, 41) AS t(n)")
+@query("minimum_tables", f"""WITH d AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\s]+')) % 41 AS n FROM documents)
+    SELECT doc_id, n, CAST({MINIMUM_SQL} AS BIGINT) AS words, CAST(CASE WHEN n <= 3 THEN n WHEN n <= 6 THEN (n * 3 + 3) // 4 ELSE (n * 3 + 4) // 5 END AS BIGINT) AS bigrams FROM d""")
 def minimum_tables(spark, sf_dir):
-    return spark.range(41).select(F.col("id").alias("n"), fn.minimum_should_match(F.col("id")).alias("words"), fn.minimum_bigrams(F.col("id")).alias("bigrams"))
+    """For as many terms as each document has words, modulo 41."""
+    n = (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\s]+")) % 41).cast("long")
+    counted = table(spark, sf_dir, "documents").select("doc_id", n.alias("n"))
+    return counted.select("doc_id", "n", fn.minimum_should_match(F.col("n")).alias("words"), fn.minimum_bigrams(F.col("n")).alias("bigrams"))
 
 
 @query("markdown_headings", f"""WITH {TEXTS_SQL}, l AS (SELECT id, text, list_transform(string_split(text, chr(10))[1:8], lambda x: trim(regexp_replace(regexp_extract(regexp_replace(x, '\\s+$', ''), '^#{{1,6}}\\s+(.+?)\\s*$', 1), '\\s+#+\\s*$', ''))) AS titles FROM texts)
@@ -366,9 +370,16 @@ def url_safety(spark, sf_dir):
 PATHS = [(1, "a/b.txt"), (2, "/etc/x"), (3, "a/../b"), (4, ""), (5, "C:\\x"), (6, "..\\y"), (7, "a..b/c")]
 
 
-@query("path_safety", f"SELECT CAST(id AS BIGINT) AS id, length(trim(p)) > 0 AND NOT regexp_matches(replace(p, chr(92), '/'), '^/|^[A-Za-z]:|(^|/)\\.\\.(/|$)') AS safe FROM {values(PATHS, 'id, p')}")
+@query("path_safety", f"""WITH p AS (SELECT CAST(id AS BIGINT) AS id, p FROM {values(PATHS, 'id, p')} UNION ALL
+    SELECT page_id + 1000, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^https?://', '') WHEN 2 THEN regexp_replace(url, '^https?:/', '') WHEN 3 THEN regexp_replace(url, '^https?://', 'C:') ELSE replace(regexp_replace(url, '^https?://', 'a/../'), '/', chr(92)) END FROM pages)
+    SELECT id, length(trim(p)) > 0 AND NOT regexp_matches(replace(p, chr(92), '/'), '^/|^[A-Za-z]:|(^|/)\\.\\.(/|$)') AS safe FROM p""")
 def path_safety(spark, sf_dir):
-    return literals(spark, PATHS, "id long, path string").select("id", fn.is_safe_relative_path(F.col("path")).alias("safe"))
+    """Addresses of pages as paths: as they are, relative, absolute, on a drive, and leading upwards."""
+    of = lambda start: F.regexp_replace("url", "^https?://", start)
+    kinds = [F.col("url"), of(""), F.regexp_replace("url", "^https?:/", ""), of("C:"), F.replace(of("a/../"), F.lit("/"), F.lit("\\"))]
+    path = F.element_at(F.array(*kinds), (F.col("page_id") % 5 + 1).cast("int"))
+    every = literals(spark, PATHS, "id long, path string").unionByName(table(spark, sf_dir, "pages").select((F.col("page_id") + 1000).alias("id"), path.alias("path")))
+    return every.select("id", fn.is_safe_relative_path(F.col("path")).alias("safe"))
 
 
 @query("web_page_text")
@@ -636,11 +647,13 @@ def history_trim(spark, sf_dir):
     return context.trimmed_history(table(spark, sf_dir, "conversations"), 200).select("conv_id", "turn", "used", "truncated")
 
 
-@query("context_budget", """WITH w AS (SELECT i, i * 100 AS win, i * 7 AS sys, i * 11 AS outp FROM range(1, 200) AS t(i)), r AS (SELECT i, greatest(256, greatest(1024, win) - sys - outp - 64) AS rem FROM w)
-    SELECT i AS id, CAST(greatest(128, floor(rem * 0.45::DOUBLE)) AS BIGINT) AS knowledge, CAST(greatest(128, rem - greatest(128, floor(rem * 0.45::DOUBLE))) AS BIGINT) AS history FROM r""")
+@query("context_budget", """WITH w AS (SELECT conv_id, turn, length(coalesce(text, '')) * 20 AS win, turn * 40 AS sys, length(coalesce(text, '')) * 3 AS outp FROM conversations), r AS (SELECT conv_id, turn, greatest(256, greatest(1024, win) - sys - outp - 64) AS rem FROM w)
+    SELECT conv_id, turn, CAST(greatest(128, floor(rem * 0.45::DOUBLE)) AS BIGINT) AS knowledge, CAST(greatest(128, rem - greatest(128, floor(rem * 0.45::DOUBLE))) AS BIGINT) AS history FROM r""")
 def context_budget(spark, sf_dir):
-    parts = context.budget(F.col("id") * 100, F.col("id") * 7, F.col("id") * 11)
-    return spark.range(1, 200).select("id", *[c.alias(n) for n, c in parts.items()])
+    """A window by the length of each message, of which the prompt takes more with every turn."""
+    n = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    parts = context.budget(n * 20, F.col("turn").cast("long") * 40, n * 3)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[c.alias(name) for name, c in parts.items()])
 
 
 @query("citation_excerpt")

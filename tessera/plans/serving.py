@@ -15,11 +15,11 @@ from tessera.sources import chunks as chunking
 # ---- scope -------------------------------------------------------------------------------------
 
 
-def requests(spark):
-    """Requests of all shapes, made from their number."""
+def requests(spark, sf_dir):
+    """A request of some shape for every order, made from its number."""
     i = F.col("id")
     mode = F.element_at(F.array(*[F.lit(m) for m in ("none", "sources", "documents", "all")]), (i % 4 + 1).cast("int"))
-    return spark.range(210).select(
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id")).select(
         i.alias("request_id"), mode.alias("mode"), (i % 3 == 0).alias("library_all"), F.when(i % 5 < 3, F.array(i.cast("string"), F.lit(""), (i + 1).cast("string"))).alias("document_ids"),
         F.when(i % 2 == 0, F.concat(F.lit("c"), i.cast("string"))).alias("files_conversation"), F.when(i % 7 < 4, F.array(F.concat(F.lit("f"), i.cast("string")), F.lit(""))).alias("file_ids"),
         F.when(i % 6 < 3, F.concat(F.lit(" t"), i.cast("string"))).when(i % 6 == 4, " ").alias("conversation_id"),
@@ -27,7 +27,7 @@ def requests(spark):
 
 
 REQUESTS_SQL = """r AS (SELECT id AS request_id, ['none', 'sources', 'documents', 'all'][id % 4 + 1] AS mode, id % 3 = 0 AS library_all, CASE WHEN id % 5 < 3 THEN id || ',' || (id + 1) END AS documents,
-    CASE WHEN id % 2 = 0 THEN 'c' || id END AS conversation, CASE WHEN id % 7 < 4 THEN 'f' || id END AS files, CASE WHEN id % 6 < 3 THEN 't' || id END AS own FROM range(210) AS t(id)),
+    CASE WHEN id % 2 = 0 THEN 'c' || id END AS conversation, CASE WHEN id % 7 < 4 THEN 'f' || id END AS files, CASE WHEN id % 6 < 3 THEN 't' || id END AS own FROM (SELECT CAST(o_orderkey AS BIGINT) AS id FROM orders)),
   s AS (SELECT *, mode = 'all' OR (mode = 'sources' AND library_all) AS everything, CASE WHEN mode = 'documents' OR (mode = 'sources' AND NOT library_all) THEN documents END AS ids,
     mode = 'sources' AND conversation IS NOT NULL AND files IS NOT NULL AS attached FROM r)"""
 
@@ -39,13 +39,13 @@ def _plain(found):
 @query("scope_normalise", f"""WITH {REQUESTS_SQL} SELECT request_id, CASE WHEN everything OR ids IS NOT NULL OR attached THEN 'sources' ELSE 'none' END AS mode, everything AS library_all, ids AS document_ids,
     CASE WHEN attached THEN conversation END AS files_conversation, CASE WHEN attached THEN files END AS file_ids FROM s""")
 def scope_normalise(spark, sf_dir):
-    return _plain(scope.normalised(requests(spark)))
+    return _plain(scope.normalised(requests(spark, sf_dir)))
 
 
 @query("scope_tighten", f"""WITH {REQUESTS_SQL} SELECT request_id, CASE WHEN everything OR ids IS NOT NULL OR (own IS NOT NULL AND files IS NOT NULL) THEN 'sources' ELSE 'none' END AS mode, everything AS library_all, ids AS document_ids,
     CASE WHEN files IS NOT NULL THEN own END AS files_conversation, CASE WHEN own IS NOT NULL THEN files END AS file_ids FROM s""")
 def scope_tighten(spark, sf_dir):
-    return _plain(scope.tightened(requests(spark)))
+    return _plain(scope.tightened(requests(spark, sf_dir)))
 
 
 @query("scope_from_attachments", """WITH a AS (SELECT l_orderkey AS request_id, CASE WHEN l_orderkey % 3 <> 0 THEN 'c' || l_orderkey END AS conversation, ['library', 'conversation_file', 'document', 'picture', 'all'][l_linenumber % 5 + 1] AS kind,
@@ -69,7 +69,7 @@ def attached(spark, sf_dir):
 
 @query("conversation_file_chunks", f"""WITH {REQUESTS_SQL} SELECT request_id, conv_id * 100 + turn AS chunk_id, coalesce(text, '') AS content FROM s JOIN conversations ON own = 't' || conv_id AND files = 'f' || conv_id""")
 def conversation_file_chunks(spark, sf_dir):
-    return scope.conversation_chunks(attached(spark, sf_dir), scope.tightened(requests(spark))).select("request_id", "chunk_id", "content")
+    return scope.conversation_chunks(attached(spark, sf_dir), scope.tightened(requests(spark, sf_dir))).select("request_id", "chunk_id", "content")
 
 
 @query("open_chunks", f"""WITH {REQUESTS_SQL}, a AS (SELECT s.*, CASE WHEN request_id % 3 = 1 THEN request_id * 100 ELSE request_id END AS chunk_id FROM s),
@@ -80,7 +80,7 @@ def conversation_file_chunks(spark, sf_dir):
     SELECT request_id, chunk_id, CASE WHEN reason IS NULL THEN CASE WHEN inside THEN 'library' ELSE 'conversation_file' END END AS source, CASE WHEN reason IS NULL THEN CASE WHEN inside THEN coalesce(text, '') ELSE coalesce(said, '') END END AS content, reason FROM j""")
 def open_chunks(spark, sf_dir):
     """Even documents are in the library; conversations have chunks of their own, whose ids may also be documents'."""
-    asked = scope.tightened(requests(spark)).withColumn("chunk_id", F.when(F.col("request_id") % 3 == 1, F.col("request_id") * 100).otherwise(F.col("request_id")))
+    asked = scope.tightened(requests(spark, sf_dir)).withColumn("chunk_id", F.when(F.col("request_id") % 3 == 1, F.col("request_id") * 100).otherwise(F.col("request_id")))
     return scope.opened(asked, base.chunks(spark, sf_dir).filter("chunk_id % 2 = 0"), attached(spark, sf_dir))
 
 
@@ -212,11 +212,26 @@ LINES = [
 ]
 
 
-@query("recognised_lines", """SELECT * FROM (VALUES ('r1', 1, 'first' || chr(10) || 'second', 2, 'w', NULL), ('r2', 1, NULL, NULL, NULL, 'OCR_TIMEOUT'), ('r3', 1, NULL, NULL, NULL, 'OCR_HELPER_PROTOCOL_ERROR'), ('r4', 2, NULL, NULL, NULL, 'OCR_HELPER_PROTOCOL_ERROR'),
+def _recognised(spark, sf_dir):
+    """A recogniser's answer for every document: its lines as blocks, from the last to the first, some with a box that can't be."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    box = lambda i: F.struct(*[x.cast("double").alias(n) for n, x in (("x", F.lit(0.1)), ("y", F.lit(0.2)), ("width", F.when(i % 7 == 6, -1.0).otherwise(0.2)), ("height", F.lit(0.1)))])
+    blocks = F.transform(lines, lambda t, i: F.struct(t.alias("text"), box(i).alias("bbox"), (F.lit(1_000_000) - i).alias("readingOrder")))
+    answer = F.struct(F.when(F.col("doc_id") % 9 == 0, 2).otherwise(1).alias("protocolVersion"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("requestId"), (F.col("doc_id") % 8 != 5).alias("ok"), F.lit("OCR_TIMEOUT").alias("code"), F.lit(1).alias("pageNumber"), blocks.alias("blocks"))
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("request_id"), F.when(F.col("doc_id") % 10 == 7, 2).otherwise(1).alias("page"), F.to_json(answer).alias("line"))
+
+
+@query("recognised_lines", """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    k AS (SELECT doc_id, lines, list_reverse(list_filter(lines, lambda x, i: (i - 1) % 7 <> 6)) AS kept, len(list_filter(lines, lambda x: length(x) > 8000)) > 0 AS long FROM l),
+    e AS (SELECT *, array_to_string(kept, chr(10)) AS text, CASE WHEN doc_id % 9 = 0 THEN 'OCR_HELPER_PROTOCOL_ERROR' WHEN doc_id % 8 = 5 THEN 'OCR_TIMEOUT' WHEN doc_id % 10 = 7 OR long OR length(array_to_string(kept, chr(10))) > 100000 THEN 'OCR_HELPER_PROTOCOL_ERROR' END AS error FROM k)
+    SELECT 'd' || doc_id AS request_id, CASE WHEN doc_id % 10 = 7 THEN 2 ELSE 1 END AS page, CASE WHEN error IS NULL THEN md5(text) END AS text, CASE WHEN error IS NULL THEN CAST(len(kept) AS INTEGER) END AS n_blocks,
+      CASE WHEN error IS NULL THEN array_to_string(list_transform(range(len(lines) - len(kept)), lambda i: 'skipped_invalid_bbox'), ',') END AS warnings, error FROM e
+    UNION ALL SELECT request_id, page, md5(text), n_blocks, warnings, error FROM (VALUES ('r1', 1, 'first' || chr(10) || 'second', 2, 'w', NULL), ('r2', 1, NULL, NULL, NULL, 'OCR_TIMEOUT'), ('r3', 1, NULL, NULL, NULL, 'OCR_HELPER_PROTOCOL_ERROR'), ('r4', 2, NULL, NULL, NULL, 'OCR_HELPER_PROTOCOL_ERROR'),
     ('r5', 1, 'kept', 1, 'skipped_invalid_bbox', NULL), ('r6', 1, NULL, NULL, NULL, 'OCR_HELPER_PROTOCOL_ERROR'), ('r7', 1, NULL, NULL, NULL, 'OCR_HELPER_PROTOCOL_ERROR'), ('r8', 1, '', 0, '', NULL), ('r9', 1, NULL, NULL, NULL, 'OCR_HELPER_PROTOCOL_ERROR'))
     AS t(request_id, page, text, n_blocks, warnings, error)""")
 def recognised_lines(spark, sf_dir):
-    return ocr.parsed_lines(literals(spark, LINES, "request_id string, page int, line string")).withColumn("warnings", F.array_join("warnings", ","))
+    lines = literals(spark, LINES, "request_id string, page int, line string").unionByName(_recognised(spark, sf_dir))
+    return ocr.parsed_lines(lines).withColumn("warnings", F.array_join("warnings", ",")).withColumn("text", F.md5("text"))
 
 
 def _page_blocks(spark, sf_dir):
@@ -351,9 +366,28 @@ ANSWERS = [
 ]
 
 
-@query("rewrite_payloads", """SELECT * FROM (VALUES (CAST(1 AS BIGINT), NULL, 'reverse proxy|nginx', 'forward proxy'), (2, 'net', 'a1|b2|c3|d4|e5|f6', ''), (5, NULL, '', 'one|two|three|four'), (8, NULL, '', 'zz')) AS t(id, domain, synonyms, exclude)""")
+def _answers(spark, sf_dir):
+    """A model's answer for every document, of words of its text, in the shapes that answers have."""
+    w = fn.tokens(F.coalesce("text", F.lit("")))
+    quoted = lambda i, n: F.concat(F.lit('["'), F.array_join(F.slice("w", i, n), '", "'), F.lit('"]'))
+    fenced = F.concat(F.lit('```json\n{"synonyms": '), quoted(1, 3), F.lit(', "exclude": '), quoted(4, 1), F.lit("}\n```"))
+    wordy = F.concat(F.lit('Sure: {"domain": " net ", "synonyms": '), quoted(1, 12), F.lit("} done"))
+    shapes = [fenced, wordy, F.concat(F.lit("no json "), F.get("w", F.lit(0))), F.concat(F.lit('{"synonyms": [], "exclude": '), quoted(1, 9), F.lit("}"))]
+    return table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).filter("size(w) >= 4").select((F.col("doc_id") + 1000).alias("id"), F.element_at(F.array(*shapes), (F.col("doc_id") % 4 + 1).cast("int")).alias("answer"))
+
+
+_LONG = "list_filter({}, lambda x: length(x) >= 2)"
+_ONCE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+
+
+@query("rewrite_payloads", f"""WITH d AS (SELECT doc_id, regexp_extract_all({base.FOLD.format("coalesce(text, '')")}, '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+    p AS (SELECT doc_id + 1000 AS id, CASE WHEN doc_id % 4 = 1 THEN 'net' END AS domain, {_LONG.format("CASE doc_id % 4 WHEN 0 THEN w[1:3] WHEN 1 THEN w[1:12] ELSE [] END")} AS s, {_LONG.format("CASE doc_id % 4 WHEN 0 THEN w[4:4] WHEN 3 THEN w[1:9] ELSE [] END")} AS e FROM d WHERE len(w) >= 4 AND doc_id % 4 <> 2),
+    o AS (SELECT id, domain, ({_ONCE.format("s")})[1:6] AS s, ({_ONCE.format("e")})[1:4] AS e FROM p)
+    SELECT * FROM (VALUES (CAST(1 AS BIGINT), NULL, 'reverse proxy|nginx', 'forward proxy'), (2, 'net', 'a1|b2|c3|d4|e5|f6', ''), (5, NULL, '', 'one|two|three|four'), (8, NULL, '', 'zz')) AS t(id, domain, synonyms, exclude)
+    UNION ALL SELECT id, domain, array_to_string(s, '|'), array_to_string(e, '|') FROM o WHERE len(s) + len(e) > 0""")
 def rewrite_payloads(spark, sf_dir):
-    found = literals(spark, ANSWERS, "id long, answer string").withColumn("p", fn.rewrite_payload(F.col("answer"))).filter("p is not null")
+    answers = literals(spark, ANSWERS, "id long, answer string").unionByName(_answers(spark, sf_dir))
+    found = answers.withColumn("p", fn.rewrite_payload(F.col("answer"))).filter("p is not null")
     return found.select("id", "p.domain", F.array_join("p.synonyms", "|").alias("synonyms"), F.array_join("p.exclude", "|").alias("exclude"))
 
 
@@ -377,7 +411,7 @@ def merged_terms(spark, sf_dir):
 # ---- retrieval from end to end -------------------------------------------------------------------------
 
 
-@query("tier_resolution", """WITH c AS (SELECT i AS id, ['lite', 'auto', 'balanced', 'quality'][i % 4 + 1] AS asked, i // 4 % 2 = 0 AS embedding, CASE i // 8 % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS index_ready, i // 24 % 2 = 0 AS semantic, i // 48 % 2 = 0 AS reranker, i // 96 % 2 = 0 AS high, i // 192 % 3 AS memory FROM range(576) AS t(i)),
+@query("tier_resolution", """WITH c AS (SELECT i AS id, ['lite', 'auto', 'balanced', 'quality'][i % 4 + 1] AS asked, i // 4 % 2 = 0 AS embedding, CASE i // 8 % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS index_ready, i // 24 % 2 = 0 AS semantic, i // 48 % 2 = 0 AS reranker, i // 96 % 2 = 0 AS high, i // 192 % 3 AS memory FROM (SELECT CAST(p_partkey AS BIGINT) AS i FROM part)),
     r AS (SELECT *, embedding AND coalesce(index_ready, TRUE) AS ready, asked = 'quality' AS q FROM c),
     f AS (SELECT *, CASE WHEN asked = 'lite' OR NOT ready THEN 0 WHEN q AND reranker THEN 2 ELSE 1 END AS e FROM r), p AS (SELECT *, CASE WHEN e > 0 AND high THEN 0 ELSE e END AS x FROM f)
     SELECT id, ['lite', 'balanced', 'quality'][least(x, memory) + 1] AS effective, concat_ws(',', CASE WHEN asked <> 'lite' AND NOT ready THEN CASE WHEN embedding THEN 'VECTOR_INDEX_NOT_READY' WHEN NOT semantic THEN 'SEMANTIC_SEARCH_DISABLED' ELSE 'SEMANTIC_RUNTIME_UNAVAILABLE' END END,
@@ -392,7 +426,7 @@ def tier_resolution(spark, sf_dir):
         "pressure": pick(("high", "normal"), part(96, 2)), "memory": pick(engine.TIERS, part(192, 3)),
     }
     got = engine.tier(pick(("lite", "auto", "balanced", "quality"), part(1, 4)), caps)
-    return spark.range(576).select("id", got["effective"].alias("effective"), F.array_join(got["reasons"], ",").alias("reasons"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id")).select("id", got["effective"].alias("effective"), F.array_join(got["reasons"], ",").alias("reasons"))
 
 
 def item_vectors(spark, sf_dir):
