@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import citations, embedding
 from tessera.functions import text as fn
-from tessera.operators import engine, evaluation, fusion, index, lexical, ocr, rewrites, scope, sync, vectors, versions
+from tessera.operators import embedding_job, engine, evaluation, fusion, index, lexical, ocr, rewrites, scope, sync, vectors, versions
 from tessera.plans import catalogue as base
 from tessera.plans.catalogue import literals, query, table, values
 from tessera.plans.storage import new_folder
@@ -538,6 +538,64 @@ base.SQL["weighted_bm25_topk"] = f"""WITH {_CHUNKS}, {_field_ctes('chunk', 'd')}
     st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(length) AS mean FROM lens),
     s AS (SELECT query_id, chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 6) AS score FROM terms JOIN w USING (kind, token) JOIN freq USING (kind, token) JOIN lens USING (chunk_id), st GROUP BY ALL)
     SELECT query_id, chunk_id, score, rank FROM (SELECT *, {base.RANKED_SQL} AS rank FROM s) WHERE rank <= 8"""
+# ---- jobs and connectors -----------------------------------------------------------------------------------
+
+REFUSED = "[a-z0-9]@[a-z0-9]"
+
+
+@query("embed_job", f"""WITH {base.MANIFEST_SQL}, l AS (SELECT doc_id AS document_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), g AS (SELECT document_id, bool_and(NOT bad) AS ok, CAST(count(*) FILTER (bad) AS BIGINT) AS errors FROM (
+      SELECT document_id, regexp_matches(line, '{REFUSED}') OR NOT regexp_matches(line, '[\\p{{L}}\\p{{N}}]') AS bad FROM l WHERE regexp_matches(line, '[^\\s]')) GROUP BY document_id),
+    new AS (SELECT document_id, coalesce(last, document_id * 10) + 1 AS build_id, CASE WHEN ok THEN 'ready' ELSE 'failed' END AS status, ok AS is_active, 100 AS created_at FROM g LEFT JOIN (SELECT document_id, max(build_id) AS last FROM manifest GROUP BY ALL) USING (document_id)),
+    a AS (SELECT document_id, build_id, status, is_active, created_at AS moment FROM new UNION ALL SELECT m.document_id, m.build_id, CASE WHEN coalesce(ok, FALSE) AND m.is_active THEN 'superseded' ELSE m.status END, m.is_active AND NOT coalesce(ok, FALSE), coalesce(activated_at, created_at) FROM manifest m LEFT JOIN g USING (document_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY document_id, status ORDER BY moment DESC, build_id DESC) AS n FROM a)
+    SELECT document_id, build_id, status, is_active, coalesce(errors, 0) AS errors FROM r LEFT JOIN g USING (document_id) WHERE NOT coalesce(ok, FALSE) OR is_active OR status NOT IN ('failed', 'superseded') OR status = 'superseded' AND n = 1""")
+def embed_job(spark, sf_dir):
+    """Every line of every document is embedded by the stand-in, which refuses mail addresses; the manifest after the job and how many chunks of each document failed."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("chunk_id", "content")).filter(F.col("content").rlike(r"[^\s]"))
+    after, _, errors = embedding_job.run(lines, base.manifest(spark, sf_dir), lambda: embedding_job.HashedTerms(refused=REFUSED), embedding.DIMENSION, "stand-in", 100)
+    failed = errors.groupBy("document_id").agg(F.count("*").alias("errors"))
+    return after.join(failed, "document_id", "left").select("document_id", "build_id", "status", "is_active", F.coalesce("errors", F.lit(0)).alias("errors"))
+
+
+def _as_files(spark, sf_dir):
+    """Twenty documents to a file, with line ends, a mark at the start or bytes that aren't text in some; the ending goes by its number."""
+    g = F.floor(F.col("doc_id") / 20)
+    grouped = table(spark, sf_dir, "documents").groupBy(g.alias("g")).agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]).alias("texts"))
+    text = F.array_join("texts", "\n\n# next\n\n")
+    body = F.when(F.col("g") % 7 == 3, F.concat(F.lit("\ufeff"), text)).when(F.col("g") % 7 == 4, F.replace(text, F.lit("\n"), F.lit("\r\n"))).when(F.col("g") % 7 == 5, F.concat(F.repeat(F.lit("\x02"), 500), text)).when(F.col("g") % 7 == 6, F.concat(F.lit("%PDF-1.4 "), text)).otherwise(text)
+    ending = F.element_at(F.array(*[F.lit(x) for x in (".md", ".txt", ".Markdown", ".pdf", ".bin")]), (F.col("g") % 5 + 1).cast("int"))
+    return grouped.select(F.concat(F.lit("d"), (F.col("g") % 3).cast("string"), F.lit("/g"), F.col("g").cast("string"), ending).alias("path"), body.alias("body"))
+
+
+def _write_files(folder):
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, body in zip(*[c.to_pylist() for c in batch.columns]):
+                store.create_dir(f"{root}/{path.rpartition('/')[0]}", recursive=True)
+                with store.open_output_stream(f"{root}/{path}") as out:
+                    out.write(body.encode())
+            yield batch.select(["path"])
+
+    return run
+
+
+@query("folder_documents", """WITH f AS (SELECT doc_id // 20 AS g, string_agg(coalesce(text, ''), chr(10) || chr(10) || '# next' || chr(10) || chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY ALL),
+    b AS (SELECT g, CASE g % 7 WHEN 3 THEN chr(65279) || t WHEN 4 THEN replace(t, chr(10), chr(13) || chr(10)) WHEN 5 THEN repeat(chr(2), 500) || t WHEN 6 THEN '%PDF-1.4 ' || t ELSE t END AS body, t, ['.md', '.txt', '.Markdown', '.pdf', '.bin'][g % 5 + 1] AS ending FROM f),
+    k AS (SELECT *, CASE WHEN ending = '.bin' THEN NULL WHEN g % 7 = 6 THEN 'pdf' WHEN ending = '.pdf' OR g % 7 = 5 THEN NULL WHEN ending = '.txt' THEN 'text' ELSE 'markdown' END AS kind FROM b)
+    SELECT 'd' || (g % 3) || '/g' || g || ending AS path, kind, sha256(body) AS sha256, CASE WHEN kind <> 'pdf' THEN md5(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) END AS text FROM k WHERE kind IS NOT NULL""")
+def folder_documents(spark, sf_dir):
+    """Documents written as files into a folder, and what the connector reads there."""
+    from tessera.sources import folder
+
+    folder.register(spark)
+    root = new_folder(spark, "files")
+    _as_files(spark, sf_dir).mapInArrow(_write_files(root), "path string").write.format("noop").mode("overwrite").save()
+    return folder.documents(spark.read.format("text_folder").load(root)).withColumn("text", F.md5("text"))
+
+
 # ---- the kept index: phrases, ladders with fields and exact terms, commits ------------------------------------
 
 
