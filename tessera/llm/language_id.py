@@ -71,11 +71,12 @@ class ContextTrees:
         return out
 
 
-def grow(languages: list[str], language: np.ndarray, gram: np.ndarray, count: np.ndarray, least_seen: int = LEAST_SEEN, most: int = MOST_CONTEXTS) -> ContextTrees:
+def grow(languages: list[str], language: np.ndarray, gram: np.ndarray, count: np.ndarray, least_seen: int = LEAST_SEEN, most: int | None = MOST_CONTEXTS) -> ContextTrees:
     """Trees from counts of byte quadruples: ``gram`` holds the three bytes before and the byte.
 
     All languages share the contexts, so that one look-up serves them all; a language
-    that never saw a context passes through it to the next shorter one for free.
+    that never saw a context passes through it to the next shorter one for free. With
+    ``least_seen`` 0 and ``most`` None every context stays.
     """
     where = [(gram >> s) & 255 for s in (24, 16, 8, 0)]
     seen = np.unique(np.concatenate(where))
@@ -92,7 +93,8 @@ def grow(languages: list[str], language: np.ndarray, gram: np.ndarray, count: np
         keys, inverse = np.unique(key, return_inverse=True)
         total = np.bincount(inverse, weights=count)
         good = np.flatnonzero(total >= (least_seen if order > 1 else 0))
-        good = np.sort(good[np.argsort(-total[good], kind="stable")[: max(0, most - made)]])
+        if most is not None:
+            good = np.sort(good[np.argsort(-total[good], kind="stable")[: max(0, most - made)]])
         context = np.full(len(keys), -1)
         context[good] = made + np.arange(len(good))
         table = np.tile(deepest, a) if order else deepest
@@ -124,7 +126,7 @@ def _quadruples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
-def train(documents: DataFrame, modulus: int = 3, rest: int = 1, documents_in_all: int = SAMPLE_DOCUMENTS, per_language: int = SAMPLE_PER_LANGUAGE) -> ContextTrees | None:
+def train(documents: DataFrame, modulus: int = 3, rest: int = 1, documents_in_all: int = SAMPLE_DOCUMENTS, per_language: int = SAMPLE_PER_LANGUAGE, least_seen: int = LEAST_SEEN, most_contexts: int | None = MOST_CONTEXTS) -> ContextTrees | None:
     """Trees of all languages in ``lang``, from about ``per_language`` labelled documents of each outside the held-out part.
 
     The doc_ids with the smallest hashes are taken, so the choice depends on nothing
@@ -146,7 +148,7 @@ def train(documents: DataFrame, modulus: int = 3, rest: int = 1, documents_in_al
     languages = sorted(counts["lang"].unique().tolist())
     index = {x: i for i, x in enumerate(languages)}
     counts = counts.sort_values(["lang", "gram"])
-    return grow(languages, counts["lang"].map(index).to_numpy(), counts["gram"].to_numpy(), counts["n"].to_numpy().astype(np.float64))
+    return grow(languages, counts["lang"].map(index).to_numpy(), counts["gram"].to_numpy(), counts["n"].to_numpy().astype(np.float64), least_seen, most_contexts)
 
 
 _LETTER = re.compile(rb"[A-Za-z]")
@@ -182,7 +184,7 @@ def predict(documents: DataFrame, trees: ContextTrees | None, keep: list[str]) -
     return rows.mapInArrow(_predicted(shared), schema)
 
 
-def identify(documents: DataFrame, modulus: int = 3, rest: int = 1) -> DataFrame:
+def identify(documents: DataFrame, modulus: int = 3, rest: int = 1, least_seen: int = LEAST_SEEN, most_contexts: int | None = MOST_CONTEXTS) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; trained on the rows that aren't held out."""
-    scored = predict(documents, train(documents, modulus, rest), ["doc_id"])
+    scored = predict(documents, train(documents, modulus, rest, least_seen=least_seen, most_contexts=most_contexts), ["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id"), modulus, rest).alias("held_out"), "lang_pred", "score")

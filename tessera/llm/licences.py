@@ -66,16 +66,16 @@ _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _EXPRESSION_TOKEN = re.compile(r"\s*([()]|[a-z0-9][a-z0-9.\-]*\+?)")
 
 
-def to_postfix(expression: str) -> list[str] | None:
-    """Dijkstra's shunting-yard; None if the text doesn't start with a well-formed expression.
+def to_postfix(expression: str, start: int = 0, stop: int | None = None) -> list[str] | None:
+    """Dijkstra's shunting-yard over a part of a text; None if that doesn't start with a well-formed expression.
 
     Reading stops at the first character that can't belong to an expression, or at an
     operand that follows an operand.
     """
     out: list[str] = []
     held: list[str] = []
-    at, operand_next = 0, True
-    while m := _EXPRESSION_TOKEN.match(expression, at):
+    at, operand_next, stop = start, True, len(expression) if stop is None else stop
+    while m := _EXPRESSION_TOKEN.match(expression, at, stop):
         token = m[1]
         if token == "(":
             if not operand_next:
@@ -153,7 +153,7 @@ class LicenceScanner:
     def scan(self, text: bytes) -> tuple:
         """n_words, n_base, first_word, last_word, base labels, all labels, score, expressions, permissive."""
         words = text.translate(_WORD_BYTES).split()
-        line = (b" " + b" ".join(words) + b" ").decode()
+        line = (b" " + b" ".join(words) + b" ").decode("utf-8", "replace")
         places: list[int] = []
         base, labels, doubt, choices = set(), set(), 1.0, []
         at = counted = 0
@@ -182,13 +182,14 @@ class LicenceScanner:
         low = text.lower()
         if b"license" not in low or b":" not in low:  # every tag holds both
             return
-        lowered = low.decode()
+        lowered, stop = low.decode("utf-8", "replace"), 0
         for end, tag in self.tags.iter(lowered):
             before = lowered[max(0, end - len(tag)) : end - len(tag) + 1]
             if before.isascii() and before.isalnum():  # the end of a longer word
                 continue
-            stop = lowered.find("\n", end + 1)
-            postfix = to_postfix(lowered[end + 1 : stop if stop >= 0 else len(lowered)])
+            if stop <= end:  # the tags come in order: each line is measured once
+                stop = lowered.find("\n", end + 1) % (len(lowered) + 1)
+            postfix = to_postfix(lowered, end + 1, stop)
             if postfix and (found := evaluate(postfix)).labels:
                 yield found
 

@@ -10,7 +10,7 @@ weighted dot-product of demand and residual. A group leaves a bin or two partly
 filled, out of thousands.
 
 Defined cases: a null or empty text is the one id 1; repeated rows are packed as
-rows of their own; a null doc_id is passed on; further columns are ignored; an
+rows of their own; a null doc_id is passed on; bytes that aren't UTF-8 count as U+FFFD; further columns are ignored; an
 empty table gives an empty result; a text of any length is tokenised whole.
 """
 
@@ -140,7 +140,7 @@ class WordTokens:
         """Lower-case letters only, so that the word is one token of the pattern."""
         if word.isascii():
             return word.isalpha() and word.islower()
-        text = word.decode()
+        text = word.decode("utf-8", "replace")
         return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
 
     def _tokenise(self, words: list[bytes], hashes: np.ndarray) -> None:
@@ -158,7 +158,7 @@ class WordTokens:
                 self._keep(hashes[part], ids, np.diff(ends, prepend=0))
         for at in range(0, len(other), 1000):
             part = other[at : at + 1000]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([words[i].decode() for i in part], add_special_tokens=False)]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([words[i].decode("utf-8", "replace") for i in part], add_special_tokens=False)]
             self._keep(hashes[part], np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
 
     def learn(self, words: list[bytes], hashes: np.ndarray) -> None:

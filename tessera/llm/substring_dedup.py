@@ -127,7 +127,7 @@ def _settled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column(0), batch.column(1), pa.array(pending),
                 pa.array([len(x) for x in words], pa.int64()),
                 pa.array([None if p else _sha(x) for p, x in zip(pending, words)], pa.string()),
-                pa.array([x.decode() if p else None for p, x in zip(pending, texts)], pa.string()),
+                pa.array([x if p else None for p, x in zip(pending, texts)], pa.binary()).view(pa.string()),  # as they are, UTF-8 or not
                 batch.column(3),
             ],
             ["id", "doc_id", "pending", "n_words", "kept_sha256", "text", "anchors"],

@@ -351,3 +351,55 @@ def test_the_sum_of_squares_identity():
         names = sorted(x)
         pairs = sum(x[a] * x[b] * fm.factors[a] @ fm.factors[b] for k, a in enumerate(names) for b in names[k + 1 :])
         assert logit == pytest.approx(fm.offset + sum(fm.weights[a] * x[a] for a in names) + pairs)
+
+
+def test_scores_are_those_of_a_direct_convolution():
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{i}".encode() for i in range(30)]
+    hashes = sorted({h for w in vocabulary[:20] for h in toxicity.word_hashes(w)} - {0})
+    known = {h: i + 1 for i, h in enumerate(hashes)}
+    embedding = np.concatenate([np.zeros((1, toxicity.DIMENSIONS)), rng.normal(size=(len(hashes), toxicity.DIMENSIONS))]).astype(np.float32)
+    filters = [rng.normal(size=(w * toxicity.DIMENSIONS, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    net = toxicity.Network(known, embedding, filters, rng.normal(size=len(filters) * toxicity.FILTERS).astype(np.float32), rng.normal(size=len(filters) * toxicity.FILTERS).astype(np.float32), 0.3)
+    texts = [b" ".join(rng.choice(vocabulary, n)) for n in (1, 2, 3, 7, 40, 300)] + [None, b"", b"the and of", b"!!"]
+
+    def direct(text):
+        words = toxicity.words_of(text)
+        vectors = [embedding[[known.get(h, 0) for h in toxicity.word_hashes(w)]].sum(0) if w else embedding[0] for w in words]
+        vectors += [np.zeros(toxicity.DIMENSIONS)] * max(toxicity.WIDTHS)
+        pooled = [np.max([np.concatenate(vectors[i : i + w]) @ f for i in range(len(words))], axis=0) for w, f in zip(toxicity.WIDTHS, filters)]
+        return float(np.maximum(np.concatenate(pooled) + net.bias, 0) @ net.out + net.offset)
+
+    scorer = toxicity.Scorer(net)
+    for batch in (texts, texts[::-1], texts[:1]):
+        assert np.allclose(scorer(batch)[0], [direct(t) for t in batch], rtol=1e-4, atol=1e-3)
+
+
+@pytest.mark.parametrize("least_seen,most", [(0, None), (6, 20_000)])
+def test_exact_and_bounded_trees_tell_languages_apart(spark, least_seen, most):
+    rng = np.random.default_rng(3)
+    words = {"aa": "the of and house river stone", "bb": "le la et maison fleuve pierre"}
+    rows = [(i, " ".join(rng.choice(words[k].split(), 12)), k) for i, k in enumerate(["aa", "bb"] * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(df, least_seen=least_seen, most_contexts=most).collect()
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in got)
+
+
+def test_many_tags_in_one_line_take_linear_time():
+    import time
+
+    scanner, took = licences.LicenceScanner(), []
+    for n in (10_000, 80_000):
+        began = time.process_time()
+        assert len(list(scanner._expressions(b"license: mit " * n))) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * max(took[0], 0.02)
+
+
+def test_bytes_that_are_no_utf8(spark):
+    from tessera.llm import substring_dedup
+
+    rows = spark.createDataFrame([(i,) for i in range(3)], "doc_id long").selectExpr("doc_id", "cast(concat(cast(repeat('word \u00e9 mit ', 50) as binary), x'ff20e2820a', cast('license: mit' as binary)) as string) as text", "'s' as source")
+    assert {(r.n_words, r.labels) for r in licences.licence_scan(rows).collect()} == {(154, "mit")}
+    assert {(r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(rows).collect()} == {(154, 154)}
+    assert len({r.ids_crc32 for r in packing.pieces(rows).collect()}) == 1
