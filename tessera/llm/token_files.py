@@ -163,20 +163,41 @@ class ByteTokens:
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by the end id, and how many each text has."""
-        everything = b" ".join([x or b"" for x in texts])
-        sought = [x for x in APART if x in everything]
-        whole = [t for t, x in enumerate(texts) if x and any(y in x for y in sought)] if sought else []
-        if not whole:
-            return self._by_parts(texts)
+        whole = self._apart(texts)
         apart = set(whole)
-        ids, counts = self._by_parts([None if t in apart else x for t, x in enumerate(texts)])
+        places, ending = self._places([None if t in apart else x for t, x in enumerate(texts)])
+        ids, until = self._joined(places)
+        counts = np.diff(until[ending], prepend=0)
+        if not whole:
+            return ids, counts
         starts = (np.cumsum(counts) - counts)[whole]
         found = [x for t in whole for x in self._encoded([texts[t].decode("utf-8", "replace")])]
         sizes = np.array([len(x) for x in found])
         counts[whole] += sizes
         return np.insert(ids, np.repeat(starts, sizes), np.concatenate(found)), counts
 
-    def _by_parts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    def count(self, texts: list[bytes | None]) -> np.ndarray:
+        """How often each id is in :meth:`encode` of the texts: each part's ids are looked at once, however often it occurs."""
+        whole = self._apart(texts)
+        apart = set(whole)
+        places, _ = self._places([None if t in apart else x for t, x in enumerate(texts)])
+        occurrences = np.bincount(places, minlength=self.known)
+        used = np.flatnonzero(occurrences)
+        ids, _ = self._joined(used)
+        total = np.bincount(ids, np.repeat(occurrences[used], self.lengths[used]), self.size).astype(np.int64)
+        for t in whole:
+            total += np.bincount(self._encoded([texts[t].decode("utf-8", "replace")])[0], minlength=self.size)
+        return total
+
+    @staticmethod
+    def _apart(texts: list[bytes | None]) -> list[int]:
+        """The texts that are tokenised as a whole. Most steps lack the rarest byte of most of APART."""
+        everything = b" ".join([x or b"" for x in texts])
+        sought = [x for x in APART if (x[:1] if x[0] > 127 else x[-1:]) in everything and x in everything]
+        return [t for t, x in enumerate(texts) if x and any(y in x for y in sought)] if sought else []
+
+    def _places(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all parts one after another, and where in them each text ends."""
         raw, hashes, starts, ends, counts = self.hasher.located(texts)
         octets = np.frombuffer(raw, np.uint8)
         sizes = np.array([len(x or b"") for x in texts], np.int64)
@@ -217,10 +238,8 @@ class ByteTokens:
         where, text, order, place = [np.concatenate([np.array(c, np.int64), x]) for c, x in zip(pieces, (stops, np.arange(len(texts)), np.full(len(texts), 2), np.zeros(len(texts), np.int64)))]
         by = np.lexsort((order, text, where))  # stable: two pieces before one word keep their order
         everything = np.insert(places.astype(np.int64), where[by], place[by])
-        ids, until = self._joined(everything)
         ending = np.flatnonzero(order[by] == 2)
-        closes = until[where[by][ending] + ending]
-        return ids, np.diff(closes, prepend=0)
+        return everything, where[by][ending] + ending
 
 
 _TOKENS: dict[str, ByteTokens] = {}
@@ -282,7 +301,7 @@ def _counted(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, total = _tokens(path), None
         for _, texts in text_steps(batches):
-            found = np.bincount(tokens.encode(texts)[0], minlength=tokens.size)
+            found = tokens.count(texts)
             total = found if total is None else total + found
         if total is not None:
             seen = np.flatnonzero(total)

@@ -32,6 +32,7 @@ def test_ids_are_the_librarys(library):
         expected = [library(t) for t in [*batch, ""]]
         assert counts.tolist() == [len(x) for x in expected]
         assert ids.tolist() == [i for x in expected for i in x]
+        assert tokens.count([*[t.encode() for t in batch], None]).tolist() == np.bincount(ids, minlength=tokens.size).tolist()
 
 
 def test_ids_after_forgetting(library):
