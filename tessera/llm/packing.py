@@ -99,7 +99,7 @@ class WordTokens:
 
     _tail, _before_tail = b".,!%&#$*|?;:", frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
-    def __init__(self, path: str, limit: int = 2_500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -61,7 +61,7 @@ class ByteTokens:
     all is forgotten.
     """
 
-    def __init__(self, path: str, end: int = END, limit: int = 2_500_000, most_ids: int = 40_000_000):
+    def __init__(self, path: str, end: int = END, limit: int = 1_500_000, most_ids: int = 20_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
