@@ -55,3 +55,57 @@ def frame(blocks: Column, rules: str = "") -> Column:
     """Quoted chunks between marks that set them off as data; an empty text if there are none."""
     body = F.array_join(blocks, "\n\n")
     return F.when(F.size(blocks) == 0, "").otherwise(F.concat(F.lit(f"{rules}\n{OPEN_FRAME}\n".lstrip("\n")), body, F.lit(f"\n{CLOSE_FRAME}")))
+
+
+# Fixed value: a bracket with one or several markers.
+_GROUP = r"(?i)\[\s*(S[0-9]+(?:\s*[,，、;；]\s*S[0-9]+)*)\s*\]"
+_BLANK = r"[\s\x{00a0}\x{3000}\x{feff}]"
+
+
+def markers_of(x: Column, allowed: Column | None = None) -> Column:
+    """S1-style ids in the order of their first appearance, also from brackets with several; those of the array ``allowed``, if it is given."""
+    groups = F.regexp_extract_all(x, F.lit(_GROUP), 1)
+    ids = F.array_distinct(F.transform(F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(r"([0-9]+)"), 1))), lambda n: F.concat(F.lit("S"), n)))
+    return ids if allowed is None else F.filter(ids, lambda i: F.array_contains(allowed, i))
+
+
+def _line(line: Column, allowed: Column) -> Column:
+    """The line with its allowed markers, each in brackets of its own, at its end and no marker elsewhere."""
+    leading = F.regexp_extract(line, r"^([ \t]*)", 1)
+    body = F.regexp_replace(F.regexp_replace(line, r"^[ \t]*", ""), _GROUP, "")
+    body = F.regexp_replace(body, r"[ \t\x{00a0}\x{3000}]+([。．.！!？?；;，,])", "$1")
+    body = F.regexp_replace(F.regexp_replace(body, r"[ \t\x{00a0}\x{3000}]{2,}", " "), r"[ \t\x{00a0}\x{3000}]+$", "")
+    return F.concat(leading, body, F.array_join(F.transform(markers_of(line, allowed), lambda i: F.concat(F.lit("["), i, F.lit("]"))), ""))
+
+
+def canonical(x: Column, allowed: Column) -> Column:
+    """An answer whose markers stand at the ends of their lines; a line of nothing but markers joins the last line above it that isn't blank.
+
+    A fold over the lines of one text: what is above and including that line, and the blank lines behind it.
+    """
+    lines = F.transform(F.split(x, "\n"), lambda line: _line(line, allowed))
+    start = F.struct(F.lit("").alias("text"), F.lit("").alias("tail"), F.lit(False).alias("anchored"), F.lit("").alias("gap"))
+
+    def step(held: Column, line: Column) -> Column:
+        trimmed = F.regexp_replace(line, f"^{_BLANK}+|{_BLANK}+$", "")
+        joins = held["anchored"] & trimmed.rlike(r"^(?:\[S[0-9]+\])+$")
+        state = lambda text, tail, anchored: F.struct(text.alias("text"), tail.alias("tail"), anchored.alias("anchored"), F.lit("\n").alias("gap"))
+        return (
+            F.when(joins, state(F.concat(F.regexp_replace(held["text"], r"[ \t]+$", ""), trimmed), held["tail"], F.lit(True)))
+            .when(trimmed == "", state(held["text"], F.concat(held["tail"], held["gap"], line), held["anchored"]))
+            .otherwise(state(F.concat(held["text"], held["tail"], held["gap"], line), F.lit(""), F.lit(True)))
+        )
+
+    whole = F.aggregate(lines, start, step, lambda held: F.concat(held["text"], held["tail"]))
+    return F.regexp_replace(F.regexp_replace(whole, r"\n{3,}", "\n\n"), f"{_BLANK}+$", "")
+
+
+def linked(x: Column, allowed: Column) -> Column:
+    """Canonical text with each run of markers as one Markdown link to the allowed ones in it; a run without any stays."""
+    runs = F.split(x, r"(?<!\[S[0-9]{1,9}\])(?=\[S[0-9]+\])|(?<=\[S[0-9]{1,9}\])(?!\[S[0-9]+\])")
+
+    def one(part: Column) -> Column:
+        ids = markers_of(part, allowed)
+        return F.when(part.rlike(r"^(?:\[S[0-9]+\])+$") & (F.size(ids) > 0), F.concat(F.lit("[来源](citation:"), F.array_join(ids, ","), F.lit(")"))).otherwise(part)
+
+    return F.array_join(F.transform(runs, one), "")

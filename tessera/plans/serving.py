@@ -538,6 +538,17 @@ base.SQL["weighted_bm25_topk"] = f"""WITH {_CHUNKS}, {_field_ctes('chunk', 'd')}
     st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(length) AS mean FROM lens),
     s AS (SELECT query_id, chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 6) AS score FROM terms JOIN w USING (kind, token) JOIN freq USING (kind, token) JOIN lens USING (chunk_id), st GROUP BY ALL)
     SELECT query_id, chunk_id, score, rank FROM (SELECT *, {base.RANKED_SQL} AS rank FROM s) WHERE rank <= 8"""
+@query("canonical_citations")
+def canonical_citations(spark, sf_dir):
+    """Messages whose lines got markers by their numbers: within, alone on a line, in groups, and some that aren't allowed."""
+    marks = F.array(*[F.lit(x) for x in (" [S1, S2] and", "\n[S3][s2]\n", "", " [S9].", "\n \n[S1]\n[S4；S1]\n\n\n\nend")])
+    words = F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w, i: F.concat(w, F.when(i % 7 == 3, F.element_at(marks, ((i + F.col("turn")) % 5 + 1).cast("int"))).otherwise("")))
+    allowed = F.array(*[F.lit(f"S{i}") for i in range(1, 5)])
+    marked = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(words, " ").alias("marked"))
+    made = marked.withColumn("content", citations.canonical(F.col("marked"), allowed)).withColumn("ids", F.array_join(citations.markers_of(F.col("marked"), allowed), ","))
+    return made.withColumn("links", citations.linked(F.col("content"), allowed))
+
+
 # ---- jobs and connectors -----------------------------------------------------------------------------------
 
 REFUSED = "[a-z0-9]@[a-z0-9]"
