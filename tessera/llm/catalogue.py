@@ -14,12 +14,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for all cores, though their table has fewer files than there are cores: a small file is read by one task. Larger tables stay as they lie."""
+    documents, cores = _documents(spark, sf_dir), spark.sparkContext.defaultParallelism
+    return documents.repartition(cores) if len(documents.inputFiles()) < cores else documents
+
+
 def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.licence_scan(_documents(spark, sf_dir))
+    return licences.licence_scan(_spread(spark, sf_dir))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_documents(spark, sf_dir)).drop("rejected_by")
+    return quality_rules.quality_rules(_spread(spark, sf_dir)).drop("rejected_by")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +33,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.toxicity(_spread(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier.quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier.quality(_spread(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,11 +45,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir))
+    return packing.pack(_spread(spark, sf_dir))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(_documents(spark, sf_dir))
+    return language_id.identify(_spread(spark, sf_dir))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +57,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_documents(spark, sf_dir))
+    return mixing.mix(_spread(spark, sf_dir))
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +65,7 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(_documents(spark, sf_dir))
+    return token_files.round_trip(_spread(spark, sf_dir))
 
 
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
