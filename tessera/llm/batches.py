@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that one step in a Python worker holds at once (a single longer text is a step of its own).
 STEP_BYTES = 4 << 20
@@ -14,15 +15,15 @@ STEP_BYTES = 4 << 20
 def text_steps(batches: Iterable[pa.RecordBatch], column: str = "text", step_bytes: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches with about ``step_bytes`` of text each, and their texts as bytes."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).to_pylist()
+        column_of = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
+        lengths = pc.fill_null(pc.binary_length(column_of), 0).to_pylist()
         start = size = 0
-        for i, text in enumerate(texts):
-            size += len(text or b"")
-            if size >= step_bytes:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
+        for i, n in enumerate(lengths):
+            size += n
+            if size >= step_bytes or i + 1 == len(lengths):
+                # Only the step's texts become Python objects: a batch may hold many steps.
+                yield batch.slice(start, i + 1 - start), column_of.slice(start, i + 1 - start).to_pylist()
                 start, size = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
