@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,18 @@ def by_group(metrics: DataFrame, *keys: str) -> DataFrame:
     return metrics.groupBy(*keys).agg(F.count("*").alias("cases"), *[F.round(F.avg(c), 9).alias(c) for c in names])
 
 
+def by_strategy(cases: DataFrame, rankings: dict[str, DataFrame], relevant: DataFrame) -> DataFrame:
+    """strategy and the metrics of :func:`by_case` for every strategy's rankings (case_id, chunk_id, rank) and every case."""
+    each = [by_case(cases, df, relevant).select(F.lit(name).alias("strategy"), "*") for name, df in rankings.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+def as_rows(means: DataFrame, *keys: str) -> DataFrame:
+    """keys, metric, value of a table of means."""
+    names = [c for c in means.columns if c not in keys and c != "cases"]
+    return means.select(*keys, F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])))
+
+
 def summary(metrics: DataFrame) -> DataFrame:
     """One row of means over cases (category, gated, n_returned, and the metrics of :func:`by_case`).
 
@@ -101,9 +115,9 @@ def percentile(values: DataFrame, column: str, p: float, *keys: str) -> DataFram
 
 
 def gate(metrics: DataFrame, thresholds: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """metric, value, threshold, passed; ``thresholds``: metric, threshold, at_most."""
+    """``metrics`` (metric, value and what else they have) with threshold and passed; ``thresholds``: metric, threshold, at_most."""
     ok = F.when(F.col("at_most"), F.col("value") <= F.col("threshold") + tolerance).otherwise(F.col("value") >= F.col("threshold") - tolerance)
-    return metrics.join(thresholds, "metric").select("metric", "value", "threshold", ok.alias("passed"))
+    return metrics.join(thresholds, "metric").select(*metrics.columns, "threshold", ok.alias("passed"))
 
 
 def compare(before: DataFrame, after: DataFrame, keys: list[str], tolerance: float = 1e-9) -> DataFrame:

@@ -494,6 +494,47 @@ def eval_summary(spark, sf_dir):
     return evaluation.summary(metrics)
 
 
+_ZERO = "CASE WHEN n IS NULL THEN CASE WHEN t = 0 THEN 1.0 ELSE 0.0 END ELSE {} END"
+STRATEGIES_SQL = f"""{_LADDER_CTES}, rk AS (SELECT 'bm25' AS strategy, query_id AS case_id, chunk_id, rank FROM (SELECT *, {base.RANKED_SQL} AS rank FROM scored) WHERE rank <= 8
+      UNION ALL SELECT 'ladder', query_id, chunk_id, rank FROM (SELECT *, {base.RANKED_SQL} AS rank FROM best) WHERE rank <= 8
+      UNION ALL SELECT 'shared_terms', query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) AS rank FROM scored) WHERE rank <= 8),
+    rel AS (SELECT item_id AS case_id, doc_id AS chunk_id FROM benchmark b, documents d WHERE b.text <> '' AND contains(lower(d.text), lower(b.text))), nr AS (SELECT case_id, count(*) AS n FROM rel GROUP BY case_id), nt AS (SELECT strategy, case_id, count(*) AS t FROM rk GROUP BY ALL),
+    g AS (SELECT strategy, case_id, min(rank) AS first, sum(1 / log2(rank + 1)) AS gain FROM rk SEMI JOIN rel USING (case_id, chunk_id) GROUP BY ALL),
+    j AS (SELECT s.strategy, item_id AS case_id, n, coalesce(t, 0) AS t, first, gain FROM benchmark b CROSS JOIN (SELECT DISTINCT strategy FROM rk) s LEFT JOIN g ON g.case_id = item_id AND g.strategy = s.strategy LEFT JOIN nr ON nr.case_id = item_id LEFT JOIN nt ON nt.case_id = item_id AND nt.strategy = s.strategy),
+    m AS (SELECT strategy, {_ZERO.format("CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END")}::DOUBLE AS hit_5, {_ZERO.format("CASE WHEN first <= 8 THEN 1.0 ELSE 0.0 END")}::DOUBLE AS hit_8, round(coalesce({_ZERO.format("1::DOUBLE / first")}, 0), 9)::DOUBLE AS mrr,
+      round(coalesce({_ZERO.format("gain / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1)))")}, 0), 9)::DOUBLE AS ndcg, {_ZERO.format("CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END")}::DOUBLE AS top1 FROM j),
+    means AS (SELECT strategy, count(*) AS cases, round(avg(hit_5), 9) AS hit_5, round(avg(hit_8), 9) AS hit_8, round(avg(mrr), 9) AS mrr, round(avg(ndcg), 9) AS ndcg, round(avg(top1), 9) AS top1 FROM m GROUP BY strategy),
+    long AS (SELECT strategy, unnest(['hit_5', 'hit_8', 'mrr', 'ndcg', 'top1']) AS metric, unnest([hit_5, hit_8, mrr, ndcg, top1]) AS value FROM means)"""
+
+
+@query("eval_strategies", f"WITH {STRATEGIES_SQL} SELECT * FROM means")
+def eval_strategies(spark, sf_dir):
+    """Three strategies over the same cases: BM25, the ladder, and the number of shared terms."""
+    named = lambda df: df.select(F.col("query_id").alias("case_id"), "chunk_id", "rank")
+    shared = lexical.top(base.scored(spark, sf_dir).select("query_id", "chunk_id", F.col("hits").alias("score")), 8)
+    rankings = {"bm25": named(base.bm25_topk(spark, sf_dir)), "ladder": named(base.ladder_first_nonempty(spark, sf_dir)), "shared_terms": named(shared)}
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"))
+    return evaluation.by_group(evaluation.by_strategy(cases, rankings, base._holding(spark, sf_dir)), "strategy")
+
+
+# What a strategy must reach.
+GATES = [("hit_5", 0.75, False), ("hit_8", 0.75, False), ("mrr", 0.6, False), ("ndcg", 0.6, False)]
+
+
+@query("eval_gate", f"WITH {STRATEGIES_SQL} SELECT strategy, metric, value, threshold::DOUBLE AS threshold, value >= threshold - 1e-9 AS passed FROM long JOIN {values(GATES, 'metric, threshold, at_most')} USING (metric)")
+def eval_gate(spark, sf_dir):
+    means = evaluation.as_rows(eval_strategies(spark, sf_dir), "strategy")
+    return evaluation.gate(means, literals(spark, GATES, "metric string, threshold double, at_most boolean"))
+
+
+@query("eval_compare", f"WITH {STRATEGIES_SQL} SELECT b.metric, b.value AS before, a.value AS after, round(a.value - b.value, 9) AS delta, b.value - a.value > 1e-9 AS regressed FROM long b JOIN long a USING (metric) WHERE b.strategy = 'bm25' AND a.strategy = 'ladder'")
+def eval_compare(spark, sf_dir):
+    """The ladder against BM25, metric by metric."""
+    rows = evaluation.as_rows(eval_strategies(spark, sf_dir), "strategy")
+    of = lambda name: rows.filter(F.col("strategy") == name).drop("strategy")
+    return evaluation.compare(of("bm25"), of("ladder"), ["metric"])
+
+
 @query("fixture_errors", """WITH c AS (SELECT item_id AS id, ['exact', 'zh→en', 'nonsense'][item_id % 3 + 1] AS category, text AS query, [item_id, item_id * 1000003] AS relevant, item_id % 4 = 0 AS none FROM benchmark)
     SELECT 'bad_case' AS error, CAST(id AS VARCHAR) AS id FROM c WHERE category = 'nonsense' UNION ALL SELECT 'unknown_chunk', CAST(id AS VARCHAR) FROM c WHERE EXISTS (SELECT 1 FROM unnest(relevant) AS u(x) WHERE x NOT IN (SELECT doc_id // 2 FROM documents))
     UNION ALL SELECT 'repeated_chunk', CAST(doc_id // 2 AS VARCHAR) FROM documents GROUP BY doc_id // 2 HAVING count(*) > 1 UNION ALL SELECT 'bad_chunk', CAST(doc_id // 2 AS VARCHAR) FROM documents WHERE text IS NULL UNION ALL SELECT 'answer_of_no_answer', CAST(id AS VARCHAR) FROM c WHERE none
