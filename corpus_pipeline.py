@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, jaccard_join, language_id, mixing, packing
 from tessera.plans.session import show_package
-from tessera.plans.storage import materialise
+from tessera.plans.storage import materialise, release
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +70,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        after = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialise(docs, name)
+            after = materialise(after, name)
+            release(docs)  # written anew: nothing reads the stage before any more
+        docs = after
     return docs
