@@ -49,7 +49,7 @@ def test_run_applies_all_stages(spark, sf_dir):
 
 def test_stages_name_the_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "jaccard_join", "mix_sources", "best_fit_packing"]
-    assert sorted(int(n[2:].split("_")[0]) for n in catalogue.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalogue.queries()) == list(range(1, 14))
 
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred int, size int, component_id string"
