@@ -48,10 +48,9 @@ SHINGLE, PERCENT = 5, 80
 BLOCK_SHINGLES, BLOCK_DOCUMENTS = 400_000, 2000
 FAN_OUT = 8
 #: A shingle is frequent from so many different sets in a step of a task, and so many in all; at most so many count as frequent.
-OFTEN_IN_STEP, OFTEN, MOST_FREQUENT = 3, 12, 1 << 19
-FLUSH_ENTRIES = 3_000_000
-#: Keys of segments that one range of the hash space holds, about.
-RANGE_ENTRIES = 2_000_000
+OFTEN_IN_STEP, OFTEN, MOST_FREQUENT = 2, 12, 1 << 19
+#: Shingles that a step of a task counts, keys that it holds before it hands them on, and keys that one range of the hash space holds, about. The last two bound a worker's memory, which a key takes some ten times over while it is sorted.
+STEP_ENTRIES, FLUSH_ENTRIES, RANGE_ENTRIES = 3_000_000, 1_000_000, 1_000_000
 BAND_RATIO = 1.5
 
 _HASHES = WordHasher(0xE7037ED1A0B428DB)
@@ -366,7 +365,7 @@ def _set_rows(shingle: int):
                     held[a[-1]] = s
                     size += len(s)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names)
-            if size >= FLUSH_ENTRIES:
+            if size >= STEP_ENTRIES:
                 yield often(held)
                 held, size = {}, 0
         if held:

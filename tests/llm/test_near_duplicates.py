@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import jaccard_join, substring_dedup
@@ -169,3 +170,11 @@ def test_a_very_long_text(spark):
     rows = [(1, " ".join(words)), (2, " ".join(["x", *words[:-9]])), (3, " ".join(words[:20_000]))]
     got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_a_passage_in_two_sets_of_a_step_is_counted():
+    """Whether it is frequent shows the sum over all steps, of which a large table has many."""
+    shared = "one passage that both texts hold in common"
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "text": [f"{shared} and this", f"{shared} but that"]})
+    rows = pa.Table.from_batches(list(jaccard_join._set_rows(5)([batch]))).to_pylist()
+    assert [r["n_shingles"] for r in rows if r["kind"] == 1] == [2] * 4
