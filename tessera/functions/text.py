@@ -279,6 +279,11 @@ def term_coverage(content: Text, terms: Column) -> Column:
 
 def held_terms(low: Text, terms: Column) -> Column:
     """:func:`term_coverage` of a lower-cased text."""
+    return F.size(F.filter(counted_terms(terms), lambda t: F.contains(low, t))).cast("long")
+
+
+def counted_terms(terms: Column) -> Column:
+    """The terms that coverage counts, lower-cased and each once: not those Chinese runs whose bigrams are all terms."""
     wanted = F.array_distinct(F.filter(F.transform(terms, lambda t: F.trim(F.lower(t))), lambda t: t != ""))
 
     def counted(each: Column) -> Column:
@@ -286,9 +291,9 @@ def held_terms(low: Text, terms: Column) -> Column:
             bigrams = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
             return F.when(t.rlike(r"^\p{IsHan}{3,}$"), F.forall(bigrams, lambda b: F.array_contains(each, b))).otherwise(F.lit(False))
 
-        return F.size(F.filter(each, lambda t: F.contains(low, t) & ~covered(t)))
+        return F.filter(each, lambda t: ~covered(t))
 
-    return let(wanted, counted).cast("long")
+    return let(wanted, counted)
 
 
 def contains_term(content: Text, term: str) -> Column:
