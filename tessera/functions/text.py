@@ -81,6 +81,12 @@ def tokens(x: Text) -> Column:
     return F.regexp_extract_all(folded(x), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+def first_tokens(x: Text, n: int) -> Column:
+    """The first ``n`` of :func:`tokens`. Folding drops marks, so a token's stretch of the text may hold some."""
+    stretch = rf"^((?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\x{{300}}-\x{{36F}}]*+){{0,{n}}}+)"
+    return tokens(F.regexp_extract(x, stretch, 1))
+
+
 def soft_normalised(x: Text) -> Column:
     """Markdown with line ends, blanks and empty lines evened out."""
     x = F.regexp_replace(F.regexp_replace(x, "\r\n", "\n"), "[ \t]+\n", "\n")
