@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import fusion, lexical, rewrites, vectors
+from tessera.plans.storage import materialise
 
 # Results of a request; what the ladder hands on; how many vectors are asked for.
 TOP = 8
@@ -69,12 +70,14 @@ def retrieve(queries: DataFrame, chunks: DataFrame, entries: DataFrame | None =
     ask = breadth(top)
     each = rewrites.variants(queries) if variants else rewrites.variants(queries).filter("variant = 0")
     keyed = each.select((F.col("query_id") * 8 + F.col("variant")).alias("query_id"), "text", "variant", "weight", F.col("query_id").alias("_query"))
+    keyed = materialise(keyed, "keyed")  # what follows is small and read several times
     found = lexical.ladder(lexical.query_plans(keyed.select("query_id", "text")), chunks.select("chunk_id", "content"), ask["variant"] if variants else ask["single"])
+    found = materialise(found, "found")
     if entries is not None and query_vectors is not None:
         own = keyed.filter("variant = 0").select("query_id", F.col("_query"))
         vector = query_vectors.join(own.withColumnRenamed("query_id", "_key"), F.col("query_id") == F.col("_query")).select(F.col("_key").alias("query_id"), "vector")
         hits = found.join(own.select("query_id"), "query_id", "left_semi").join(chunks.select("chunk_id", "document_id"), "chunk_id")
-        near = vectors.planned_top(vector, entries, hits.select("query_id", "document_id", "step"), ask["vectors"])
+        near = materialise(vectors.planned_top(vector, entries, materialise(hits.select("query_id", "document_id", "step"), "hits"), ask["vectors"]), "near")
         first = fusion.hybrid(found.join(own.select("query_id"), "query_id", "left_semi"), near, ask["variant"])
         found = first.select("query_id", "chunk_id", "score", "rank").unionByName(found.join(own.select("query_id"), "query_id", "left_anti").select("query_id", "chunk_id", "score", "rank"))
     lists = found.join(keyed.select("query_id", "variant", "weight", "_query"), "query_id").select(F.col("_query").alias("query_id"), "variant", "chunk_id", "score", "rank", "weight")
