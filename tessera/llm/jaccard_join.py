@@ -51,6 +51,8 @@ FAN_OUT = 8
 OFTEN_IN_STEP, OFTEN, MOST_FREQUENT = 2, 12, 1 << 19
 #: Shingles that a step of a task counts, keys that it holds before it hands them on, and keys that one range of the hash space holds, about. The last two bound a worker's memory, which a key takes some ten times over while it is sorted.
 STEP_ENTRIES, FLUSH_ENTRIES, RANGE_ENTRIES = 3_000_000, 1_000_000, 1_000_000
+#: Ranges that one task sorts, one after another, and documents that it holds as connected before it hands them on.
+TASK_RANGES, HELD_NODES = 16, 500_000
 BAND_RATIO = 1.5
 
 _HASHES = WordHasher(0xE7037ED1A0B428DB)
@@ -149,23 +151,28 @@ class Segments:
         return np.concatenate([first, mixed(content ^ again)])
 
 
-def stars(a: Iterable[int], b: Iterable[int]) -> tuple[list[int], list[int]]:
-    """An edge from each node that (a, b) connect with smaller ones to the smallest of them."""
-    above: dict[int, int] = {}
+def _top(above: dict[int, int], x: int) -> int:
+    root = x
+    while (up := above.get(root, root)) != root:
+        root = up
+    while (up := above.get(x, x)) != root:
+        above[x], x = root, up
+    return root
 
-    def top(x: int) -> int:
-        root = x
-        while (up := above.get(root, root)) != root:
-            root = up
-        while (up := above.get(x, x)) != root:
-            above[x], x = root, up
-        return root
 
+def _connect(above: dict[int, int], a: Iterable[int], b: Iterable[int]) -> None:
+    """Add edges to a forest, in which ``above`` leads from each node that smaller ones are connected with to such a one."""
     for x, y in zip(a, b):
-        p, q = top(x), top(y)
+        p, q = _top(above, x), _top(above, y)
         if p != q:
             above[max(p, q)] = min(p, q)
-    return list(above), [top(x) for x in above]
+
+
+def stars(a: Iterable[int], b: Iterable[int]) -> tuple[list[int], list[int]]:
+    """An edge from each node that (a, b) connect with smaller ones to the smallest of them."""
+    above: dict[int, int] = {}
+    _connect(above, a, b)
+    return list(above), [_top(above, x) for x in above]
 
 
 def _bucket_edges(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,27 +232,45 @@ def _candidate_blocks(ranges: int, shingle: int, percent: int, frequent):
 
 
 def _range_edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list] = {}
+    """Over rows in the order of ranges: one range after another is sorted, and what they connect is handed on once for all of them."""
+    above: dict[int, int] = {}
     left: list[int] = []
     right: list[int] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    current = None
+
+    def close() -> None:
+        if held:
+            keys, ids = np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held])
+            held.clear()
+            order = np.lexsort((ids, keys))
+            a, b, _ = _bucket_edges(keys[order], ids[order])
+            _connect(above, a.tolist(), b.tolist())
+
+    def found() -> Iterator[pa.RecordBatch]:
+        a, b = list(above), [_top(above, x) for x in above]
+        for start in range(0, len(a), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[start : start + 10_000], pa.int64()), pa.array(b[start : start + 10_000], pa.int64())], ["u", "v"])
+        above.clear()
+
     for batch in batches:
-        for r, keys, places, ids, u, v in zip(*[c.to_pylist() for c in batch.columns]):
+        ranges, keys, places, ids, u, v = batch.columns
+        for i, r in enumerate(ranges.to_pylist()):
             if r < 0:
-                left.append(u)
-                right.append(v)
-            else:
-                keys, ids = np.frombuffer(keys, "<u8"), np.frombuffer(ids, "<i8")
-                held.setdefault(r, []).append((keys, ids[np.frombuffer(places, "<u2" if len(ids) <= 1 << 16 else "<u4")]))
-    for r in list(held):
-        parts = held.pop(r)
-        keys, ids = np.concatenate([k for k, _ in parts]), np.concatenate([i for _, i in parts])
-        order = np.lexsort((ids, keys))
-        a, b, _ = _bucket_edges(keys[order], ids[order])
-        left += a.tolist()
-        right += b.tolist()
-    a, b = stars(left, right)
-    for start in range(0, len(a), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(a[start : start + 10_000], pa.int64()), pa.array(b[start : start + 10_000], pa.int64())], ["u", "v"])
+                left.append(u[i].as_py())
+                right.append(v[i].as_py())
+                continue
+            if r != current:
+                close()
+                current = r
+                if len(above) > HELD_NODES:
+                    yield from found()
+            known = np.frombuffer(ids[i].as_buffer(), "<i8")
+            held.append((np.frombuffer(keys[i].as_buffer(), "<u8").copy(), known[np.frombuffer(places[i].as_buffer(), "<u2" if len(known) <= 1 << 16 else "<u4")]))
+        _connect(above, left, right)
+        left.clear(), right.clear()
+    close()
+    yield from found()
 
 
 class SignatureTree:
@@ -409,7 +434,10 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // RANGE_ENTRIES))
     leaders = materialise(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("leader"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")), "leaders")
 
-    linked = rows.mapInArrow(_candidate_blocks(ranges, shingle, percent, frequent), CANDIDATES).repartition(ranges, "hash_range").mapInArrow(_range_edges, "u long, v long")
+    # A document's keys lie in many ranges, so a task for each range would name it as often as there are ranges, which grow with the input.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ranges // TASK_RANGES))
+    keyed = rows.mapInArrow(_candidate_blocks(ranges, shingle, percent, frequent), CANDIDATES)
+    linked = keyed.repartition(tasks, "hash_range").sortWithinPartitions("hash_range").mapInArrow(_range_edges, "u long, v long")
     classes = components(linked.distinct())
     members = classes.join(leaders, F.col("node") == F.col("leader")).groupBy("leader").agg(F.min("component").alias("class"), F.max("n").alias("n"))
     members = materialise(members.select("class", F.col("leader").alias("cluster"), F.col("leader").alias("doc"), "n"), "members")

@@ -178,3 +178,24 @@ def test_a_passage_in_two_sets_of_a_step_is_counted():
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "text": [f"{shared} and this", f"{shared} but that"]})
     rows = pa.Table.from_batches(list(jaccard_join._set_rows(5)([batch]))).to_pylist()
     assert [r["n_shingles"] for r in rows if r["kind"] == 1] == [2] * 4
+
+
+def test_a_task_names_a_document_once_for_all_its_ranges():
+    """Copies that meet in every range are one edge of a task, however many ranges it has."""
+    types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    names = ["hash_range", "keys", "places", "ids", "u", "v"]
+    place, ids = np.zeros(1, "<u2").tobytes(), lambda i: np.array([i], "<i8").tobytes()
+    rows = [(-1, None, None, None, 30, 20)] + [(r, np.array([r], "<u8").tobytes(), place, ids(i), None, None) for r in range(40) for i in (10, 20)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 7]), types)], names) for i in range(0, len(rows), 7)]
+    found = [(u, v) for b in jaccard_join._range_edges(iter(batches)) for u, v in zip(*b.to_pydict().values())]
+    assert sorted(found) == [(20, 10), (30, 10)]
+
+
+def test_ranges_of_one_task_meet_in_order(spark, monkeypatch):
+    """Many small ranges, few tasks: no link is lost, and rows of edges don't grow with the ranges."""
+    monkeypatch.setattr(jaccard_join, "RANGE_ENTRIES", 50)
+    monkeypatch.setattr(jaccard_join, "HELD_NODES", 2)
+    texts = [" ".join(f"g{i // 3}w{k}" for k in range(60)) + f" own{i}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(df).collect()}
+    assert got == {i: i // 3 * 3 for i in range(60)}
