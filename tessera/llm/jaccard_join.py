@@ -185,15 +185,15 @@ def _bucket_edges(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nda
     return pairs[:, 0], pairs[:, 1], firsts
 
 
-CANDIDATES = "hash_range int, keys binary, places binary, ids binary, u long, v long"
+CANDIDATES = "hash_range int, keys binary, places binary, ids binary, u long, v long, homes binary"
 
 
 def _candidate_blocks(ranges: int, shingle: int, percent: int, frequent):
-    types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
 
     def rows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
         for start in range(0, len(found), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[start : start + 5000]), types)], ["hash_range", "keys", "places", "ids", "u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[start : start + 5000]), types)], ["hash_range", "keys", "places", "ids", "u", "v", "homes"])
 
     def flush(keys: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
         """A key goes out once, with the first document that has it; the task links the others to that one itself."""
@@ -201,8 +201,9 @@ def _candidate_blocks(ranges: int, shingle: int, percent: int, frequent):
         place = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
         order = np.argsort(every, kind="stable")
         every, place, known = every[order], place[order], np.array(ids, np.int64)
+        homes = np.array([k.min() for k in keys], np.uint64)
         a, b, firsts = _bucket_edges(every, known[place])
-        yield from rows([(-1 - x % ranges, None, None, None, x, y) for x, y in zip(*stars(a.tolist(), b.tolist()))])
+        yield from rows([(-1 - x % ranges, None, None, None, x, y, None) for x, y in zip(*stars(a.tolist(), b.tolist()))])
         every, place = every[firsts], place[firsts]
         where = ((every >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
         cuts = np.searchsorted(where, np.arange(ranges + 1))
@@ -210,7 +211,7 @@ def _candidate_blocks(ranges: int, shingle: int, percent: int, frequent):
         for r in range(ranges):
             if cuts[r] < cuts[r + 1]:
                 some, index = np.unique(place[cuts[r] : cuts[r + 1]], return_inverse=True)
-                out.append((r, every[cuts[r] : cuts[r + 1]].tobytes(), index.astype("<u2" if len(some) <= 1 << 16 else "<u4").tobytes(), known[some].tobytes(), None, None))
+                out.append((r, every[cuts[r] : cuts[r + 1]].tobytes(), index.astype("<u2" if len(some) <= 1 << 16 else "<u4").tobytes(), known[some].tobytes(), None, None, homes[some].tobytes()))
         for start in range(0, len(out), 64):
             yield from rows(out[start : start + 64])
 
@@ -231,20 +232,38 @@ def _candidate_blocks(ranges: int, shingle: int, percent: int, frequent):
     return run
 
 
+def _unconnected(keys: np.ndarray, ids: np.ndarray, homes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries in the order of keys, without those that another key connects already: see :func:`_range_edges`."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    order = order[np.append(same, False) | np.append(False, same)]  # most keys occur once
+    order = order[np.lexsort((ids[order], homes[order], keys[order]))]
+    keys, ids, homes = keys[order], ids[order], homes[order]
+    again = (keys[1:] == keys[:-1]) & (homes[1:] == homes[:-1]) & (homes[1:] != keys[1:])
+    kept = np.append(True, ~again)[: len(keys)]
+    return keys[kept], ids[kept]
+
+
 def _range_edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows in the order of ranges: one range after another is sorted, and what they connect is handed on once for all of them."""
+    """Over rows in the order of ranges: one range after another is sorted, and what they connect is handed on once for all of them.
+
+    A document's home is its smallest key. Documents with the same home are connected
+    by that key, so of those that meet at a larger key one takes part. Else copies
+    would be an edge of every task, as they share most of their keys. By induction
+    from the smallest key on, all documents that hold a key stay connected. Rows
+    without homes link all entries.
+    """
     above: dict[int, int] = {}
     left: list[int] = []
     right: list[int] = []
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     current = None
 
     def close() -> None:
         if held:
-            keys, ids = np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held])
+            every = [np.concatenate(column) for column in zip(*held)]
             held.clear()
-            order = np.lexsort((ids, keys))
-            a, b, _ = _bucket_edges(keys[order], ids[order])
+            a, b, _ = _bucket_edges(*_unconnected(*every))
             _connect(above, a.tolist(), b.tolist())
 
     def found() -> Iterator[pa.RecordBatch]:
@@ -254,7 +273,7 @@ def _range_edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above.clear()
 
     for batch in batches:
-        ranges, keys, places, ids, u, v = batch.columns
+        ranges, keys, places, ids, u, v, *homes = batch.columns
         for i, r in enumerate(ranges.to_pylist()):
             if r < 0:
                 left.append(u[i].as_py())
@@ -266,7 +285,8 @@ def _range_edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(above) > HELD_NODES:
                     yield from found()
             known = np.frombuffer(ids[i].as_buffer(), "<i8")
-            held.append((np.frombuffer(keys[i].as_buffer(), "<u8").copy(), known[np.frombuffer(places[i].as_buffer(), "<u2" if len(known) <= 1 << 16 else "<u4")]))
+            key, place = np.frombuffer(keys[i].as_buffer(), "<u8").copy(), np.frombuffer(places[i].as_buffer(), "<u2" if len(known) <= 1 << 16 else "<u4")
+            held.append((key, known[place], np.frombuffer(homes[0][i].as_buffer(), "<u8")[place] if homes else key))
         _connect(above, left, right)
         left.clear(), right.clear()
     close()
@@ -434,8 +454,8 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // RANGE_ENTRIES))
     leaders = materialise(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("leader"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")), "leaders")
 
-    # A document's keys lie in many ranges, so a task for each range would name it as often as there are ranges, which grow with the input.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ranges // TASK_RANGES))
+    # A document's keys lie in many ranges, and every task with some of them may name it; so there are no more tasks than cores or memory need.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-ranges // TASK_RANGES))
     keyed = rows.mapInArrow(_candidate_blocks(ranges, shingle, percent, frequent), CANDIDATES)
     linked = keyed.repartition(tasks, "hash_range").sortWithinPartitions("hash_range").mapInArrow(_range_edges, "u long, v long")
     classes = components(linked.distinct())

@@ -1,6 +1,7 @@
 import hashlib
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -199,3 +200,66 @@ def test_ranges_of_one_task_meet_in_order(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(df).collect()}
     assert got == {i: i // 3 * 3 for i in range(60)}
+
+
+def _edge_rows(docs, ranges):
+    """What ranges, each a task of its own, hand on of the documents, which come in four flushes; and the documents' keys."""
+    frequent = SimpleNamespace(value=np.zeros(0, np.uint64))
+    table = pa.table({"doc_id": pa.array([i for i, _ in docs], pa.int64()), "text": [t for _, t in docs]})
+    quarters = [table.slice(i * len(docs) // 4, (i + 1) * len(docs) // 4 - i * len(docs) // 4).to_batches() for i in range(4)]
+    blocks = [b for q in quarters for b in jaccard_join._candidate_blocks(ranges, 4, 85, frequent)(q)]
+    rows = pa.Table.from_batches(blocks).combine_chunks().to_batches()[0]
+    found = []
+    of = rows.column(0).to_numpy()
+    for r in np.unique(of):
+        for b in jaccard_join._range_edges(iter([rows.take(pa.array(np.flatnonzero(of == r)))])):
+            found += zip(*b.to_pydict().values())
+    segments = jaccard_join.Segments(85)
+    sets = jaccard_join.shingle_sets([t.encode() for _, t in docs], 4)
+    return found, {i: segments.keys(s) for (i, _), s in zip(docs, sets)}
+
+
+def _classes(edges, nodes):
+    u, v = jaccard_join.stars(*zip(*edges))
+    up = dict(zip(u, v))
+    return {i: up.get(i, i) for i in nodes}
+
+
+def test_homes_connect_the_same_documents_with_fewer_edges():
+    """Near copies are no edge of every range that they meet in, and what shares a key stays connected."""
+    rng = random.Random(11)
+    counts = []
+    for groups in (20, 100):  # five times the documents, five times the ranges
+        docs = []
+        for g in range(groups):
+            words = [f"g{g}w{k}" for k in range(rng.randrange(30, 400))]
+            for _ in range(4):
+                copy = list(words)
+                for _ in range(rng.randrange(0, 3)):
+                    copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**9)}"
+                docs.append((len(docs), " ".join(copy)))
+        rng.shuffle(docs)
+        found, keys = _edge_rows(docs, groups // 2)
+        holders = {}
+        for i, own in keys.items():
+            for k in own.tolist():
+                holders.setdefault(k, []).append(i)
+        shared = [(x[0], y) for x in holders.values() for y in x[1:]]
+        assert _classes(found, keys) == _classes(shared, keys)
+        counts.append(len(found) / len(docs))
+    assert counts[1] < 6  # for each document; 14.6 where all entries are linked
+
+
+def test_a_key_above_the_home_connects_other_homes_only():
+    types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+    names = ["hash_range", "keys", "places", "ids", "u", "v", "homes"]
+    place, word = np.zeros(1, "<u2").tobytes(), lambda i, t="<i8": np.array([i], t).tobytes()
+
+    def edges(key, homes):
+        rows = [(key, word(key, "<u8"), place, word(i), None, None, word(h, "<u8")) for i, h in homes.items()]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        return sorted((u, v) for b in jaccard_join._range_edges(iter([batch])) for u, v in zip(*b.to_pydict().values()))
+
+    assert edges(3, {10: 3, 20: 3, 30: 1}) == [(20, 10), (30, 10)]
+    assert edges(7, {10: 3, 20: 3}) == []
+    assert edges(7, {10: 3, 20: 3, 30: 1, 40: 7, 50: 7}) == [(30, 10), (40, 10), (50, 10)]
