@@ -17,8 +17,10 @@ a threshold; the result is the connected components of all links.
    too small; what is left at the leaves is compared exactly.
 4. A class that fills several blocks is first joined within them, then the
    representatives of the clusters found are joined. Of a class that still holds
-   several clusters, only blocks meet in which different clusters have a segment's
-   content in common. Members of one cluster are never expanded into pairs.
+   several clusters, those stay together that have as many segments in common as
+   linked sets must have; one is enough for a candidate, but two linked sets share
+   most of theirs. Of what is left, only blocks meet in which different clusters have
+   a segment's content in common. Members of one cluster are never expanded into pairs.
 
 Shingles are 64-bit hashes. Defined cases: texts without words have an empty set
 and link with nothing; texts with fewer words than a shingle have the whole
@@ -51,6 +53,8 @@ FAN_OUT = 8
 OFTEN_IN_STEP, OFTEN, MOST_FREQUENT = 2, 12, 1 << 19
 #: Shingles that a step of a task counts, keys that it holds before it hands them on, and keys that one range of the hash space holds, about. The last two bound a worker's memory, which a key takes some ten times over while it is sorted.
 STEP_ENTRIES, FLUSH_ENTRIES, RANGE_ENTRIES = 3_000_000, 1_000_000, 1_000_000
+#: Clusters of a class that are counted in pairs where they share a segment's content; where more do, they aren't.
+MET_CLUSTERS = 256
 #: Ranges that one task sorts, one after another, and documents that it holds as connected before it hands them on.
 TASK_RANGES, HELD_NODES = 16, 500_000
 BAND_RATIO = 1.5
@@ -122,17 +126,22 @@ class Segments:
 
     def keys(self, shingles: np.ndarray) -> np.ndarray:
         """Keys of the contents of the set's segments."""
-        if not len(shingles):
-            return shingles
+        return np.concatenate([keys for _, keys, _ in self.by_level(shingles)]) if len(shingles) else shingles
+
+    def by_level(self, shingles: np.ndarray) -> list[tuple[int, np.ndarray, int]]:
+        """Of a set that isn't empty each level with its keys and with how many of them a linked set of that level has, unless that needs fewer itself.
+
+        Linked sets differ in no more segments than in shingles; so of the full segments
+        that are enough for a set, all but the most differences are those of the other.
+        """
         rare = shingles
         if len(self.frequent):
             at = np.searchsorted(self.frequent, shingles)
             rare = shingles[self.frequent[np.minimum(at, len(self.frequent) - 1)] != shingles]
         band = self.band(len(shingles))
-        out = [self._cut(j, rare, shingles) for j in ((band, band + 1) if len(shingles) * 100 >= self.bounds[band + 1] * self.percent else (band,))]
-        return np.concatenate(out)
+        return [(j, *self._cut(j, rare, shingles)) for j in ((band, band + 1) if len(shingles) * 100 >= self.bounds[band + 1] * self.percent else (band,))]
 
-    def _cut(self, j: int, rare: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    def _cut(self, j: int, rare: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, int]:
         k, most, firsts, salts = self.level(j)
 
         def contents(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,13 +151,13 @@ class Segments:
 
         content, full = contents(rare)
         first = mixed(content[full] ^ salts[full])
-        if k - int(full.sum()) < k - most:
-            return first
+        if len(first) > most:
+            return first, len(first) - most
         content, full = contents(shingles)
         again = ~salts
-        if k - int(full.sum()) < k - most:
+        if int(full.sum()) > most:
             content, again = content[full], again[full]
-        return np.concatenate([first, mixed(content ^ again)])
+        return np.concatenate([first, mixed(content ^ again)]), len(content) - most
 
 
 def _top(above: dict[int, int], x: int) -> int:
@@ -503,14 +512,15 @@ def _moved(rows: DataFrame, column: str, links: DataFrame) -> DataFrame:
 
 
 def _segment_keys(shingle: int, percent: int, frequent):
-    """For mapInArrow over (block, cluster, text): the keys of each cluster's segments with its block, each once for a step."""
+    """For mapInArrow over (block, cluster, class, text): the keys of each cluster's segments with its block, each once for a step; another class has other keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = Segments(percent, frequent.value)
         for batch, texts in text_steps(batches):
             found: dict[tuple, list[np.ndarray]] = {}
-            for block, cluster, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(texts, shingle)):
-                found.setdefault((block, cluster), []).append(segments.keys(shingles))
+            salts = mixed(batch.column(2).to_numpy().astype(np.uint64))
+            for block, cluster, salt, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), salts, shingle_sets(texts, shingle)):
+                found.setdefault((block, cluster), []).append(mixed(segments.keys(shingles) ^ salt))
             for (block, cluster), keys in found.items():
                 different = np.unique(np.concatenate(keys)).view(np.int64)
                 for start in range(0, len(different), 10_000):
@@ -520,13 +530,60 @@ def _segment_keys(shingle: int, percent: int, frequent):
     return run
 
 
+def _needed_keys(shingle: int, percent: int, frequent):
+    """For mapInArrow over (doc, cluster, text): the keys of each document's segments, their level, and how many of these a link needs."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments = Segments(percent, frequent.value)
+        for batch, texts in text_steps(batches):
+            out = []
+            for doc, cluster, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(texts, shingle)):
+                out += [(keys.view(np.int64), doc, cluster, level, need) for level, keys, need in segments.by_level(shingles)] if len(shingles) else []
+            sizes = [len(x[0]) for x in out]
+            keys = np.concatenate([x[0] for x in out]) if out else np.zeros(0, np.int64)
+            doc, cluster, level, need = (np.repeat(np.array([x[i] for x in out], np.int64), sizes) for i in range(1, 5))
+            for start in range(0, len(keys), 10_000):
+                columns = [keys, doc, cluster, level.astype(np.int32), need.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c[start : start + 10_000]) for c in columns], ["key", "doc", "cluster", "level", "need"])
+
+    return run
+
+
+def _narrowed(rest: DataFrame, texts: DataFrame, shingle: int, percent: int, frequent, most: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """rest (class, cluster, doc, n) of the clusters that may link with another, with classes of such clusters; and the tables made for it.
+
+    Linked sets have ``need`` keys of a level in common, by the smaller need of the two.
+    So have their clusters, whose keys are counted in pairs. A key that more than
+    ``most`` clusters hold isn't: each document that has it needs one less of the
+    others, and if it needs none, all that hold the key stay together.
+    """
+    most = MET_CLUSTERS if most is None else most
+    rows = rest.select("doc", "cluster").join(texts, "doc").select("doc", "cluster", "text")
+    keys = materialise(rows.mapInArrow(_needed_keys(shingle, percent, frequent), "key long, doc long, cluster long, level int, need int"), "keys")
+    held = keys.groupBy("key", "cluster").agg(F.count("*").alias("_rows")).groupBy("key").agg(F.count("*").alias("clusters"), F.sum("_rows").alias("_rows"))
+    held = materialise(held.filter("clusters > 1"), "held")
+    met = materialise(join_unique(keys, held, "key", "_rows").drop("_rows"), "met")
+    spared = met.filter(F.col("clusters") > most).groupBy("doc", "level").agg(F.count("*").alias("_spared"))
+    needs = met.join(spared, ["doc", "level"], "left").withColumn("need", F.col("need") - F.coalesce("_spared", F.lit(0)))
+    ends = materialise(needs.groupBy("key", "level", "cluster").agg(F.min("need").alias("need"), F.max("clusters").alias("clusters")), "ends")
+    few = ends.filter(F.col("clusters") <= most).select("key", "level", F.col("cluster").alias("u"), F.col("need").alias("_u"))
+    others = few.select("key", F.col("u").alias("v"), F.col("_u").alias("_v"))
+    pairs = few.join(others, "key").filter("u < v").groupBy("u", "v", "level").agg(F.count("*").alias("_met"), F.min(F.least("_u", "_v")).alias("_need"))
+    many = ends.filter(F.col("clusters") > most)
+    first = materialise(many.groupBy("key").agg(F.min("cluster").alias("v"), F.min("need").alias("_need"), F.count("*").alias("_rows")).filter("_need <= 0"), "first")
+    stay = join_unique(many.select("key", F.col("cluster").alias("u")), first, "key", "_rows").select("u", "v")
+    near = components(pairs.filter("_met >= _need").select("u", "v").unionByName(stay.distinct()))
+    found = rest.drop("class").join(near.select(F.col("node").alias("cluster"), F.col("component").alias("class")), "cluster").select("class", "cluster", "doc", "n")
+    return materialise(found, "narrowed"), [keys, held, met, ends, first]
+
+
 def _meeting_blocks(dealt: DataFrame, texts: DataFrame, shingle: int, percent: int, frequent) -> tuple[DataFrame, DataFrame]:
-    """Pairs of blocks in which different clusters have the content of a segment in common, and the table of contents behind them.
+    """Pairs of blocks in which different clusters of a class have the content of a segment in common, and the table of contents behind them.
 
     Of all contents that the same blocks share, one makes the pairs; the blocks of a
     content are told by their number and by two sums of hashes, never listed.
     """
-    rows = dealt.select("doc", "block", "cluster").join(texts, "doc").select("block", "cluster", "text")
+    rows = dealt.select("doc", "block", "cluster", "class").join(texts, "doc").select("block", "cluster", "class", "text")
     keys = materialise(rows.mapInArrow(_segment_keys(shingle, percent, frequent), "key long, block string, cluster long").groupBy("key", "block").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")), "keys")
     held = keys.groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("block")).alias("x"), F.bit_xor(F.xxhash64("block", F.lit(1))).alias("y")).filter("a < b")
     chosen = held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
@@ -548,6 +605,10 @@ def _across(large: DataFrame, links: DataFrame, shingle: int, percent: int, freq
     unsettled = materialise(again.groupBy("class").agg(F.min("cluster").alias("_a"), F.max("cluster").alias("_b"), F.count("*").alias("_docs")), "classes")
     rest = materialise(join_unique(again, unsettled, "class", "_docs").filter("_a < _b").select("class", "cluster", "doc", "n"), "unsettled")
     used = [clustered, more, again, unsettled, rest]
+    if rest.isEmpty():
+        return more, used
+    rest, made = _narrowed(rest, texts, shingle, percent, frequent)
+    used += [*made, rest]
     if rest.isEmpty():
         return more, used
     # A large cluster's members go to blocks of its own; the small clusters of a class share blocks by hash.
@@ -562,12 +623,12 @@ def _across(large: DataFrame, links: DataFrame, shingle: int, percent: int, freq
     placed = materialise(alone.unionByName(together.select(*columns)), "placed")
     block = F.when(F.col("own").isNotNull(), F.concat_ws(":", "_place", F.pmod(F.xxhash64("doc"), F.col("own")))).otherwise(F.col("_place"))
     lone = F.when(F.col("own").isNotNull(), F.col("cluster"))
-    dealt = materialise(join_unique(rest.select("cluster", "doc"), placed, "cluster", "_docs").select("cluster", "doc", block.alias("block"), lone.alias("lone")), "blocks")
+    dealt = materialise(join_unique(rest.select("class", "cluster", "doc"), placed, "cluster", "_docs").select("class", "cluster", "doc", block.alias("block"), lone.alias("lone")), "blocks")
     pairs, keys = _meeting_blocks(dealt, texts, shingle, percent, frequent)
     owners = dealt.filter("lone is not null").select("block", "lone").distinct()
     pairs = pairs.join(owners, "block", "left").join(owners.select(F.col("block").alias("block2"), F.col("lone").alias("lone2")), "block2", "left")
     pairs = pairs.filter("not (lone is not null and lone2 is not null and lone = lone2)")
     sides = pairs.select("block", "block2", F.explode(F.array_distinct(F.array("block", "block2"))).alias("side"))
-    copies = sides.join(dealt.withColumnRenamed("block", "side").drop("lone"), "side").join(texts, "doc")
+    copies = sides.join(dealt.withColumnRenamed("block", "side").drop("lone", "class"), "side").join(texts, "doc")
     found = materialise(_links_within(copies, ["block", "block2"], shingle, percent), "links")
     return more.unionByName(found), [*used, sizes, shared, placed, dealt, keys, found]

@@ -31,6 +31,8 @@ from tessera.plans.storage import materialise
 
 SEQUENCE_TOKENS = 4096
 GROUP_PIECES = 20_000
+#: Bytes of text that a task tokenises at once: the arrays for a step's words and ids take some twenty times as much.
+STEP_BYTES = 1 << 20
 EOS = 1
 
 
@@ -208,7 +210,7 @@ _TOKENS: dict[str, WordTokens] = {}
 def _pieces(path: str, tokens: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _TOKENS.get(path) or _TOKENS.setdefault(path, WordTokens(path))  # one for each Python worker
-        for batch, texts in text_steps(batches):
+        for batch, texts in text_steps(batches, step_bytes=STEP_BYTES):
             ids, counts = encoder.encode(texts)
             doc, piece, start, length, crc = [], [], [], [], []
             at, raw = 0, memoryview(np.ascontiguousarray(ids, "<u4").tobytes())

@@ -263,3 +263,58 @@ def test_a_key_above_the_home_connects_other_homes_only():
     assert edges(3, {10: 3, 20: 3, 30: 1}) == [(20, 10), (30, 10)]
     assert edges(7, {10: 3, 20: 3}) == []
     assert edges(7, {10: 3, 20: 3, 30: 1, 40: 7, 50: 7}) == [(30, 10), (40, 10), (50, 10)]
+
+
+def _chained(rng, groups=15, size=6):
+    """Texts of groups of near copies; each group has a passage in common with the next one, too short for a link."""
+    words = [[f"g{g}w{i}" for i in range(40)] for g in range(groups)]
+    docs = []
+    for g in range(groups):
+        passage = [f"p{g}x{i}" for i in range(9)], [f"p{g + 1}x{i}" for i in range(9)]
+        for k in range(size):
+            w = passage[0] + words[g] + passage[1]
+            for _ in range(rng.randrange(0, 6)):
+                w[rng.randrange(10, 48)] = f"y{rng.randrange(10**6)}"
+            docs.append((g * 100 + k, " ".join(w)))
+    return docs
+
+
+@pytest.mark.parametrize("most", [256, 1])
+def test_clusters_that_meet_by_a_passage_only_are_not_compared(spark, monkeypatch, most):
+    """Of a class in several blocks only clusters with enough segments in common go on, however few clusters are counted in pairs."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCUMENTS", 7)
+    monkeypatch.setattr(jaccard_join, "OFTEN", 10**6)  # no passage is left out of the segments
+    monkeypatch.setattr(jaccard_join, "MET_CLUSTERS", most)
+    went, meeting = [], jaccard_join._meeting_blocks
+
+    def counted(dealt, *rest):
+        went.extend(r.cluster for r in dealt.select("cluster", "doc").collect())
+        return meeting(dealt, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_meeting_blocks", counted)
+    docs = _chained(random.Random(6))
+    found = jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    expected = brute_components(docs, 5, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == expected
+    if most == 256:
+        assert len(set(went)) < len({c for _, c in expected.values()})
+
+
+def test_linked_sets_have_the_keys_that_they_need():
+    rng = np.random.default_rng(3)
+    common = np.unique(rng.integers(0, 1 << 63, 40, dtype=np.uint64))
+    for percent in (60, 80, 85):
+        segments = jaccard_join.Segments(percent, common)
+        for _ in range(400):
+            own = rng.integers(0, 1 << 63, int(rng.integers(1, 200)), dtype=np.uint64) * np.uint64(2)
+            a = np.unique(np.concatenate([own[: int(rng.integers(0, len(own) + 1))], rng.choice(common, int(rng.integers(1, 40)))]))
+            b = a
+            while True:
+                other = np.delete(b, rng.integers(len(b))) if rng.random() < 0.5 and len(b) > 1 else np.unique(np.append(b, rng.integers(0, 1 << 63, dtype=np.uint64)))
+                both = len(np.intersect1d(a, other))
+                if 100 * both < percent * (len(a) + len(other) - both):
+                    break
+                b = other
+            levels = {j: (keys, need) for j, keys, need in segments.by_level(b)}
+            met = [(len(np.intersect1d(keys, levels[j][0])), min(need, levels[j][1])) for j, keys, need in segments.by_level(a) if j in levels]
+            assert any(n >= need >= 1 for n, need in met)
