@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,9 +13,20 @@ import pyarrow.compute as pc
 STEP_BYTES = 4 << 20
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
+
+def give_back() -> None:
+    """Hand free memory back to the system: workers outlive their tasks, and all share the memory of one executor."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def text_steps(batches: Iterable[pa.RecordBatch], column: str = "text", step_bytes: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of the batches with about ``step_bytes`` of text each, and their texts as bytes."""
     for batch in batches:
+        give_back()
         column_of = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
         lengths = pc.fill_null(pc.binary_length(column_of), 0).to_pylist()
         start = size = 0
@@ -24,6 +36,8 @@ def text_steps(batches: Iterable[pa.RecordBatch], column: str = "text", step_byt
                 # Only the step's texts become Python objects: a batch may hold many steps.
                 yield batch.slice(start, i + 1 - start), column_of.slice(start, i + 1 - start).to_pylist()
                 start, size = i + 1, 0
+        del batch, column_of
+    give_back()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

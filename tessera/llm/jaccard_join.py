@@ -52,7 +52,9 @@ FAN_OUT = 8
 #: A shingle is frequent from so many different sets in a step of a task, and so many in all; at most so many count as frequent.
 OFTEN_IN_STEP, OFTEN, MOST_FREQUENT = 2, 12, 1 << 19
 #: Shingles that a step of a task counts, keys that it holds before it hands them on, and keys that one range of the hash space holds, about. The last two bound a worker's memory, which a key takes some ten times over while it is sorted.
-STEP_ENTRIES, FLUSH_ENTRIES, RANGE_ENTRIES = 3_000_000, 1_000_000, 1_000_000
+STEP_ENTRIES, FLUSH_ENTRIES, RANGE_ENTRIES = 3_000_000, 500_000, 1_000_000
+#: Bytes of text that a step of a task makes sets of; the arrays of their words take some ten times as much.
+STEP_BYTES = 1 << 20
 #: Clusters of a class that are counted in pairs where they share a segment's content; where more do, they aren't.
 MET_CLUSTERS = 256
 #: Ranges that one task sorts, one after another, and documents that it holds as connected before it hands them on.
@@ -226,7 +228,7 @@ def _candidate_blocks(ranges: int, shingle: int, percent: int, frequent):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments, keys, ids, entries = Segments(percent, frequent.value), [], [], 0
-        for batch, texts in text_steps(batches):
+        for batch, texts in text_steps(batches, step_bytes=STEP_BYTES):
             for doc, shingles in zip(batch.column(0).to_pylist(), shingle_sets(texts, shingle)):
                 if doc is not None and len(shingles):
                     keys.append(segments.keys(shingles))
@@ -408,7 +410,7 @@ def _set_rows(shingle: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         size = 0
-        for batch, texts in text_steps(batches):
+        for batch, texts in text_steps(batches, step_bytes=STEP_BYTES):
             sizes, a, b = [], [], []
             for s in shingle_sets(texts, shingle):
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -516,7 +518,7 @@ def _segment_keys(shingle: int, percent: int, frequent):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = Segments(percent, frequent.value)
-        for batch, texts in text_steps(batches):
+        for batch, texts in text_steps(batches, step_bytes=STEP_BYTES):
             found: dict[tuple, list[np.ndarray]] = {}
             salts = mixed(batch.column(2).to_numpy().astype(np.uint64))
             for block, cluster, salt, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), salts, shingle_sets(texts, shingle)):
@@ -535,7 +537,7 @@ def _needed_keys(shingle: int, percent: int, frequent):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = Segments(percent, frequent.value)
-        for batch, texts in text_steps(batches):
+        for batch, texts in text_steps(batches, step_bytes=STEP_BYTES):
             out = []
             for doc, cluster, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(texts, shingle)):
                 out += [(keys.view(np.int64), doc, cluster, level, need) for level, keys, need in segments.by_level(shingles)] if len(shingles) else []
